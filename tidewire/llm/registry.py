@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewire.llm import quality_rules, source_mix, url_filters
+from tidewire.llm import byte_bpe, quality_rules, source_mix, token_files, top_inner, url_filters
 from tidewire.session import table
 
 
@@ -10,6 +10,14 @@ def op1_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).select("doc_id", *quality_rules.COLUMNS)
 
 
+def op2_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        spec = f.read()
+    return token_files.read_tokens(token_files.write_tokens(table(spark, sf_dir, "documents"), spec))
+
+
 def op3_url_filters(spark, sf_dir):
     rules = spark.createDataFrame(list(url_filters.RULES), "host string, path string, verdict string")
     return url_filters.url_filter(table(spark, sf_dir, "pages"), rules)
@@ -19,9 +27,20 @@ def op5_source_mix(spark, sf_dir):
     return source_mix.mix_totals(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_top_inner(spark, sf_dir):
+    return top_inner.top_inner(table(spark, sf_dir, "embeddings"))
+
+
+def op10_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    bpe = byte_bpe.ByteBpe(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.digest(table(spark, sf_dir, "documents"), bpe)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_quality_rules, op3_url_filters, op5_source_mix)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_url_filters, op5_source_mix, op6_top_inner, op10_byte_bpe)}
 
 
 def oracle_sql():
-    return {"op1_quality_rules": quality_rules.oracle(), "op3_url_filters": url_filters.oracle()}
+    return {"op1_quality_rules": quality_rules.oracle(), "op3_url_filters": url_filters.oracle(), "op6_top_inner": top_inner.oracle()}
