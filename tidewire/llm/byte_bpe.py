@@ -11,6 +11,7 @@ from tidewire.llm.shared import keep, let
 
 #: Buckets of the literal maps. A Spark map is searched from its start, so a map is held as an array of very small maps by hash.
 RANK_BUCKETS = 1 << 16
+PAIR_BUCKETS = 262_139
 DICT_BUCKETS = 1 << 18
 #: Bounds of the literal dictionary of frequent words; other words are folded where they occur.
 DICT_WORDS, DICT_BYTES = 400_000, 32
@@ -28,33 +29,41 @@ def _bucket(key: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
 
+def _pair_key(a: Column, b: Column) -> Column:
+    return F.shiftleft(a.cast("long"), 20) + b
+
+
 def _find(maps: Column, key: Column, n: int) -> Column:
     return F.try_element_at(F.get(maps, _bucket(key, n))["m"], key)
 
 
-def fold(word: Column, ranks: Column) -> Column:
+def fold(word: Column, tables: tuple[Column, Column]) -> Column:
     """The ids of one word (a string): merge the leftmost pair of the lowest rank until no pair has a rank.
 
-    The accumulator holds the parts and the rank of each neighbouring pair; a merge looks up the two pairs that it makes.
+    `tables`: ranks by piece, and ranks by pair of neighbouring ids; a rank is the id of what the pair makes. The accumulator holds
+    the ids and the rank of each neighbouring pair, and a merge looks up the two pairs that it makes.
     """
+    ranks, pairs = tables
     rank = lambda piece: _find(ranks, piece, RANK_BUCKETS)
+    pair = lambda a, b: let(_pair_key(a, b), lambda k: F.try_element_at(F.get(pairs, F.pmod(k, F.lit(PAIR_BUCKETS)).cast("int"))["m"], k))
+    none, most = F.array().cast("array<int>"), F.lit(1 << 30)
 
     def step(acc: Column, _: Column) -> Column:
-        def merge(j: Column) -> Column:
+        def merge(best: Column, j: Column) -> Column:
             p, r = acc["p"], acc["r"]
-            both = F.concat(F.get(p, j - 1), F.get(p, j))
-            left = F.when(j > 1, F.array(rank(F.concat(F.get(p, j - 2), both)))).otherwise(F.array().cast("array<int>"))
-            right = F.when(j < F.size(r), F.array(rank(F.concat(both, F.get(p, j + 1))))).otherwise(F.array().cast("array<int>"))
-            most = F.lit(1 << 30)
-            return F.struct(F.concat(F.slice(p, F.lit(1), j - 1), F.array(both), F.slice(p, j + 2, most)).alias("p"), F.concat(F.slice(r, F.lit(1), F.greatest(j - 2, F.lit(0))), left, right, F.slice(r, j + 2, most)).alias("r"))
+            left = F.when(j > 1, F.array(pair(F.get(p, j - 2), best))).otherwise(none)
+            right = F.when(j < F.size(r), F.array(pair(best, F.get(p, j + 1)))).otherwise(none)
+            ids = F.concat(F.slice(p, F.lit(1), j - 1), F.array(best), F.slice(p, j + 2, most))
+            return F.struct(ids.alias("p"), F.concat(F.slice(r, F.lit(1), F.greatest(j - 2, F.lit(0))), left, right, F.slice(r, j + 2, most)).alias("r"))
 
-        return let(F.array_min(acc["r"]), lambda best: F.when(best.isNull(), acc).otherwise(let(F.array_position(acc["r"], best).cast("int"), merge)))
+        return let(F.array_min(acc["r"]), lambda best: F.when(best.isNull(), acc).otherwise(let(F.array_position(acc["r"], best).cast("int"), lambda j: merge(best, j))))
 
     def run(b: Column) -> Column:
         n = F.octet_length(b)
-        start = F.struct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(b, i, F.lit(1))).alias("p"), F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(b, i, F.lit(2)))).alias("r"))
-        merged = F.aggregate(F.sequence(F.lit(2), n), start, step, lambda acc: F.transform(acc["p"], rank))
-        return F.when(n < 2, F.array(rank(b))).otherwise(merged)
+        singles = F.transform(F.sequence(F.lit(1), n), lambda i: rank(F.substring(b, i, F.lit(1))))
+        start = let(singles, lambda p: F.struct(p.alias("p"), F.transform(F.sequence(F.lit(1), n - 1), lambda i: pair(F.get(p, i - 1), F.get(p, i))).alias("r")))
+        merged = F.aggregate(F.sequence(F.lit(2), n), start, step, lambda acc: acc["p"])
+        return let(rank(b), lambda whole: F.when(whole.isNotNull(), F.array(whole)).when(n == 0, none).otherwise(merged))
 
     return let(word.cast("binary"), run)
 
@@ -64,10 +73,16 @@ class ByteBpe:
 
     def __init__(self, spark: SparkSession, path: str, pattern: str, dict_words: int = DICT_WORDS):
         self.spark, self.pattern, self.dict_words, self.pairs = spark, pattern, dict_words, read_ranks(path)
-        self.table = spark.createDataFrame([(bytearray(a), b) for a, b in self.pairs], "piece binary, id int").coalesce(1)
+        import pandas as pd
+
+        by = dict(self.pairs)
+        pairs = [((by[p[:k]] << 20) + by[p[k:]], i) for p, i in self.pairs for k in range(1, len(p)) if p[:k] in by and p[k:] in by]
+        self.table = spark.createDataFrame(pd.DataFrame(self.pairs, columns=["piece", "id"]), "piece binary, id int").coalesce(1)
+        self.table2 = spark.createDataFrame(pd.DataFrame(pairs, columns=["pair", "id"]), "pair long, id int").coalesce(1)
 
-    def ranks(self) -> Column:
-        return _dense_scalar(self.table, "piece", "id", RANK_BUCKETS)
+    def tables(self) -> tuple[Column, Column]:
+        """The literal ranks by piece and by pair of ids: every way to make a piece of two pieces."""
+        return _dense_scalar(self.table, "piece", "id", RANK_BUCKETS).alias("_r"), _dense_scalar(self.table2, "pair", "id", PAIR_BUCKETS, lambda k: F.pmod(k, F.lit(PAIR_BUCKETS)).cast("int")).alias("_p")
 
     def words(self, text: Column) -> Column:
         """The words of a text in order; a null text has none. (?U): white space is Unicode's."""
@@ -88,7 +103,7 @@ class ByteBpe:
                 break
             cut = g
         head = counts.filter((F.octet_length("word") <= DICT_BYTES) & (grade >= cut))
-        folded = head.select("word", self.ranks().alias("_r")).select("word", let(F.col("_r"), lambda r: fold(F.col("word"), r)).alias("ids"))
+        folded = head.select("word", *self.tables()).select("word", let(F.col("_r"), lambda r: let(F.col("_p"), lambda p: fold(F.col("word"), (r, p)))).alias("ids"))
         return keep(folded, "dictionary"), max((r.longest for r in rows), default=0)
 
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,9 +118,9 @@ class ByteBpe:
         rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
         far = F.exists(self.words(F.col("_text")), lambda w: F.octet_length(w) > LONG)
         near = rows.filter(~far) if longest > LONG else rows
-        of = lambda w, d, r: F.coalesce(_find(d, w, DICT_BUCKETS), fold(w, r))
-        ids = let(F.col("_d"), lambda d: let(F.col("_r"), lambda r: F.flatten(F.transform(self.words(F.col("_text")), lambda w: of(w, d, r)))))
-        out = near.select("*", maps.alias("_d"), self.ranks().alias("_r")).select(id_col, ids.alias("ids"))
+        of = lambda w, d, r, p: F.coalesce(_find(d, w, DICT_BUCKETS), fold(w, (r, p)))
+        ids = let(F.col("_d"), lambda d: let(F.col("_r"), lambda r: let(F.col("_p"), lambda p: F.flatten(F.transform(self.words(F.col("_text")), lambda w: of(w, d, r, p))))))
+        out = near.select("*", maps.alias("_d"), *self.tables()).select(id_col, ids.alias("ids"))
         return out if longest <= LONG else out.unionByName(self._encode_far(rows.filter(far), id_col))
 
     def _encode_far(self, rows: DataFrame, id_col: str) -> DataFrame:
@@ -144,13 +159,14 @@ class ByteBpe:
         return df.select("*", self.pieces(form).alias("_h")).select(*df.columns, F.unhex(parts).alias(name))
 
 
-def _dense_scalar(df: DataFrame, key: str, value: str, n: int) -> Column:
+def _dense_scalar(df: DataFrame, key: str, value: str, n: int, bucket=None) -> Column:
     """A (key, value) frame of bounded size as one value: an array of n small maps, by the key's hash.
 
     It is a scalar subquery, which is a literal when tasks run. Spark takes no subquery within a higher-order function, so it is
     selected as a column that one let() below refers to; the optimizer puts it there, and no row ever carries it.
     """
-    maps = df.groupBy(_bucket(F.col(key), n).alias("b")).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("m"))
+    at = (bucket or (lambda k: _bucket(k, n)))(F.col(key))
+    maps = df.groupBy(at.alias("b")).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("m"))
     every = df.sparkSession.range(0, n, 1, 1).select(F.col("id").cast("int").alias("b")).join(maps, "b", "left")
     return every.orderBy("b").coalesce(1).agg(F.collect_list(F.struct("m")).alias("a")).scalar()
 
