@@ -56,7 +56,9 @@ def fold(word: Column, tables: tuple[Column, Column]) -> Column:
             ids = F.concat(F.slice(p, F.lit(1), j - 1), F.array(best), F.slice(p, j + 2, most))
             return F.struct(ids.alias("p"), F.concat(F.slice(r, F.lit(1), F.greatest(j - 2, F.lit(0))), left, right, F.slice(r, j + 2, most)).alias("r"))
 
-        return let(F.array_min(acc["r"]), lambda best: F.when(best.isNull(), acc).otherwise(let(F.array_position(acc["r"], best).cast("int"), lambda j: merge(best, j))))
+        # rank and place in one number, so that one minimum gives the leftmost place of the lowest rank
+        placed = F.array_min(F.transform(acc["r"], lambda x, i: F.shiftleft(x.cast("long"), 20) + i))
+        return let(placed, lambda m: F.when(m.isNull(), acc).otherwise(merge(F.shiftright(m, 20).cast("int"), (m.bitwiseAND(F.lit((1 << 20) - 1)) + 1).cast("int"))))
 
     def run(b: Column) -> Column:
         n = F.octet_length(b)
@@ -139,24 +141,25 @@ class ByteBpe:
         return rows.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
     def pieces(self, form) -> Column:
-        """form(piece, id) of each id, as a literal array by id."""
-        size = max(i for _, i in self.pairs) + 1
-        by = dict((i, p) for p, i in self.pairs)
-        rows = [(i, form(by[i], i) if i in by else None) for i in range(size)]
-        df = self.spark.createDataFrame(rows, "id int, v string").coalesce(1)
-        return df.orderBy("id").coalesce(1).agg(F.collect_list(F.coalesce("v", F.lit(""))).alias("a")).scalar()
+        """form(piece, id) of each id, as a literal array by id of strings that hold just these bytes, UTF-8 or not."""
+        import pandas as pd
+
+        by = {i: p for p, i in self.pairs}
+        rows = pd.DataFrame([(i, form(by[i], i) if i in by else b"") for i in range(max(by) + 1)], columns=["id", "v"])
+        df = self.spark.createDataFrame(rows, "id int, v binary").coalesce(1)
+        return df.orderBy("id").coalesce(1).agg(F.collect_list(F.col("v").cast("string")).alias("a")).scalar()
 
     def decode(self, df: DataFrame, name: str = "decoded") -> DataFrame:
         """Adds column `name`, the bytes (binary) of column ids: their pieces in a row. They need not be UTF-8 if ids were cut."""
-        return self._joined(df, name, lambda p, i: p.hex())
+        return self._joined(df, name, lambda p, i: p)
 
     def id_bytes(self, df: DataFrame, name: str = "id_bytes") -> DataFrame:
         """Adds column `name`, the ids as little-endian unsigned 32-bit integers (binary)."""
-        return self._joined(df, name, lambda p, i: i.to_bytes(4, "little").hex())
+        return self._joined(df, name, lambda p, i: i.to_bytes(4, "little"))
 
     def _joined(self, df: DataFrame, name: str, form) -> DataFrame:
         parts = let(F.col("_h"), lambda h: F.array_join(F.transform(F.col("ids"), lambda i: F.get(h, i)), ""))
-        return df.select("*", self.pieces(form).alias("_h")).select(*df.columns, F.unhex(parts).alias(name))
+        return df.select("*", self.pieces(form).alias("_h")).select(*df.columns, parts.cast("binary").alias(name))
 
 
 def _dense_scalar(df: DataFrame, key: str, value: str, n: int, bucket=None) -> Column:

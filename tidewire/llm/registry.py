@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewire.llm import byte_bpe, quality_rules, source_mix, token_files, top_inner, url_filters
+from tidewire.llm import byte_bpe, near_dedup, quality_rules, source_mix, substring_dedup, token_files, top_inner, url_filters
 from tidewire.session import table
 
 
@@ -23,6 +23,10 @@ def op3_url_filters(spark, sf_dir):
     return url_filters.url_filter(table(spark, sf_dir, "pages"), rules)
 
 
+def op4_substring_dedup(spark, sf_dir):
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mix(spark, sf_dir):
     return source_mix.mix_totals(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -31,6 +35,10 @@ def op6_top_inner(spark, sf_dir):
     return top_inner.top_inner(table(spark, sf_dir, "embeddings"))
 
 
+def op7_near_dedup(spark, sf_dir):
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op10_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -39,8 +47,8 @@ def op10_byte_bpe(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_url_filters, op5_source_mix, op6_top_inner, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_url_filters, op4_substring_dedup, op5_source_mix, op6_top_inner, op7_near_dedup, op10_byte_bpe)}
 
 
 def oracle_sql():
-    return {"op1_quality_rules": quality_rules.oracle(), "op3_url_filters": url_filters.oracle(), "op6_top_inner": top_inner.oracle()}
+    return {"op1_quality_rules": quality_rules.oracle(), "op3_url_filters": url_filters.oracle(), "op4_substring_dedup": substring_dedup.oracle(), "op6_top_inner": top_inner.oracle()}

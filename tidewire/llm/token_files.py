@@ -26,7 +26,7 @@ from tidewire.llm.shared import keep, scratch
 MAGIC = b"TWPLANE1"
 BLOCK = 1 << 16
 #: Texts are encoded in slices of about so many bytes, and shards hold about so many bytes of text.
-SLICE, SHARD = 4 << 20, 32 << 20
+SLICE, SHARD = 12 << 20, 32 << 20
 #: Words whose ids a worker remembers at most.
 MEMORY = 1 << 20
 
@@ -149,14 +149,55 @@ class ShardReader:
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizers file. White space splits words there, so each distinct word is encoded once and remembered."""
+    """Ids of texts by a tokenizers file. White space splits words there, so each distinct word is encoded once and remembered.
+
+    New words are encoded many at a time with a mark between them: a private-use character, whose ids are its bytes alone. Words
+    that hold the mark are encoded by themselves.
+    """
+
+    MARK = "\ue000"
 
     def __init__(self, spec: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.coder, self.end = Tokenizer.from_str(spec), end
-        self.known: dict[str, np.ndarray] = {}
+        self.mark = np.array(self.coder.encode(self.MARK, add_special_tokens=False).ids, "<u4")
+        self._forget()
+
+    def _forget(self) -> None:
+        """The end id is word 0."""
+        self.known: dict[str, int] = {}
+        self.pool, self.size = [np.array([self.end], "<u4")], [np.ones(1, np.int64)]
+
+    def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if self.MARK not in w]
+        odd = [w for w in words if self.MARK in w]
+        at = len(self.known) + 1
+        groups = [plain[k : k + 1000] for k in range(0, len(plain), 1000)]
+        for group, e in zip(groups, self.coder.encode_batch_fast([f" {self.MARK} ".join([*g, ""]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            n, m = len(ids), len(self.mark)
+            found = np.ones(n - m + 1, bool)
+            for k in range(m):
+                found &= ids[k : n - m + 1 + k] == self.mark[k]
+            ends = np.flatnonzero(found)
+            if len(ends) != len(group):
+                odd += group
+                continue
+            drop = np.zeros(n, bool)
+            for k in range(m):
+                drop[ends + k] = True
+            self.pool.append(ids[~drop])
+            self.size.append(np.diff(np.concatenate([[-m], ends])) - m)
+            self.known.update(zip(group, range(at, at + len(group)), strict=True))
+            at += len(group)
+        for w, e in zip(odd, self.coder.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            self.pool.append(np.array(e.ids, "<u4"))
+            self.size.append(np.array([len(e.ids)], np.int64))
+            self.known[w] = at
+            at += 1
+        self.pool, self.size = [np.concatenate(self.pool)], [np.concatenate(self.size)]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Counts per text, end id included, and all ids."""
@@ -164,23 +205,19 @@ class WordEncoder:
         bounds, words = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
         own = words.dictionary.to_pylist()
         if len(self.known) + len(own) > MEMORY:
-            self.known = {}
-        known = self.known
-        new = [w for w in own if w not in known]
-        for k in range(0, len(new), 20_000):
-            for w, e in zip(part := new[k : k + 20_000], self.coder.encode_batch(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4")
-        rows = [known[w] for w in own] + [np.array([self.end], "<u4")]
-        size = np.array([len(r) for r in rows], np.int64)
-        begin, pool = np.concatenate([[0], np.cumsum(size)[:-1]]), np.concatenate(rows)
+            self._forget()
+        if new := [w for w in own if w not in self.known]:
+            self._learn(new)
+        place = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))
+        size, pool = self.size[0], self.pool[0]
+        begin = np.cumsum(size) - size
         # each text's words, then the end mark
-        n, codes = np.diff(bounds), words.indices.to_numpy()
-        order = np.insert(codes.astype(np.int64), bounds[1:] - bounds[0], len(own))
+        order = np.insert(place[words.indices.to_numpy()], bounds[1:] - bounds[0], 0)
         length = size[order]
-        at = np.repeat(begin[order] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
-        ends = np.cumsum(n + 1)
-        upto = np.concatenate([[0], np.cumsum(length)])
-        return np.diff(upto[np.concatenate([[0], ends])]), pool[at]
+        upto = np.cumsum(length)
+        at = np.repeat(begin[order] - upto + length, length) + np.arange(length.sum())
+        ends = np.cumsum(np.diff(bounds) + 1)
+        return np.diff(np.concatenate([[0], upto[ends - 1]])), pool[at]
 
 
 def slices(batch: pa.RecordBatch, text: str = "text"):

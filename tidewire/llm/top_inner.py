@@ -77,11 +77,19 @@ def search(queries: pd.DataFrame, candidates: pd.DataFrame, basis: np.ndarray, k
         if not len(alive):
             break
         bound = qr[alive, :lead] @ cr[at:upto, :lead].T + np.outer(qrest[alive], crest[at:upto]) + slack[alive, None]
-        a, b = np.nonzero(bound >= low[alive, None])
-        a, b = alive[a], b + at
+        hope = bound >= low[alive, None]
+        if safe and hope.mean() > 1 / 64:  # many pairs are left: finish the sums of their rows and columns in one product of whole numbers
+            rows, cols = np.flatnonzero(hope.any(1)), np.flatnonzero(hope.any(0))
+            full = q[alive[rows]] @ c[at + cols].T
+            a, b = np.nonzero(full >= low[alive[rows], None])
+            score = np.rint(full[a, b]).astype(np.int64)
+            a, b = alive[rows[a]], at + cols[b]
+        else:
+            a, b = np.nonzero(hope)
+            a, b = alive[a], at + b
+            score = np.concatenate([_dots(qi[a[i : i + 65_536]], ci[b[i : i + 65_536]], safe) for i in range(0, len(a), 65_536)] or [np.zeros(0, np.int64)])
         other = qid[a] != cid[b]
-        a, b = a[other], b[other]
-        score = np.concatenate([_dots(qi[a[i : i + 65_536]], ci[b[i : i + 65_536]], safe) for i in range(0, len(a), 65_536)] or [np.zeros(0, np.int64)])
+        a, b, score = a[other], b[other], score[other]
         near = score >= low[a]
         best = [np.concatenate(x) for x in zip(best, (a[near], score[near], b[near]), strict=True)]
         rank = np.lexsort((cid[best[2]], ~best[1], best[0]))  # ~x falls as x rises and never overflows
