@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewire.llm import byte_bpe, near_dedup, quality_rules, source_mix, substring_dedup, token_files, top_inner, url_filters
+from tidewire.llm import byte_bpe, lm_scores, near_dedup, quality_rules, secrets_crf, source_mix, substring_dedup, token_files, top_inner, url_filters
 from tidewire.session import table
 
 
@@ -39,6 +39,14 @@ def op7_near_dedup(spark, sf_dir):
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op8_lm_scores(spark, sf_dir):
+    return lm_scores.lm_scores(table(spark, sf_dir, "documents"), lm_scores.target_sample(table(spark, sf_dir, "labels")))
+
+
+def op9_secrets_crf(spark, sf_dir):
+    return secrets_crf.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -47,7 +55,7 @@ def op10_byte_bpe(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_url_filters, op4_substring_dedup, op5_source_mix, op6_top_inner, op7_near_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_url_filters, op4_substring_dedup, op5_source_mix, op6_top_inner, op7_near_dedup, op8_lm_scores, op9_secrets_crf, op10_byte_bpe)}
 
 
 def oracle_sql():
