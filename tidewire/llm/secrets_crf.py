@@ -272,35 +272,67 @@ def scan(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches):
         tagger = Tagger(crf)
-        strip = re.compile(r"[A-Za-z0-9+/_.=-](?:.*[A-Za-z0-9+/_=-])?", re.S)
         for batch in batches:
             for part in slices(batch):
-                column = part.column("text")
-                texts = column.to_pylist()
-                maybe = pc.fill_null(pc.or_(pc.or_(*(pc.match_substring_regex(column, p) for p in HINTS[:2])), pc.match_substring_regex(column, HINTS[2])), False).to_pylist()
-                bounds, words = split_words(column)
-                tagged = tagger.hits(bounds, words, texts)
-                rows = []
-                for i, text in enumerate(texts):
-                    base = base_spans(text) if maybe[i] else []
-                    added = []
-                    if i in tagged:
-                        at = [(m.start(), m.end()) for m in WORD.finditer(text)]
-                        for a, b in tagged[i]:
-                            s, e = at[a][0], at[b][1]
-                            if m := strip.search(text, s, e):
-                                s, e = m.start(), m.end()
-                            if all(e <= x or s >= y for _, x, y in base):
-                                added.append(("crf", s, e))
-                    every = sorted(base + added, key=lambda x: (x[1], KINDS.index(x[0])))
-                    count = Counter(x[0] for x in every)
-                    rows.append((*(count[k] for k in KINDS), *(",".join(f"{k}:{s}:{e}" for k, s, e in x) for x in (base, every))))
-                columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:4]), *(pa.array(c, pa.string()) for c in columns[4:])], names=["doc_id", "n_assign", "n_access", "n_hex", "n_crf", "base", "spans"])
+                rows = found_spans(tagger, part.column("text"))
+                counts = [[sum(x[0] == k for x in every) for _, every in rows] for k in KINDS]
+                texts = [[",".join(f"{k}:{s}:{e}" for k, s, e in row[j]) for row in rows] for j in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), *(pa.array(c, pa.string()) for c in texts)], names=["doc_id", "n_assign", "n_access", "n_hex", "n_crf", "base", "spans"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_crf long, base string, spans string")
 
 
+STRIP = re.compile(r"[A-Za-z0-9+/_.=-](?:.*[A-Za-z0-9+/_=-])?", re.S)
+
+
+def found_spans(tagger: Tagger, column: pa.Array) -> list[tuple[list, list]]:
+    """Base spans and all spans of each text of an Arrow column."""
+    texts = column.to_pylist()
+    hints = [pc.match_substring_regex(column, p) for p in HINTS]
+    maybe = pc.fill_null(pc.or_(pc.or_(hints[0], hints[1]), hints[2]), False).to_pylist()
+    bounds, words = split_words(column)
+    tagged = tagger.hits(bounds, words, texts)
+    rows = []
+    for i, text in enumerate(texts):
+        base, added = base_spans(text) if maybe[i] else [], []
+        if i in tagged:
+            at = [(m.start(), m.end()) for m in WORD.finditer(text)]
+            for a, b in tagged[i]:
+                s, e = at[a][0], at[b][1]
+                if m := STRIP.search(text, s, e):
+                    s, e = m.start(), m.end()
+                if all(e <= x or s >= y for _, x, y in base):
+                    added.append(("crf", s, e))
+        rows.append((base, sorted(base + added, key=lambda x: (x[1], KINDS.index(x[0])))))
+    return rows
+
+
+def redact_documents(docs: DataFrame, crf: Crf, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """The documents with every found span replaced by a mark, and their number of characters set anew; all other columns pass.
+
+    Rows without spans, null and empty texts pass unchanged.
+    """
+    names = docs.columns
+
+    def run(batches):
+        tagger = Tagger(crf)
+        for batch in batches:
+            for part in slices(batch, text_col):
+                column = part.column(text_col)
+                spans = found_spans(tagger, column)
+                if not any(every for _, every in spans):
+                    yield part
+                    continue
+                texts = [redact(t, ",".join(f"{k}:{s}:{e}" for k, s, e in every)) for t, (_, every) in zip(column.to_pylist(), spans, strict=True)]
+                new = {text_col: pa.array(texts, part.schema.field(text_col).type)}
+                if size_col in names:
+                    old = part.column(size_col).to_pylist()
+                    new[size_col] = pa.array([len(t) if every else n for t, n, (_, every) in zip(texts, old, spans, strict=True)], part.schema.field(size_col).type)
+                yield pa.RecordBatch.from_arrays([new.get(c, part.column(c)) for c in names], schema=part.schema)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def redact(text: str | None, spans: str, mark: str = "[secret]") -> str | None:
     """The text with each stretch of spans replaced by a mark."""
     if text is None or not spans:

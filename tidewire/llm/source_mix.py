@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.shared import WORD, keep
+from tidewire.llm.shared import WORD, keep, words
 
 #: Slot k of the schedule is at the point k / golden ratio mod 1, in units of 2**-31: an odd multiplier visits every unit once.
 UNIT, GOLDEN = 1 << 31, 1327217885
@@ -111,3 +111,27 @@ def mix_totals(docs: DataFrame, block: int = 1024, seed: int = 17, **how) -> Dat
     every = some.unionByName(sized.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
     t = sources.select(F.col("source").alias("s2"), "source_size", "target")
     return every.join(t, F.col("source").eqNullSafe(F.col("s2"))).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, block: int = 1024, seed: int = 17, cap: int = 2, **how) -> DataFrame:
+    """The documents of the mix: a row for each time that one is taken, with the columns of the input.
+
+    The one document of a source at which its quota ends is cut to the words taken (joined by one space, n_chars set anew); all
+    others are whole. Documents without words are in no source's stream and not in the mix. Placements are matched to rows by id,
+    source and size, and rows that agree in all three by their order, so repeated rows give no more than they are.
+    """
+    sized = keep(sizes(docs), "sizes")
+    sources = keep(targets(sized, cap=cap, **how), "sources")
+    taken = mix(sized, sources, block, seed, cap).groupBy("doc_id", "source", "size", "at", "epoch").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    parts = taken.groupBy("doc_id", "source", "size", "at").agg(F.collect_list(F.struct("epoch", "first", "last")).alias("_parts"))
+    same = ["doc_id", "source", "size"]
+    parts = parts.withColumn("_nth", F.row_number().over(Window.partitionBy(*same).orderBy("at"))).select(*(F.col(c).alias(f"_{c}") for c in same), "_nth", "_parts")
+    rows = docs.withColumn("_n", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "source", "_n").orderBy(F.xxhash64("text"))))
+    on = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")) & (F.col("_k") == F.col("_nth"))
+    out = rows.join(parts, on).withColumn("_p", F.explode("_parts"))
+    whole = (F.col("_p.first") == 0) & (F.col("_p.last") == F.col("_n"))
+    cut = F.array_join(F.slice(words(F.col("text")), (F.col("_p.first") + 1).cast("int"), (F.col("_p.last") - F.col("_p.first")).cast("int")), " ")
+    text = F.when(whole, F.col("text")).otherwise(cut)
+    named = {"text": text, "n_chars": F.when(whole, F.col("n_chars")).otherwise(F.length(cut).cast("long"))} if "n_chars" in docs.columns else {"text": text}
+    return out.select(*(named[c].alias(c) if c in named else F.col(c) for c in docs.columns))
