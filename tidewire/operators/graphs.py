@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,18 +19,21 @@ def pairs_within(df: DataFrame, key: str, item: str) -> DataFrame:
     return d.withColumnRenamed(item, "a").join(other, key).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
 
 
+def ready(spark: SparkSession) -> None:
+    """Sets the checkpoint folder to the session's own; only a local session without one gets a temporary folder."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp()
+    spark.sparkContext.setCheckpointDir(folder)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """v and root, the least vertex reachable, by propagating minima; lineage is cut by a reliable checkpoint each round."""
-    spark = edges.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            folder = tempfile.mkdtemp()
-        spark.sparkContext.setCheckpointDir(folder)
+    ready(edges.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     root = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "v").checkpoint()
     while True:
@@ -44,6 +49,7 @@ def components(edges: DataFrame) -> DataFrame:
 def propagate(edges: DataFrame, rounds: int = 14) -> DataFrame:
     """Label propagation by weight: each vertex takes the label of the largest weight around it, ties to the least; all vertices at
     once, so results don't hang on an order of visits. Returns v and label."""
+    ready(edges.sparkSession)
     both = undirected(edges)
     label = both.select(F.col("a").alias("v")).distinct().withColumn("label", F.col("v"))
     for _ in range(rounds):

@@ -1 +1,46 @@
-"""To be filled."""
+"""Streaming queries, each with the batch SQL that it must equal."""
+
+from pyspark.sql import functions as F
+
+from tidewire.plans.registry import query
+from tidewire.streaming.events import drain, naive, read
+
+
+@query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_tumbling(spark, sf):
+    s = read(spark, sf).withWatermark("ts", "60 days").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return naive(drain(s).select(F.col("w.start").alias("day"), "event_type", "n"), "day")
+
+
+@query("SELECT s AS since, count(*) AS n FROM (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS s FROM events) GROUP BY 1")
+def stream_sliding(spark, sf):
+    s = read(spark, sf).withWatermark("ts", "60 days").groupBy(F.window("ts", "2 days", "1 day").alias("w")).agg(F.count("*").alias("n"))
+    return naive(drain(s).select(F.col("w.start").alias("since"), "n"), "since")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOURS THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT user_id, min(ts) AS since, count(*) AS n FROM s GROUP BY user_id, k""")
+def stream_session(spark, sf):
+    s = read(spark, sf).withWatermark("ts", "60 days").groupBy(F.session_window("ts", "12 hours").alias("w"), "user_id").agg(F.count("*").alias("n"))
+    return naive(drain(s).select("user_id", F.col("w.start").alias("since"), "n"), "since")
+
+
+@query("SELECT count(DISTINCT (user_id, event_type)) AS keys FROM events")
+def stream_dedup(spark, sf):
+    s = read(spark, sf).withWatermark("ts", "60 days").select("user_id", "event_type", "ts").dropDuplicates(["user_id", "event_type"])
+    return drain(s, "append").agg(F.count("*").alias("keys"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE ts > (TIMESTAMP '2024-01-20' - INTERVAL 10 DAYS) AND ts <= TIMESTAMP '2024-01-20' + INTERVAL 2 DAYS GROUP BY 1")
+def stream_late(spark, sf):
+    """Rows older than ten days, or more than two days ahead, of a fixed collection time are dropped before the count."""
+    now = F.lit("2024-01-20").cast("timestamp")
+    s = read(spark, sf).filter((F.col("ts") > now - F.expr("INTERVAL 10 DAYS")) & (F.col("ts") <= now + F.expr("INTERVAL 2 DAYS"))).groupBy("event_type").agg(F.count("*").alias("n"))
+    return drain(s)
+
+
+@query("SELECT user_id, ts, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def stream_monotonic(spark, sf):
+    """The newest row per key, as an upsert that older rows never undo: a maximum of (time, id) kept as state."""
+    s = read(spark, sf).groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "value")).alias("m")).select("user_id", "m.ts", "m.event_id", "m.value")
+    return naive(drain(s), "ts")
