@@ -65,6 +65,7 @@ def small_nodes(reps: DataFrame) -> DataFrame:
     level is cut into blocks that all meet each other, so no pair of a node is left out."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     active = reps.select("rep", "n", "sk", "mins", tree).select("rep", "n", "sk", F.slice("mins", F.col("tree") * LEVELS + 1, F.lit(LEVELS)).alias("path"), F.xxhash64("tree").alias("node"))
+    active = keep(active, "paths")  # each level reads these rows twice
     done = []
     for level in range(LEVELS):
         active = active.withColumn("node", F.xxhash64("node", F.lit(level), F.get("path", F.lit(level))))
