@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import random
 import re
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+@cache
 def _slot(name: str) -> int:
     return int.from_bytes(hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % SIZE
 
@@ -52,10 +53,10 @@ def word_features(word: str) -> list[str]:
     n = len(core)
     kinds = (any(c.isdigit() for c in core), any(c.islower() for c in core), any(c.isupper() for c in core), any(c in "+/_=-" for c in core))
     turns = sum(a.isdigit() != b.isdigit() for a, b in zip(core, core[1:], strict=False))
-    spread = -sum(k / n * math.log2(k / n) for k in Counter(core).values()) if n else 0.0
+    spread = min(len(set(core)), 24) // 3
     low = core.lower()
-    out = [f"size{min(n, 48) // 4}", "mix" + "".join("01"[k] for k in kinds), f"turns{min(turns, 12) // 2}", f"spread{int(spread)}", f"hexlike{n >= 12 and all(c in '0123456789abcdefABCDEF' for c in core)}"]
-    out.append("both" + "".join("01"[k] for k in kinds[:3]) + f"{min(n, 48) // 8}{int(spread)}{min(turns, 8) // 2}")
+    out = [f"size{min(n, 48) // 4}", "mix" + "".join("01"[k] for k in kinds), f"turns{min(turns, 12) // 2}", f"spread{spread}", f"hexlike{n >= 12 and all(c in '0123456789abcdefABCDEF' for c in core)}"]
+    out.append("both" + "".join("01"[k] for k in kinds[:3]) + f"{min(n, 48) // 8}{spread}{min(turns, 8) // 2}")
     if low in CUES:
         out.append("cue")
     if n == 0:
@@ -67,13 +68,31 @@ def word_features(word: str) -> list[str]:
     return out
 
 
-#: Words that are letters and closing marks only differ in their length alone.
-PLAIN = r"^\p{L}+[.,;:!?]*$"
+#: Words of letters and closing marks.
+PLAIN = re.compile(r"([a-z\u00df-\u00ff]*)[.,;:!?]*")
+
+
+@cache
+def _plain(n: int, kinds: int) -> tuple[str, ...]:
+    """Features of a word of n lower-case letters of which 3 * kinds or little more differ."""
+    out = (f"size{min(n, 48) // 4}", "mix0100", "turns0", f"spread{kinds}", "hexlikeFalse", f"both010{min(n, 48) // 8}{kinds}0")
+    return out
+
+
+def named_features(word: str) -> tuple[str, ...]:
+    """word_features, by a short way for plain words, which are nearly all."""
+    m = PLAIN.fullmatch(word)
+    if m and (core := m[1]) and len(core) <= 200 and core not in CUES and not set(core) <= set("abcdef"):
+        return _plain(len(core), min(len(set(core)), 24) // 3)
+    return tuple(word_features(word))
 
 
 def features(word: str) -> tuple[list[int], list[int], list[int]]:
     """Slots of a word's features for itself, and as the word before and the word after another."""
-    names = word_features(word)
+    return slots(named_features(word))
+
+
+def slots(names: tuple[str, ...]) -> tuple[list[int], list[int], list[int]]:
     return [_slot("w" + x) for x in names], [_slot("p" + x) for x in names], [_slot("n" + x) for x in names]
 
 
@@ -196,25 +215,28 @@ class Tagger:
     def __init__(self, crf: Crf):
         self.crf, self.known = crf, {}
         self.edge = crf.w[_slot("pstart")], crf.w[_slot("nend")]
+        self.classes: dict[tuple[str, ...], int] = {}
+        self.table: list[np.ndarray] = []
 
-    def _score(self, word: str) -> np.ndarray:
-        return np.stack([self.crf.w[s].sum(0) for s in features(word)])
+    def _class(self, word: str) -> int:
+        names = named_features(word)
+        k = self.classes.get(names)
+        if k is None:
+            k = self.classes[names] = len(self.table)
+            self.table.append(np.stack([self.crf.w[s].sum(0) for s in slots(names)]))
+        return k
 
     def _scores(self, words: pa.Array) -> np.ndarray:
-        """own, before and after scores of distinct words. Plain words share the scores of a plain word of their length class."""
-        text = words.to_pylist()
-        plain = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False)
-        out = np.zeros((len(text), 3, 3))
-        if len(self.known) > 1 << 18:
+        """own, before and after scores of distinct words; words with the same features are a class."""
+        if len(self.known) > 1 << 20:
             self.known = {}
-        for i, w in enumerate(text):
-            s = self.known.get(w)
-            if s is None:
-                s = self._score(w)
-                if not plain[i] or len(w) <= 24:
-                    self.known[w] = s
-            out[i] = s
-        return out
+        known, at = self.known, np.zeros(len(words), int)
+        for i, w in enumerate(words.to_pylist()):
+            k = known.get(w)
+            if k is None:
+                k = known[w] = self._class(w)
+            at[i] = k
+        return np.stack(self.table)[at]
 
     def hits(self, bounds: np.ndarray, words: pa.Array, texts: list[str | None]) -> dict[int, list[tuple[int, int]]]:
         """By text: (first, last word) of each tagged secret."""
