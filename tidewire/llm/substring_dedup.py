@@ -18,7 +18,7 @@ from tidewire.llm.token_files import slices
 #: Words of the m-gram whose least hash is a window's minimiser.
 M = 4
 #: Windows of one bucket group, on average.
-GROUP = 1 << 21
+GROUP = 1 << 19
 #: A minimiser with this share of a slice's super-k-mers (and HOT_LEAST of them) may be hot.
 HOT_SHARE, HOT_LEAST = 1 / 2000, 64
 ODD = 0x9E3779B97F4A7C15
@@ -62,11 +62,13 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 def _pack(words: pa.Array, codes: np.ndarray, width: int, doc: np.ndarray, key: np.ndarray, start: np.ndarray, local: np.ndarray, count: np.ndarray, twice: np.ndarray, known: np.ndarray) -> bytes:
     """Super-k-mers as one string: their words once, then numbers. `known`: starts of windows that are known to repeat."""
-    used, at = np.unique(codes[_ranges(start, count + width - 1)], return_inverse=True)
+    used, at, times = np.unique(codes[_ranges(start, count + width - 1)], return_inverse=True, return_counts=True)
+    order = np.argsort(-times, kind="stable")  # frequent words get small numbers, whose upper bytes are zeros
+    used, at = used[order], np.argsort(order)[at]
     text = "\n".join(words.take(pa.array(used)).to_pylist()).encode("utf-8", "surrogatepass")
     docs, own = np.unique(np.concatenate([doc, known[:, 0]]), return_inverse=True)
     head = np.array([len(text), len(at), len(start), len(docs), len(known)], "<i8")
-    parts = [head, text, at.astype("<u4"), key[docs].astype("<i8"), own[: len(doc)].astype("<u4"), local.astype("<u4"), count.astype("<u4"), twice.astype("u1"), own[len(doc) :].astype("<u4"), known[:, 1].astype("<u4")]
+    parts = [head, text, np.ascontiguousarray(at.astype("<u4").view("u1").reshape(-1, 4).T), key[docs].astype("<i8"), own[: len(doc)].astype("<u4"), local.astype("<u4"), count.astype("<u4"), twice.astype("u1"), own[len(doc) :].astype("<u4"), known[:, 1].astype("<u4")]
     return zstandard.ZstdCompressor(level=3).compress(b"".join(p if isinstance(p, bytes) else p.tobytes() for p in parts))
 
 
@@ -75,7 +77,9 @@ def _unpack(blob: bytes) -> tuple:
     n_text, n_at, n, n_docs, n_known = np.frombuffer(data, "<i8", 5).tolist()
     text, at = data[40 : 40 + n_text].decode("utf-8", "surrogatepass"), 40 + n_text
     out = []
-    for kind, size in (("<u4", n_at), ("<i8", 2 * n_docs), ("<u4", n), ("<u4", n), ("<u4", n), ("u1", n), ("<u4", n_known), ("<u4", n_known)):
+    out.append(np.frombuffer(data, "u1", 4 * n_at, at).reshape(4, n_at).T.copy().view("<u4").ravel())  # byte planes
+    at += 4 * n_at
+    for kind, size in (("<i8", 2 * n_docs), ("<u4", n), ("<u4", n), ("<u4", n), ("u1", n), ("<u4", n_known), ("<u4", n_known)):
         out.append(np.frombuffer(data, kind, size, at))
         at += size * int(np.dtype(kind).itemsize)
     return text.split("\n") if n_text else [], *out
