@@ -220,10 +220,10 @@ class WordEncoder:
         return np.diff(np.concatenate([[0], upto[ends - 1]])), pool[at]
 
 
-def slices(batch: pa.RecordBatch, text: str = "text"):
-    """Parts of a batch of about SLICE bytes of text, so that memory doesn't hang on the batch's number of rows."""
+def slices(batch: pa.RecordBatch, text: str = "text", size: int = SLICE):
+    """Parts of a batch of about `size` bytes of text, so that memory doesn't hang on the batch's number of rows."""
     n = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    parts, k = np.cumsum(n) // SLICE, 0
+    parts, k = np.cumsum(n) // size, 0
     while k < len(n):
         upto = int(np.searchsorted(parts, parts[k], "right"))
         yield batch.slice(k, upto - k)
