@@ -18,7 +18,7 @@ from tidewire.llm.token_files import slices
 #: Words of the m-gram whose least hash is a window's minimiser.
 M = 4
 #: Windows of one bucket group, on average.
-GROUP = 1 << 19
+GROUP = 1 << 20
 #: A minimiser with this share of a slice's super-k-mers (and HOT_LEAST of them) may be hot.
 HOT_SHARE, HOT_LEAST = 1 / 2000, 64
 ODD = 0x9E3779B97F4A7C15
@@ -45,13 +45,20 @@ def super_kmers(bounds: np.ndarray, h: np.ndarray, width: int) -> tuple[np.ndarr
     return text[start], start, count, low[start]
 
 
-def _rolling(codes: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each `width` codes in a row, in constant time each: sums of code * ODD**i, divided by ODD**i modulo 2**64."""
-    n = len(codes)
+def _rolling(codes: np.ndarray, width: int, at: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """A hash of the `width` codes from each place of `at` (rising), in constant time each and bounded memory beside the result:
+    sums of code * ODD**i over a stretch, divided by ODD**i modulo 2**64."""
+    n = min(len(codes), step + width)
     up = np.cumprod(np.concatenate([[U(1)], np.full(max(n - 1, 0), U(ODD))]))[:n]
     down = np.cumprod(np.concatenate([[U(1)], np.full(max(n - 1, 0), U(ODD_INVERSE))]))[:n]
-    total = np.concatenate([[U(0)], np.cumsum(mixed(codes.astype(U) + U(1)) * up)])
-    return mixed((total[width:] - total[:-width]) * down[: n - width + 1])
+    out = np.zeros(len(at), U)
+    for lo in range(0, len(codes), step):
+        part = codes[lo : lo + step + width]
+        i, j = np.searchsorted(at, [lo, lo + step])
+        total = np.concatenate([[U(0)], np.cumsum(mixed(part.astype(U) + U(1)) * up[: len(part)])])
+        k = at[i:j] - lo
+        out[i:j] = mixed((total[k + width] - total[k]) * down[k])
+    return out
 
 
 def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -60,12 +67,13 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - upto + length, length) + np.arange(upto[-1] if len(upto) else 0)
 
 
-def _pack(words: pa.Array, codes: np.ndarray, width: int, doc: np.ndarray, key: np.ndarray, start: np.ndarray, local: np.ndarray, count: np.ndarray, twice: np.ndarray, known: np.ndarray) -> bytes:
+def _pack(words: pa.Array, alpha: np.ndarray, codes: np.ndarray, width: int, doc: np.ndarray, key: np.ndarray, start: np.ndarray, local: np.ndarray, count: np.ndarray, twice: np.ndarray, known: np.ndarray) -> bytes:
     """Super-k-mers as one string: their words once, then numbers. `known`: starts of windows that are known to repeat."""
     used, at, times = np.unique(codes[_ranges(start, count + width - 1)], return_inverse=True, return_counts=True)
-    order = np.argsort(-times, kind="stable")  # frequent words get small numbers, whose upper bytes are zeros
+    # frequent words get small numbers, whose upper bytes are zeros; words of like frequency are in alphabetical order
+    order = np.lexsort((alpha[used], -np.floor(np.log2(times))))
     used, at = used[order], np.argsort(order)[at]
-    text = "\n".join(words.take(pa.array(used)).to_pylist()).encode("utf-8", "surrogatepass")
+    text = "\n".join(words.take(pa.array(used)).to_pylist()).encode()
     docs, own = np.unique(np.concatenate([doc, known[:, 0]]), return_inverse=True)
     head = np.array([len(text), len(at), len(start), len(docs), len(known)], "<i8")
     parts = [head, text, np.ascontiguousarray(at.astype("<u4").view("u1").reshape(-1, 4).T), key[docs].astype("<i8"), own[: len(doc)].astype("<u4"), local.astype("<u4"), count.astype("<u4"), twice.astype("u1"), own[len(doc) :].astype("<u4"), known[:, 1].astype("<u4")]
@@ -75,14 +83,15 @@ def _pack(words: pa.Array, codes: np.ndarray, width: int, doc: np.ndarray, key:
 def _unpack(blob: bytes) -> tuple:
     data = zstandard.ZstdDecompressor().decompress(blob)
     n_text, n_at, n, n_docs, n_known = np.frombuffer(data, "<i8", 5).tolist()
-    text, at = data[40 : 40 + n_text].decode("utf-8", "surrogatepass"), 40 + n_text
+    # split in Arrow: millions of words as Python strings would take most of a worker's memory
+    text, at = pa.array([data[40 : 40 + n_text]], pa.large_binary()).cast(pa.large_string()), 40 + n_text
     out = []
     out.append(np.frombuffer(data, "u1", 4 * n_at, at).reshape(4, n_at).T.copy().view("<u4").ravel())  # byte planes
     at += 4 * n_at
     for kind, size in (("<i8", 2 * n_docs), ("<u4", n), ("<u4", n), ("<u4", n), ("u1", n), ("<u4", n_known), ("<u4", n_known)):
         out.append(np.frombuffer(data, kind, size, at))
         at += size * int(np.dtype(kind).itemsize)
-    return text.split("\n") if n_text else [], *out
+    return pc.split_pattern(text, "\n").flatten() if n_text else pa.array([], pa.large_string()), *out
 
 
 def frequent(docs: DataFrame, width: int) -> tuple[int, np.ndarray]:
@@ -122,6 +131,7 @@ def packed(docs: DataFrame, width: int, groups: int, hot: np.ndarray) -> DataFra
                 h = word_hashes(flat)
                 d = flat.dictionary_encode()
                 codes = d.indices.to_numpy()
+                alpha = np.argsort(pc.sort_indices(d.dictionary).to_numpy())
                 key = np.stack([part.column("doc").to_numpy(), part.column("h").to_numpy()], axis=1)
                 text, start, count, low = super_kmers(bounds, h, width)
                 bucket, twice = mixed(low), np.zeros(len(start), bool)
@@ -146,7 +156,7 @@ def packed(docs: DataFrame, width: int, groups: int, hot: np.ndarray) -> DataFra
                 for g in np.flatnonzero((np.diff(cuts) > 0) | (np.diff(known_cuts) > 0)).tolist():
                     i, j = order[cuts[g] : cuts[g + 1]], known_order[known_cuts[g] : known_cuts[g + 1]]
                     gs.append(g)
-                    blobs.append(_pack(d.dictionary, codes, width, text[i], key, start[i], start[i] - bounds[text[i]], count[i], twice[i], known[j]))
+                    blobs.append(_pack(d.dictionary, alpha, codes, width, text[i], key, start[i], start[i] - bounds[text[i]], count[i], twice[i], known[j]))
                 yield pa.RecordBatch.from_arrays([pa.array(gs, pa.int64()), pa.array(blobs, pa.binary())], names=["g", "blob"])
 
     return docs.mapInArrow(run, "g long, blob binary")
@@ -156,7 +166,7 @@ def _repeated(codes: np.ndarray, at: np.ndarray, twice: np.ndarray, width: int)
     """Which windows (beginning at `at`) have a sequence that another window has too: sorted by hash, then compared word by word."""
     if not len(at):
         return np.zeros(0, bool)
-    h = _rolling(codes, width)[at]
+    h = _rolling(codes, width, at)
     order = np.argsort(h, kind="stable")
     sorted_h = h[order]
     first = np.concatenate([[True], sorted_h[1:] != sorted_h[:-1]])
@@ -182,7 +192,7 @@ def covered(blobs: DataFrame, groups: int, width: int) -> DataFrame:
     def run(batches):
         for t in runs(batches, "g"):
             parts = [_unpack(b) for b in t.column("blob").to_pylist()]
-            words = pa.chunked_array([pa.array(p[0], pa.large_string()) for p in parts]).combine_chunks().dictionary_encode()
+            words = pa.chunked_array([p[0] for p in parts]).combine_chunks().dictionary_encode()
             base = np.cumsum([0] + [len(p[0]) for p in parts])
             code = words.indices.to_numpy()
             codes = np.concatenate([code[b:e][p[1]] for p, b, e in zip(parts, base[:-1], base[1:], strict=True)])
