@@ -279,9 +279,14 @@ class Tagger:
 
 
 def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Crf:
-    """A model fitted on the base matches of at most `sample` documents and on secrets made up among their words."""
-    rows = docs.select(F.col(text_col).alias("text")).filter("text IS NOT NULL").select(F.substring("text", 1, 20_000).alias("text"), F.xxhash64("text").alias("h"))
-    return Crf.train(training_rows([r.text for r in rows.orderBy("h", "text").limit(sample).collect()]))
+    """A model fitted on the base matches of at most `sample` texts (those of least hash, each once) and on secrets made up among their words."""
+    rows = docs.select(F.col(text_col).alias("text")).filter("text IS NOT NULL").withColumn("h", F.xxhash64("text"))
+    least = [r.h for r in rows.select("h").distinct().orderBy("h").limit(sample).collect()]
+    if not least:
+        return Crf.train([])
+    # one text of each hash: tasks send the sample's texts and no others
+    found = rows.filter(F.col("h") <= least[-1]).select("h", F.substring("text", 1, 20_000).alias("text")).groupBy("h").agg(F.min("text").alias("text"))
+    return Crf.train(training_rows([r.text for r in sorted(found.collect(), key=lambda r: r.h)]))
 
 
 def scan(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
