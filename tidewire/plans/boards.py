@@ -178,11 +178,11 @@ def window_dedup_cap(spark, sf):
     return windows.top_k(one, ["event_type"], [F.desc("ts"), F.col("event_id")], 60).select("event_type", "user_id", "event_id")
 
 
-@query("""WITH c AS (SELECT user_id, event_type, count(*) AS n, min(ts) AS seen FROM events GROUP BY 1, 2) SELECT user_id, event_type, n FROM c WHERE n >= 2 AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' GROUP BY 1 HAVING count(*) > 1)""")
+@query("""WITH c AS (SELECT user_id, event_type, count(*) AS n, min(ts) AS seen FROM events GROUP BY 1, 2) SELECT user_id, event_type, n FROM c WHERE n >= 2 AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' GROUP BY 1 HAVING count(*) > 14)""")
 def new_name_alerts(spark, sf):
     """Names seen twice that were not announced before."""
     c = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    told = c.filter("event_type = 'signup' AND n > 1").select("user_id")
+    told = c.filter("event_type = 'signup' AND n > 14").select("user_id")
     return c.filter("n >= 2").join(told, "user_id", "left_anti")
 
 
