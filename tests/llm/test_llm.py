@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import struct
 import zlib
@@ -12,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.llm import byte_bpe, components, lm_scores, near_dedup, quality_rules, secrets_crf, source_mix, substring_dedup, token_files, top_inner, url_filters
+from tidewire.llm import byte_bpe, components, lm_scores, near_dedup, quality_rules, secrets_crf, source_mix, substring_dedup, token_files, top_inner, url_filters, word_spans
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PROSE = " ".join(f"w{i % 97}x{i % 31}" for i in range(400))
@@ -238,6 +239,50 @@ def test_byte_bpe(spark, docs, none):
     assert byte_bpe.digest(none, bpe).count() == 0
 
 
+def test_byte_bpe_without_dictionary(spark):
+    """All words but whole pieces are folded where they occur."""
+    import public_tokenizers as p
+    import tiktoken
+
+    bpe = byte_bpe.ByteBpe(spark, p.path("byte_bpe_50k.tiktoken"), p.PATTERN, dict_words=0)
+    coder = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=dict(bpe.pairs), special_tokens={})
+    odd = [(i, "".join(random.Random(i).choice(ODD) for _ in range(i))) for i in range(120)] + [(-1, "y" * 300 + "zq"), (-2, "zzqx")]
+    for rows in (odd, TEXTS):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = bpe.decode(bpe.encode(df)).collect()
+        want = [(d, coder.encode_ordinary(t or ""), (t or "").encode()) for d, t in rows]
+        assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.ids, bytes(r.decoded))) for r in got)
+        assert all(bytes(r.id_bytes) == struct.pack(f"<{len(r.ids)}I", *r.ids) for r in got)
+
+
+ODD = "abe rtslLvmd'''  \n\t.1é日🙂  ²́\x1c\x85"
+
+
+@pytest.mark.parametrize("pattern", [word_spans.COMMON, r"\w+| +"])
+def test_word_spans(pattern):
+    """Splitting finds the matches of the regex library, also where a slice starts within a buffer."""
+    import public_tokenizers
+    import regex
+
+    assert word_spans.COMMON == public_tokenizers.PATTERN
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(ODD) for _ in range(rng.randrange(40))) for _ in range(20000)]
+    texts += ["", "'", "''s", "'s's", "'ll'", "a'", "'r", " 's", "\n's", "it're"]
+    split, array = word_spans.Splitter(pattern), pa.array(texts)
+    for part in (array, array.slice(17), array.slice(3, 1), array.slice(0, 0)):
+        words, firsts = split(part)
+        words = words.to_pylist()
+        assert [words[a:b] for a, b in zip(firsts[:-1], firsts[1:], strict=True)] == [regex.findall(pattern, t) for t in part.to_pylist()]
+
+
+def test_word_spans_know_every_character():
+    import regex
+
+    every = [f"a{chr(c)}b 1{chr(c)}2 .{chr(c)}! {chr(c)}" for c in [*range(0xD800), *range(0xE000, 0x110000, 7)]]
+    words, _ = word_spans.Splitter(word_spans.COMMON)(pa.array(every))
+    assert words.to_pylist() == [w for t in every for w in regex.findall(word_spans.COMMON, t)]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

@@ -1,22 +1,28 @@
-"""Byte-level BPE: ranked merges folded over the bytes of distinct words with higher-order functions and a literal rank map."""
+"""Byte-level BPE: ranked merges folded over the bytes of words with higher-order functions and a literal rank map.
+
+Texts are split and words looked up over Arrow buffers; a word that the dictionary does not have is folded where it occurs.
+"""
 
 from __future__ import annotations
 
 import base64
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tidewire.llm.shared import keep, let
+from tidewire.llm.word_spans import Splitter, ragged, slices, stretches
 
-#: Buckets of the literal maps. A Spark map is searched from its start, so a map is held as an array of very small maps by hash.
-RANK_BUCKETS = 1 << 16
+#: Buckets of the literal map. A Spark map is searched from its start, so the map is held as an array of very small maps by key.
 PAIR_BUCKETS = 262_139
-DICT_BUCKETS = 1 << 18
-#: Bounds of the literal dictionary of frequent words; other words are folded where they occur.
+#: Bounds of the dictionary of frequent words; other words are folded where they occur.
 DICT_WORDS, DICT_BYTES = 400_000, 32
-#: A document with a longer word (bytes) is encoded outside Spark's functions: folding costs the square of a word's length.
+#: Longer words (bytes) are encoded by the tiktoken library: folding costs the square of a word's length.
 LONG = 256
+#: Ids that are completed and decoded at a time, if no single text has more.
+IDS = 1 << 18
 
 
 def read_ranks(path: str) -> list[tuple[bytes, int]]:
@@ -25,27 +31,13 @@ def read_ranks(path: str) -> list[tuple[bytes, int]]:
         return [(base64.b64decode(a), int(b)) for a, b in map(bytes.split, f)]
 
 
-def _bucket(key: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-
-
-def _pair_key(a: Column, b: Column) -> Column:
-    return F.shiftleft(a.cast("long"), 20) + b
-
+def fold(start: Column, pairs: Column) -> Column:
+    """The ids of one word: merge the leftmost pair of the lowest rank until no pair has a rank.
 
-def _find(maps: Column, key: Column, n: int) -> Column:
-    return F.try_element_at(F.get(maps, _bucket(key, n))["m"], key)
-
-
-def fold(word: Column, tables: tuple[Column, Column]) -> Column:
-    """The ids of one word (a string): merge the leftmost pair of the lowest rank until no pair has a rank.
-
-    `tables`: ranks by piece, and ranks by pair of neighbouring ids; a rank is the id of what the pair makes. The accumulator holds
-    the ids and the rank of each neighbouring pair, and a merge looks up the two pairs that it makes.
+    `start`: p, the ids of the word's bytes, and r, the rank of each neighbouring pair (null: none). `pairs`: ranks by pair of
+    neighbouring ids; a rank is the id of what the pair makes. A merge looks up the two pairs that it makes.
     """
-    ranks, pairs = tables
-    rank = lambda piece: _find(ranks, piece, RANK_BUCKETS)
-    pair = lambda a, b: let(_pair_key(a, b), lambda k: F.try_element_at(F.get(pairs, F.pmod(k, F.lit(PAIR_BUCKETS)).cast("int"))["m"], k))
+    pair = lambda a, b: let(F.shiftleft(a.cast("long"), 20) + b, lambda k: F.try_element_at(F.get(pairs, F.pmod(k, F.lit(PAIR_BUCKETS)).cast("int"))["m"], k))
     none, most = F.array().cast("array<int>"), F.lit(1 << 30)
 
     def step(acc: Column, _: Column) -> Column:
@@ -58,14 +50,139 @@ def fold(word: Column, tables: tuple[Column, Column]) -> Column:
 
         return let(F.array_min(acc["r"]), lambda best: F.when(best.isNull(), acc).otherwise(let(F.array_position(acc["r"], best).cast("int"), lambda j: merge(best, j))))
 
-    def run(b: Column) -> Column:
-        n = F.octet_length(b)
-        singles = F.transform(F.sequence(F.lit(1), n), lambda i: rank(F.substring(b, i, F.lit(1))))
-        start = let(singles, lambda p: F.struct(p.alias("p"), F.transform(F.sequence(F.lit(1), n - 1), lambda i: pair(F.get(p, i - 1), F.get(p, i))).alias("r")))
-        merged = F.aggregate(F.sequence(F.lit(2), n), start, step, lambda acc: acc["p"])
-        return let(rank(b), lambda whole: F.when(whole.isNotNull(), F.array(whole)).when(n == 0, none).otherwise(merged))
+    return F.aggregate(start["r"], start, step, lambda acc: acc["p"])
+
+
+class Starts:
+    """Where folding starts, for many words at a time: ids of single bytes and ranks of pairs of bytes."""
+
+    def __init__(self, pairs: list[tuple[bytes, int]]):
+        self.one, self.two = np.full(256, -1, np.int32), np.full(1 << 16, -1, np.int32)
+        for piece, i in pairs:
+            if len(piece) == 1:
+                self.one[piece[0]] = i
+            elif len(piece) == 2:
+                self.two[piece[0] << 8 | piece[1]] = i
+
+    def of(self, words):
+        """A struct array (p, r) of a string array without empty words."""
+        import pyarrow as pa
+
+        offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        inner = np.ones(len(data), bool)
+        inner[offsets[1:] - 1] = False
+        ranks = np.zeros(len(data), np.int32)
+        ranks[:-1] = self.two[data[:-1].astype(np.int32) << 8 | data[1:]]
+        ranks = ranks[inner]
+        p = pa.ListArray.from_arrays(pa.array(offsets), pa.array(self.one[data]))
+        r = pa.ListArray.from_arrays(pa.array((offsets - np.arange(len(offsets))).astype(np.int32)), pa.array(ranks, mask=ranks < 0))
+        return pa.StructArray.from_arrays([p, r], names=["p", "r"])
+
+
+START = "struct<p: array<int>, r: array<int>>"
+
+
+class Lookup:
+    """Ids of the known words of texts: pieces of the vocabulary and the dictionary. One of it is kept per worker."""
+
+    kept: dict = {}
+
+    @classmethod
+    def get(cls, shared, pairs, pattern):
+        if shared.value[0] not in cls.kept:
+            cls.kept.clear()
+            cls.kept[shared.value[0]] = cls(shared.value[1], pairs.value, pattern)
+        return cls.kept[shared.value[0]]
+
+    def __init__(self, table: bytes, pairs, pattern: str):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        self.split, self.starts, self.pairs, self.coder = Splitter(pattern), Starts(pairs), pairs, None
+        whole = []
+        for piece, i in pairs:
+            try:
+                whole.append((piece.decode(), i))
+            except UnicodeDecodeError:
+                continue  # half a character is never a word
+        vocabulary = pa.array([w for w, _ in whole], pa.string())
+        head = pa.ipc.open_stream(table).read_all().combine_chunks()
+        head = head.filter(pc.invert(pc.is_in(head["word"], value_set=vocabulary)))
+        ids = head["ids"].combine_chunks() if len(head) else pa.array([], pa.list_(pa.int32()))
+        self.words = pa.concat_arrays([vocabulary, *head["word"].cast(pa.string()).chunks])
+        self.flat = np.concatenate([np.array([i for _, i in whole], np.int32), ids.flatten().to_numpy(), [-1]]).astype(np.int32)
+        self.size = np.concatenate([np.ones(len(whole), np.int64), ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), [1]])
+        self.at = np.concatenate([[0], np.cumsum(self.size)[:-1]])
+
+    def _whole(self, word: str) -> np.ndarray:
+        """The ids of a long word by the tiktoken library."""
+        if self.coder is None:
+            import tiktoken
 
-    return let(word.cast("binary"), run)
+            self.coder = tiktoken.Encoding("one", pat_str="(?s).+", mergeable_ranks=dict(self.pairs), special_tokens={})
+        return np.array(self.coder.encode_ordinary(word), np.int32)
+
+    def of(self, texts):
+        """(ids, rare) of a string array: per text the ids, -1 for each unknown word, and where folding of those starts."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        words, firsts = self.split(texts)
+        found = pc.index_in(words, value_set=self.words).fill_null(len(self.words)).to_numpy()
+        at, size, flat = self.at[found], self.size[found], self.flat
+        unknown = np.flatnonzero(found == len(self.words))
+        rare = words.take(pa.array(unknown))
+        long = pc.binary_length(rare).to_numpy(zero_copy_only=False) > LONG
+        if long.any():
+            parts = [self._whole(w) for w in rare.filter(pa.array(long)).to_pylist()]
+            lengths = np.array([len(x) for x in parts])
+            at[unknown[long]], size[unknown[long]] = len(flat) + np.cumsum(lengths) - lengths, lengths
+            flat = np.concatenate([flat, *parts])
+            rare, unknown = rare.filter(pa.array(~long)), unknown[~long]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = pa.ListArray.from_arrays(pa.array(ends[firsts].astype(np.int32)), pa.array(flat[ragged(at, size)]))
+        return ids, pa.ListArray.from_arrays(pa.array(np.searchsorted(unknown, firsts).astype(np.int32)), self.starts.of(rare))
+
+
+def _fill(ids, folded):
+    """The lists `ids` with each -1 replaced by the next of the folded words, which are lists of lists in the same order."""
+    import pyarrow as pa
+
+    offsets = ids.offsets.to_numpy()
+    flat = ids.flatten().to_numpy()
+    holes = np.flatnonzero(flat == -1)
+    inner = folded.flatten()
+    size = np.ones(len(flat), np.int64)
+    lengths = inner.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    size[holes] = lengths
+    at = np.arange(len(flat))
+    at[holes] = len(flat) + np.cumsum(lengths) - lengths
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return pa.ListArray.from_arrays(pa.array(ends[offsets - offsets[0]].astype(np.int32)), pa.array(np.concatenate([flat, inner.flatten().to_numpy()])[ragged(at, size)]))
+
+
+class Decoder:
+    """The bytes of lists of ids, and the ids as bytes."""
+
+    def __init__(self, pairs):
+        import pyarrow as pa
+
+        by = dict((i, p) for p, i in pairs)
+        self.top = max(by) + 1
+        self.pieces = pa.array([by.get(i, b"") for i in range(self.top + 1)], pa.large_binary())
+
+    def of(self, ids):
+        """(decoded, id bytes) as binary arrays."""
+        import pyarrow as pa
+
+        flat = ids.flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+        found = self.pieces.take(pa.array(np.where((flat < 0) | (flat > self.top), self.top, flat)))
+        offsets = np.frombuffer(found.buffers()[1], np.int64)[ends] if len(found) else ends
+        binary = lambda at, data: pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(at), data]).cast(pa.binary())
+        return binary(offsets, found.buffers()[2]), binary(ends * 4, pa.py_buffer(flat.astype("<i4")))
 
 
 class ByteBpe:
@@ -77,96 +194,110 @@ class ByteBpe:
 
         by = dict(self.pairs)
         pairs = [((by[p[:k]] << 20) + by[p[k:]], i) for p, i in self.pairs for k in range(1, len(p)) if p[:k] in by and p[k:] in by]
-        self.table = spark.createDataFrame(pd.DataFrame(self.pairs, columns=["piece", "id"]), "piece binary, id int").coalesce(1)
-        self.table2 = spark.createDataFrame(pd.DataFrame(pairs, columns=["pair", "id"]), "pair long, id int").coalesce(1)
+        self.table = spark.createDataFrame(pd.DataFrame(pairs, columns=["pair", "id"]), "pair long, id int").coalesce(1)
+        self.shared = spark.sparkContext.broadcast(self.pairs)
 
-    def tables(self) -> tuple[Column, Column]:
-        """The literal ranks by piece and by pair of ids: every way to make a piece of two pieces."""
-        return _dense_scalar(self.table, "piece", "id", RANK_BUCKETS).alias("_r"), _dense_scalar(self.table2, "pair", "id", PAIR_BUCKETS, lambda k: F.pmod(k, F.lit(PAIR_BUCKETS)).cast("int")).alias("_p")
+    def literal(self) -> Column:
+        """The literal ranks by pair of ids: every way to make a piece of two pieces."""
+        return _dense_scalar(self.table, "pair", "id", PAIR_BUCKETS).alias("_p")
 
-    def words(self, text: Column) -> Column:
-        """The words of a text in order; a null text has none. (?U): white space is Unicode's."""
-        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?U){self.pattern}"), F.lit(0))
-
-    def dictionary(self, docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, int]:
-        """(word, ids) of the most frequent words of all documents, and the bytes of the longest word of any document.
+    def dictionary(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """(word, ids) of the most frequent words of all documents.
 
         Words are counted over the whole corpus, summed before the shuffle. Counts are cut at an eighth of a power of two so that
-        at most `dict_words` words of at most DICT_BYTES bytes are left: the literal's size has a bound that no corpus moves.
+        at most `dict_words` words of at most DICT_BYTES bytes are left: the dictionary's size has a bound that no corpus moves.
         """
-        counts = keep(docs.select(F.explode(self.words(F.col(text_col))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+        pattern, pairs = self.pattern, self.shared
+
+        def count(batches):
+            import pyarrow as pa
+
+            split = Splitter(pattern)
+            for b in batches:
+                chunks = [split(part)[0] for _, part in slices(b.column(0))]
+                found = pa.chunked_array(chunks, pa.string()).value_counts()
+                yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "n"])
+
+        def start(batches):
+            import pyarrow as pa
+
+            starts = Starts(pairs.value)
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), starts.of(b.column(0).cast(pa.string()))], names=["word", "s"])
+
+        parts = docs.select(F.col(text_col).alias("_text")).mapInArrow(count, "word string, n long")
+        counts = keep(parts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.octet_length("word") <= DICT_BYTES), "words")
         grade = F.floor(F.log2("n") * 8).cast("int")
-        rows = counts.groupBy(F.when(F.octet_length("word") <= DICT_BYTES, grade).alias("g")).agg(F.count(F.lit(1)).alias("words"), F.max(F.octet_length("word")).alias("longest")).collect()
         cut, total = 1 << 30, 0
-        for g, n in sorted(((r.g, r.words) for r in rows if r.g is not None), reverse=True):
+        for g, n in sorted(((r.g, r.words) for r in counts.groupBy(grade.alias("g")).agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True):
             if (total := total + n) > self.dict_words:
                 break
             cut = g
-        head = counts.filter((F.octet_length("word") <= DICT_BYTES) & (grade >= cut))
-        folded = head.select("word", *self.tables()).select("word", let(F.col("_r"), lambda r: let(F.col("_p"), lambda p: fold(F.col("word"), (r, p)))).alias("ids"))
-        return keep(folded, "dictionary"), max((r.longest for r in rows), default=0)
+        head = counts.filter(grade >= cut).select("word").mapInArrow(start, f"word string, s {START}")
+        return head.select("*", self.literal()).select("word", let(F.col("_p"), lambda p: fold(F.col("s"), p)).alias("ids"))
 
-    def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """id and ids (array of int), one row per input row.
+    def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+        """id and ids (array of int), one row per input row; with `decoded`, what decode() adds follows.
 
         A null or empty text has no ids. Repeated rows are encoded one by one; other columns are not read; an empty table gives an
-        empty result. There is no shuffle of texts: frequent words are looked up in the literal dictionary, all others folded in
-        place. Documents with a word of over LONG bytes, if there are any, are encoded by the tiktoken library's own merge instead.
+        empty result. There is no shuffle of texts: frequent words are looked up in the dictionary, which is broadcast and has a
+        bound, and all others are folded in place. Only words of over LONG bytes are left to the tiktoken library's own merge.
         """
-        head, longest = self.dictionary(docs, text_col)
-        maps = _dense_scalar(head, "word", "ids", DICT_BUCKETS)
-        rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
-        far = F.exists(self.words(F.col("_text")), lambda w: F.octet_length(w) > LONG)
-        near = rows.filter(~far) if longest > LONG else rows
-        of = lambda w, d, r, p: F.coalesce(_find(d, w, DICT_BUCKETS), fold(w, (r, p)))
-        ids = let(F.col("_d"), lambda d: let(F.col("_r"), lambda r: let(F.col("_p"), lambda p: F.flatten(F.transform(self.words(F.col("_text")), lambda w: of(w, d, r, p))))))
-        out = near.select("*", maps.alias("_d"), *self.tables()).select(id_col, ids.alias("ids"))
-        return out if longest <= LONG else out.unionByName(self._encode_far(rows.filter(far), id_col))
-
-    def _encode_far(self, rows: DataFrame, id_col: str) -> DataFrame:
-        pairs, pattern = self.pairs, self.pattern
-
-        def run(batches):
-            import pyarrow as pa
-            import tiktoken
+        import uuid
 
-            coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=dict(pairs), special_tokens={})
-            for b in batches:
-                ids = [coder.encode_ordinary(t.as_py()) for t in b.column(1)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
-
-        kind = rows.schema[id_col].dataType.simpleString()
-        return rows.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+        import pyarrow as pa
 
-    def pieces(self, form) -> Column:
-        """form(piece, id) of each id, as a literal array by id of strings that hold just these bytes, UTF-8 or not."""
-        import pandas as pd
+        table, sink = self.dictionary(docs, text_col).toArrow(), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        head, pairs, pattern = self.spark.sparkContext.broadcast((uuid.uuid4().hex, sink.getvalue().to_pybytes())), self.shared, self.pattern
 
-        by = {i: p for p, i in self.pairs}
-        rows = pd.DataFrame([(i, form(by[i], i) if i in by else b"") for i in range(max(by) + 1)], columns=["id", "v"])
-        df = self.spark.createDataFrame(rows, "id int, v binary").coalesce(1)
-        return df.orderBy("id").coalesce(1).agg(F.collect_list(F.col("v").cast("string")).alias("a")).scalar()
+        def look_up(batches):
+            coder = Lookup.get(head, pairs, pattern)
+            for b in batches:
+                for k, part in slices(b.column(1)):
+                    ids, rare = coder.of(part)
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(k, len(part)), ids, rare], names=["_id", "ids", "rare"])
+
+        def fill(batches):
+            decoder = Decoder(pairs.value) if decoded else None
+            for batch in batches:
+                for k, end in stretches(batch.column(1).value_lengths().to_numpy(zero_copy_only=False), IDS):
+                    b = batch.slice(k, end - k)
+                    ids = _fill(b.column(1), b.column(2))
+                    yield pa.RecordBatch.from_arrays([b.column(0), ids, *(decoder.of(ids) if decoded else ())], names=names)
+
+        kind, names = docs.schema[id_col].dataType.simpleString(), ["_id", "ids", "decoded", "id_bytes"][: 4 if decoded else 2]
+        rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(look_up, f"_id {kind}, ids array<int>, rare array<{START}>")
+        folded = let(F.col("_p"), lambda p: F.transform("rare", lambda s: fold(s, p)))
+        done = rows.select("*", self.literal()).select("_id", "ids", F.when(F.size("rare") > 0, folded).otherwise(F.array().cast("array<array<int>>")).alias("folded"))
+        return done.mapInArrow(fill, f"_id {kind}, ids array<int>{', decoded binary, id_bytes binary' * decoded}").withColumnRenamed("_id", id_col)
+
+    def decode(self, df: DataFrame) -> DataFrame:
+        """Adds decoded, the bytes (binary) of column ids: their pieces in a row; they need not be UTF-8 if ids were cut. Also adds
+        id_bytes, the ids as little-endian unsigned 32-bit integers. Null ids give no bytes, and ids beyond the vocabulary none of theirs.
+        """
+        pairs, at = self.shared, df.columns.index("ids")
 
-    def decode(self, df: DataFrame, name: str = "decoded") -> DataFrame:
-        """Adds column `name`, the bytes (binary) of column ids: their pieces in a row. They need not be UTF-8 if ids were cut."""
-        return self._joined(df, name, lambda p, i: p)
+        def run(batches):
+            import pyarrow as pa
 
-    def id_bytes(self, df: DataFrame, name: str = "id_bytes") -> DataFrame:
-        """Adds column `name`, the ids as little-endian unsigned 32-bit integers (binary)."""
-        return self._joined(df, name, lambda p, i: i.to_bytes(4, "little"))
+            decoder = Decoder(pairs.value)
+            for batch in batches:
+                for k, end in stretches(batch.column(at).value_lengths().fill_null(0).to_numpy(zero_copy_only=False), IDS):
+                    b = batch.slice(k, end - k)
+                    yield pa.RecordBatch.from_arrays([*b.columns, *decoder.of(b.column(at))], names=[*b.schema.names, "decoded", "id_bytes"])
 
-    def _joined(self, df: DataFrame, name: str, form) -> DataFrame:
-        parts = let(F.col("_h"), lambda h: F.array_join(F.transform(F.col("ids"), lambda i: F.get(h, i)), ""))
-        return df.select("*", self.pieces(form).alias("_h")).select(*df.columns, parts.cast("binary").alias(name))
+        return df.mapInArrow(run, StructType([*df.schema.fields, StructField("decoded", BinaryType()), StructField("id_bytes", BinaryType())]))
 
 
-def _dense_scalar(df: DataFrame, key: str, value: str, n: int, bucket=None) -> Column:
-    """A (key, value) frame of bounded size as one value: an array of n small maps, by the key's hash.
+def _dense_scalar(df: DataFrame, key: str, value: str, n: int) -> Column:
+    """A (key, value) frame of bounded size as one value: an array of n small maps, by the key's remainder.
 
     It is a scalar subquery, which is a literal when tasks run. Spark takes no subquery within a higher-order function, so it is
     selected as a column that one let() below refers to; the optimizer puts it there, and no row ever carries it.
     """
-    at = (bucket or (lambda k: _bucket(k, n)))(F.col(key))
+    at = F.pmod(F.col(key), F.lit(n)).cast("int")
     maps = df.groupBy(at.alias("b")).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("m"))
     every = df.sparkSession.range(0, n, 1, 1).select(F.col("id").cast("int").alias("b")).join(maps, "b", "left")
     return every.orderBy("b").coalesce(1).agg(F.collect_list(F.struct("m")).alias("a")).scalar()
@@ -174,5 +305,5 @@ def _dense_scalar(df: DataFrame, key: str, value: str, n: int, bucket=None) -> C
 
 def digest(docs: DataFrame, bpe: ByteBpe, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256 and decoded_sha256 of each document's ids and of what they decode to."""
-    e = bpe.id_bytes(bpe.decode(bpe.encode(docs, id_col, text_col)))
+    e = bpe.encode(docs, id_col, text_col, decoded=True)
     return e.select(id_col, F.size("ids").cast("long").alias("n_tokens"), F.sha2("id_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
