@@ -292,8 +292,8 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Crf:
 def scan(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_crf, base (the base spans as a string) and spans (all spans), a row per input row.
 
-    Spans are kind:start:end in code points, end exclusive, comma-joined. The model adds spans of its own that meet no base span;
-    base spans all stay. Null and empty texts have none; repeated rows are scanned one by one; an empty table gives an empty
+    Spans are kind:start:end in code points, end exclusive, comma-joined. The model adds spans of its own; of one
+    that meets base spans the words beside them are added. Base spans all stay. Null and empty texts have none; repeated rows are scanned one by one; an empty table gives an empty
     result; other columns are not read. Every word of every text is scored; there is no shuffle.
     """
 
@@ -312,6 +312,21 @@ def scan(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "tex
 STRIP = re.compile(r"[A-Za-z0-9+/_.=-](?:.*[A-Za-z0-9+/_=-])?", re.S)
 
 
+def beside(text: str, start: int, end: int, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """What a span of the model adds to the base spans: itself, stripped, where it meets none; else the words left of it, each stripped."""
+    met = [(s, e) for _, s, e in base if s < end and e > start]
+    if not met:
+        m = STRIP.search(text, start, end)
+        return [(m.start(), m.end()) if m else (start, end)]
+    out, at = [], start
+    for s, e in [*met, (end, end)]:
+        for w in WORD.finditer(text, at, max(at, s)):
+            if m := STRIP.search(text, w.start(), w.end()):
+                out.append((m.start(), m.end()))
+        at = max(at, e)
+    return out
+
+
 def found_spans(tagger: Tagger, column: pa.Array) -> list[tuple[list, list]]:
     """Base spans and all spans of each text of an Arrow column."""
     texts = column.to_pylist()
@@ -325,11 +340,7 @@ def found_spans(tagger: Tagger, column: pa.Array) -> list[tuple[list, list]]:
         if i in tagged:
             at = [(m.start(), m.end()) for m in WORD.finditer(text)]
             for a, b in tagged[i]:
-                s, e = at[a][0], at[b][1]
-                if m := STRIP.search(text, s, e):
-                    s, e = m.start(), m.end()
-                if all(e <= x or s >= y for _, x, y in base):
-                    added.append(("crf", s, e))
+                added += [("crf", s, e) for s, e in beside(text, at[a][0], at[b][1], base)]
         rows.append((base, sorted(base + added, key=lambda x: (x[1], KINDS.index(x[0])))))
     return rows
 
