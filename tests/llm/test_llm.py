@@ -157,6 +157,16 @@ def test_near_dedup(docs, none, node, unit, monkeypatch):
     assert near_dedup.near_dedup(none).count() == 0
 
 
+def test_pairs_of_oversize_nodes_meet(spark, monkeypatch):
+    """Pairs of similarity 0.8 under a template that all documents share: each pair meets in a node of some tree."""
+    monkeypatch.setattr(near_dedup, "NODE", 2)
+    n = 2000
+    rows = [(i, " ".join([f"template{j}" for j in range(7)] + [f"pair{i // 2}", f"own{i}"])) for i in range(2 * n)]
+    reps = near_dedup.sketches(spark.createDataFrame(rows, "doc_id long, text string"), 1).withColumnsRenamed({"doc_id": "rep", "n_shingles": "n"})
+    nodes = near_dedup.small_nodes(reps).select("node", "rep", (F.col("rep") / 2).cast("long").alias("pair")).distinct()
+    assert nodes.groupBy("node", "pair").count().filter("count = 2").select("pair").distinct().count() == n
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.v: r.root for r in components.components(e).collect()}

@@ -16,7 +16,9 @@ from tidewire.llm.token_files import slices
 
 #: Independent trees, and levels at which an oversize node branches on.
 TREES, LEVELS = 10, 4
-#: Minwise values of a sketch; the first TREES * LEVELS also choose the paths.
+#: Trees for documents of oversize nodes: as many as part a pair at the limit no more often at the last level than TREES do at the first.
+DEEP_TREES = next(t for t in range(TREES, 1000) if (1 - 0.8**LEVELS) ** t <= 0.2**TREES)
+#: Minwise values of a sketch. DEEP_TREES * LEVELS of them choose the paths.
 SKETCH = 64
 #: Documents of a node or unit that are compared with each other, and shingles of a unit.
 NODE, UNIT, UNIT_SHINGLES = 2048, 4096, 4_000_000
@@ -51,37 +53,50 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 some = [i for i, s in enumerate(sets) if len(s)]
                 sk, mins = [None] * len(sets), [None] * len(sets)
                 if some:
-                    m = minwise([sets[i] for i in some])
-                    low, path = mixed(m).astype(np.uint8), m[:, : TREES * LEVELS].astype(np.int64)
+                    m = mixed(minwise([sets[i] for i in some], max(SKETCH, DEEP_TREES * LEVELS)))
+                    low, path = m[:, :SKETCH].astype(np.uint8), m[:, : DEEP_TREES * LEVELS].astype(np.uint32).view(np.int32)
                     for j, i in enumerate(some):
                         sk[i], mins[i] = low[j].tobytes(), path[j]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array(sk, pa.binary()), pa.array(mins, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "sk", "mins"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array(sk, pa.binary()), pa.array(mins, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "digest", "sk", "mins"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sk binary, mins array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sk binary, mins array<int>")
 
 
 def small_nodes(reps: DataFrame) -> DataFrame:
     """Rows (node, rep, n, sk): every tree's nodes of at most NODE documents, split on level by level; what is larger at the last
-    level is cut into blocks that all meet each other, so no pair of a node is left out."""
-    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    level is cut into blocks that all meet each other, so no pair of a node is left out.
+
+    A pair that meets in an oversize node may part below it, so the documents of such nodes go to all DEEP_TREES trees.
+    """
+    done, large = _split(reps, 0, TREES)
+    if large is not None:
+        done += _split(reps.join(large, "rep", "left_semi"), TREES, DEEP_TREES)[0]
+    return _union(done)
+
+
+def _split(reps: DataFrame, first: int, end: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """The nodes of the trees from first to end, and the documents of oversize nodes of the first level, if any."""
+    tree = F.explode(F.sequence(F.lit(first), F.lit(end - 1))).alias("tree")
     active = reps.select("rep", "n", "sk", "mins", tree).select("rep", "n", "sk", F.slice("mins", F.col("tree") * LEVELS + 1, F.lit(LEVELS)).alias("path"), F.xxhash64("tree").alias("node"))
     active = keep(active, "paths")  # each level reads these rows twice
-    done = []
+    done, large = [], None
     for level in range(LEVELS):
         active = active.withColumn("node", F.xxhash64("node", F.lit(level), F.get("path", F.lit(level))))
         big = keep(active.groupBy("node").count().filter(F.col("count") > NODE), "nodes")
         many = big.count()
         if not many:
             done.append(active.select("node", "rep", "n", "sk"))
-            return _union(done)
+            return done, large
         hint = F.broadcast(big) if many <= 50_000 else big
         done.append(active.join(hint, "node", "left_anti").select("node", "rep", "n", "sk"))
         active = active.join(hint.select("node"), "node", "left_semi")
+        if level == 0:
+            large = keep(active.select("rep").distinct(), "large")
         if level == LEVELS - 1:
             cut = active.join(hint, "node").withColumn("blocks", F.ceil(F.col("count") * 2 / NODE).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
             cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             done.append(cut.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "rep", "n", "sk"))
-    return _union(done)
+    return done, large
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -194,8 +209,8 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     kept. Rows that repeat a doc_id are one document to the links. An empty table gives an empty result; other columns are not read.
 
     Equal sets are one document from the start. In each of TREES trees a document goes to the node of its minwise token, and on to
-    the next level where a node is larger than NODE; two documents at the limit part in all trees with a chance of 0.2 ** TREES
-    (deeper nodes: 1 - 0.8 ** depth for each tree). Clusters of pairs that agree in half of the sketch are joined over all trees and each
+    the next level where a node is larger than NODE; two documents at the limit part in all trees with a chance of 0.2 ** TREES. The
+    documents of oversize nodes go to DEEP_TREES trees, which keep the chance to part below such nodes no higher. Clusters of pairs that agree in half of the sketch are joined over all trees and each
     document's text goes once to its cluster, where all pairs are confirmed on full sets; only clusters beyond UNIT are confirmed
     node by node instead.
     """
