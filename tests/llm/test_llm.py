@@ -124,6 +124,21 @@ def test_source_mix(docs, none):
     assert sum(len(words(r.text)) for r in mixed.collect()) == sum(by.values())
 
 
+def test_mixed_documents_follow_the_schedule(spark):
+    """Documents of one block each stand in the order of the slots, then those that no slot drew."""
+    rows = [(i, f"a{i} b c d", "xyz"[i % 3]) for i in range(180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sources = source_mix.targets(source_mix.sizes(docs)).collect()
+    name, left = {r.idx: r.source for r in sources}, {r.idx: r.quota // 4 for r in sources}
+    want = []
+    for r in source_mix.schedule(spark.createDataFrame(sources), 4).orderBy("slot").collect():
+        if left[r.idx]:
+            left[r.idx] -= 1
+            want.append(name[r.idx])
+    got = [r.source for r in source_mix.mixed_documents(docs, block=4).collect()]
+    assert got == want + [name[i] for i in sorted(left) for _ in range(left[i])]
+
+
 def test_top_inner(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)] + [(400, None), (420, [None] * 8), (440, [math.nan] * 8), (460, [1e300] * 8), (480, [1.0]), (500, [0.5] * 8), (501, [0.5] * 8), (501, [0.5] * 8)]

@@ -114,7 +114,10 @@ def mix_totals(docs: DataFrame, block: int = 1024, seed: int = 17, **how) -> Dat
 
 
 def mixed_documents(docs: DataFrame, block: int = 1024, seed: int = 17, cap: int = 2, **how) -> DataFrame:
-    """The documents of the mix: a row for each time that one is taken, with the columns of the input.
+    """The documents of the mix: a row for each time that one is taken, with the columns of the input, in the order of the schedule.
+
+    A document stands at the slot of its first block there, those of one slot as in their source's stream, and what no slot drew at
+    the end.
 
     The one document of a source at which its quota ends is cut to the words taken (joined by one space, n_chars set anew); all
     others are whole. Documents without words are in no source's stream and not in the mix. Placements are matched to rows by id,
@@ -122,14 +125,14 @@ def mixed_documents(docs: DataFrame, block: int = 1024, seed: int = 17, cap: int
     """
     sized = keep(sizes(docs), "sizes")
     sources = keep(targets(sized, cap=cap, **how), "sources")
-    taken = mix(sized, sources, block, seed, cap).groupBy("doc_id", "source", "size", "at", "epoch").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    parts = taken.groupBy("doc_id", "source", "size", "at").agg(F.collect_list(F.struct("epoch", "first", "last")).alias("_parts"))
+    taken = mix(sized, sources, block, seed, cap).groupBy("doc_id", "source", "size", "at", "epoch").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("slot").alias("slot"))
+    parts = taken.groupBy("doc_id", "source", "size", "at").agg(F.collect_list(F.struct("epoch", "first", "last", "slot")).alias("_parts"))
     same = ["doc_id", "source", "size"]
-    parts = parts.withColumn("_nth", F.row_number().over(Window.partitionBy(*same).orderBy("at"))).select(*(F.col(c).alias(f"_{c}") for c in same), "_nth", "_parts")
+    parts = parts.withColumn("_nth", F.row_number().over(Window.partitionBy(*same).orderBy("at"))).select(*(F.col(c).alias(f"_{c}") for c in same), "_nth", F.col("at").alias("_at"), "_parts")
     rows = docs.withColumn("_n", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "source", "_n").orderBy(F.xxhash64("text"))))
     on = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")) & (F.col("_k") == F.col("_nth"))
-    out = rows.join(parts, on).withColumn("_p", F.explode("_parts"))
+    out = rows.join(parts, on).withColumn("_p", F.explode("_parts")).orderBy(F.col("_p.slot").asc_nulls_last(), "_source", "_p.epoch", "_at")
     whole = (F.col("_p.first") == 0) & (F.col("_p.last") == F.col("_n"))
     cut = F.array_join(F.slice(words(F.col("text")), (F.col("_p.first") + 1).cast("int"), (F.col("_p.last") - F.col("_p.first")).cast("int")), " ")
     text = F.when(whole, F.col("text")).otherwise(cut)
