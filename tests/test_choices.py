@@ -98,3 +98,24 @@ def test_betweenness_equals_all_paths():
             for v in p[1:-1]:
                 want[v] += 1 / len(found) / 30
     assert extract.betweenness(edges) == pytest.approx(want)
+
+
+def test_longest_entities_link_every_name(spark, tmp_path):
+    """More than 200 names, names of one word, overlaps, a repeated doc_id, null and empty texts, against the walk."""
+    from tidewire.plans import extraction
+
+    items = [f"Ka{i:03} lo{i % 7} more words" for i in range(300)] + ["lo1 ka299 x", "solo", "", None]
+    rng = random.Random(8)
+    texts = ["", None, "ka299 lo5", "x ka000 lo0 lo1 ka299 lo5 solo"] + [" ".join(rng.choice([f"ka{rng.randrange(300):03} lo{rng.randrange(7)}", "lo1", "solo", "x"]) for _ in range(60)) for _ in range(20)]
+    rows = [(i // 2, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    known, want = {" ".join(x.lower().split()[:2]) for x in items if x}, []
+    for d, t in rows:
+        w, i = (t or "").split(), 0
+        while i < len(w):
+            name = next((n for k in (2, 1) if (n := " ".join(w[i : i + k])) in known), None)
+            want += [(d, name)] if name else []
+            i += name.count(" ") + 1 if name else 1
+    assert (1, "ka299 lo5") in want
+    assert sorted(map(tuple, extraction.longest_entities(spark, str(tmp_path)).collect())) == sorted(want)

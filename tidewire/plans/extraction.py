@@ -30,31 +30,36 @@ def agenda_items(spark, sf):
 
 @query()
 def longest_entities(spark, sf):
-    """Greedy left-to-right links: the longest of the known names (two or three words) that starts at a word, names not overlapping.
+    """Greedy left-to-right links: the longest of the known names that starts at a word, names not overlapping.
 
-    The names are the frequent two- and three-word sequences of the first documents' headlines, at most 200, sent with the task.
+    The names are the first two words of every item of the benchmark (of one-word items that word). The texts' words and pairs of
+    words meet them in a join, and only what met is resolved per document, so neither names nor texts have a limit.
     """
-    names = [r.g for r in table(spark, sf, "benchmark").select(F.array_join(F.slice(F.split(text.norm(F.col("text")), " "), 1, 2), " ").alias("g")).distinct().orderBy("g").limit(200).collect()]
+    first = F.slice(F.split(text.norm(F.col("text")), " "), 1, 2)
+    names = table(spark, sf, "benchmark").select(F.array_join(first, " ").alias("name")).filter("name <> ''").distinct()
+    w = F.col("w")
+    grams = F.concat(
+        F.transform(w, lambda x, i: F.struct(i.alias("at"), F.lit(1).alias("n"), x.alias("name"))),
+        F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.struct(i.alias("at"), F.lit(2).alias("n"), F.concat_ws(" ", x, F.get(w, i + 1)).alias("name"))),
+    )
+    # rows that repeat a doc_id are linked one by one
+    d = table(spark, sf, "documents").select("doc_id", F.monotonically_increasing_id().alias("row"), F.split(text.norm(F.col("text")), " ").alias("w"))
+    met = d.select("doc_id", "row", F.explode(grams).alias("g")).select("doc_id", "row", "g.*").join(names, "name")
+    hits = met.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("less"), "name"))).alias("hits"))
 
     @F.pandas_udf("array<string>")
-    def link(x: pd.Series) -> pd.Series:
-        known, most = set(names), max((n.count(" ") + 1 for n in names), default=1)
-
-        def one(s: str) -> list[str]:
-            w, i, out = s.split(), 0, []
-            while i < len(w):
-                for k in range(min(most, len(w) - i), 0, -1):
-                    if (name := " ".join(w[i : i + k])) in known:
-                        out.append(name)
-                        i += k
-                        break
-                else:
-                    i += 1
+    def link(at: pd.Series, less: pd.Series, name: pd.Series) -> pd.Series:
+        def one(row: tuple) -> list[str]:
+            end, out = 0, []
+            for i, k, x in zip(*row, strict=True):
+                if i >= end:
+                    out.append(x)
+                    end = i - k
             return out
 
-        return x.map(one)
+        return pd.Series([one(row) for row in zip(at, less, name, strict=True)], dtype=object)
 
-    return table(spark, sf, "documents").select("doc_id", F.explode(link(text.norm(F.col("text")))).alias("name"))
+    return hits.select("doc_id", F.explode(link("hits.at", "hits.less", "hits.name")).alias("name"))
 
 
 @query()
