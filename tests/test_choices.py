@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,6 +39,22 @@ def test_diverse_equals_the_walk(spark):
     assert [(r.rank, r.i) for r in got if r.g == "h"] == [(1, 99)]
 
 
+def test_diverse_looks_past_copies(spark):
+    """More copies than a round looks at stand before unlike rows; rows of few words, a repeated row, a null and a short group."""
+    many = [(i, "g", ["a", "b", "c", f"x{i % 3}"]) for i in range(230)] + [(230, "g", ["a"]), (231, "g", ["a"]), (231, "g", ["a"])]
+    many += [(240 + i, "g", [f"{k}{i // 220}" for k in "pqr"]) for i in range(500)] + [(800, "g", None)]
+    rows = many + [(900, None, ["a", "b", "c"]), (901, None, ["a", "b", "c"]), (902, None, ["d", "e", "f"]), (-1, "g", [])]
+    want = Counter()
+    for g in ("g", None):
+        kept = []
+        for i, _, w in sorted((r for r in rows if r[1] == g), key=lambda r: r[0]):
+            if len(kept) < 9 and not any(len(set(w or ()) & set(v or ())) >= 3 and 2 * len(set(w or ()) & set(v or ())) >= min(len(set(w)), len(set(v))) for _, v in kept):
+                kept.append((i, w))
+        want.update((g, k + 1, i) for k, (i, _) in enumerate(kept))
+    got = selection.diverse(spark.createDataFrame(rows, "i int, g string, w array<string>"), "g", [F.col("i")], "i", "w", 9)
+    assert Counter(map(tuple, got.collect())) == want
+
+
 def test_pack(spark):
     rows = [("d", 1, 200), ("d", 2, 100), ("d", 3, 1), ("d", 4, 900), ("d", 5, 1), ("d", 6, 1), ("d", 7, 1)]
     got = selection.pack(spark.createDataFrame(rows, "day string, i int, size int"), "day", ["i"], "size", 300, 2).orderBy("i").collect()

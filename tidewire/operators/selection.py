@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.operators.graphs import ready
+
 
 def quota(df: DataFrame, groups: dict[str, int], order: list[Column]) -> DataFrame:
     """Rows that a walk in `order` keeps if any of their groups (column: quota) has room; every kept row takes room in all its groups.
@@ -23,20 +25,36 @@ def quota(df: DataFrame, groups: dict[str, int], order: list[Column]) -> DataFra
 def diverse(df: DataFrame, by: str, score: list[Column], item: str, words: str, most: int, pool: int = 200, shared: int = 3, overlap: float = 0.5) -> DataFrame:
     """by, rank and item of the first `most` rows of each group, in order, each unlike all taken before.
 
-    Two are alike if they share `shared` words and that is `overlap` of the shorter one. `pool` bounds the rows of a group that are
-    looked at: it is the length of the ranked list that an edition is made from. The fold runs within the JVM.
+    Two are alike if they share `shared` words and that is `overlap` of the shorter one. A round looks at `pool` ranked rows of a
+    group. Where an edition is not full then, the next round looks at the rows left that are unlike all taken, the first of which
+    is taken, so there are at most `most` rounds. The fold runs within the JVM.
     """
-    top = df.select(by, item, words, F.row_number().over(Window.partitionBy(by).orderBy(*score)).alias("_rn")).filter(F.col("_rn") <= pool)
-    rows = top.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_rn", F.col(item).alias("id"), F.col(words).alias("w")))).alias("rows"))
-    start = F.slice("rows", 1, 0)
+    ready(df.sparkSession)
 
     def alike(a: Column, b: Column) -> Column:
         n = F.size(F.array_intersect(a["w"], b["w"]))
         return (n >= shared) & (n >= overlap * F.least(F.size(F.array_distinct(a["w"])), F.size(F.array_distinct(b["w"]))))
 
     take = lambda acc, x: F.when((F.size(acc) >= most) | F.exists(acc, lambda t: alike(t, x)), acc).otherwise(F.concat(acc, F.array(x)))
-    taken = rows.select(by, F.posexplode(F.aggregate("rows", start, take)).alias("rank", "x"))
-    return taken.select(by, (F.col("rank") + 1).alias("rank"), F.col("x.id").alias(item))
+
+    def walk(left: DataFrame, start: Column) -> DataFrame:
+        top = left.withColumn("_rn", F.row_number().over(Window.partitionBy(by).orderBy(*score))).filter(F.col("_rn") <= pool)
+        rows = top.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_rn", F.col(item).alias("id"), F.col(words).alias("w")))).alias("rows"), F.first("_taken").alias("_taken"))
+        return rows.select(by, F.aggregate("rows", start, take).alias("_taken")).checkpoint()
+
+    new = taken = walk(df.withColumn("_taken", F.lit(None)), F.slice("rows", 1, 0))
+    while not (short := new.filter(F.size("_taken") < most).withColumnRenamed(by, "_by")).isEmpty():
+        x = F.struct(F.col(words).alias("w"))
+        rest = df.join(short, F.col(by).eqNullSafe(F.col("_by"))).drop("_by").filter(~F.coalesce(F.exists("_taken", lambda t: alike(t, x)), F.lit(False)))
+        # a row of few words is unlike even itself: those taken are the first of their kind
+        times = F.size(F.filter("_taken", lambda t: t["id"].eqNullSafe(F.col(item)) & t["w"].eqNullSafe(F.col(words))))
+        nth = F.row_number().over(Window.partitionBy(by, item, words).orderBy(*score))
+        again = rest.filter(times > 0).withColumn("_nth", nth).filter(F.col("_nth") > times).drop("_nth")
+        new = walk(rest.filter(times == 0).unionByName(again), F.col("_taken"))
+        done = new.select(F.col(by).alias("_by"))
+        taken = taken.join(done, F.col(by).eqNullSafe(F.col("_by")), "left_anti").unionByName(new).checkpoint()
+    out = taken.select(by, F.posexplode("_taken").alias("rank", "x"))
+    return out.select(by, (F.col("rank") + 1).alias("rank"), F.col("x.id").alias(item))
 
 
 def pack(df: DataFrame, by: str, order: list[str], size: str, limit: int, most: int) -> DataFrame:
