@@ -62,3 +62,11 @@ def test_paths(spark):
     e = spark.createDataFrame([(1, 2, 5), (2, 3, 4), (1, 3, 1)], "a long, b long, w long")
     got = {tuple(r.path): (r.steps, r.weakest) for r in graphs.paths(e, 1, 3).collect()}
     assert got == {(1, 3): (1, 1), (1, 2, 3): (2, 4)}
+
+
+def test_label_propagation_reads_all_suppliers(spark, tmp_path):
+    from tidewire.plans import networks
+
+    rows = [(o, s) for o, pair in enumerate([(1, 2), (1, 2), (70, 90), (70, 90), (59, 61), (59, 61)]) for s in pair]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {r.v for r in networks.label_propagation(spark, str(tmp_path)).collect()} == {1, 2, 70, 90, 59, 61}
