@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -69,3 +71,21 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     df.write.option("compression", "zstd").parquet(path := scratch(spark, name))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def tidy(run):
+    """A function over Arrow batches that gives free memory back to the system at its end: Spark keeps Python workers for later tasks,
+    and an idle one should hold no more than its modules."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return tidied

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 
@@ -21,14 +22,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.shared import keep, scratch
+from tidewire.llm.shared import keep, scratch, tidy
+from tidewire.llm.word_spans import ragged
 
 MAGIC = b"TWPLANE1"
 BLOCK = 1 << 16
 #: Texts are encoded in slices of about so many bytes, and shards hold about so many bytes of text.
 SLICE, SHARD = 12 << 20, 32 << 20
-#: Words whose ids a worker remembers at most.
-MEMORY = 1 << 20
+#: Pieces and words whose ids a worker remembers, about.
+MEMORY = 1 << 19
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -148,34 +150,96 @@ class ShardReader:
             left = left[n:]
 
 
+#: The split of words into pieces that simple_pieces finds, the longest contraction first. Fixed value.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def piece_coder(spec: str) -> tuple[str, bool, bytes, str] | None:
+    """For a file whose SIMPLE words have the ids of their PIECES in a row: the same model for words that are lowered and split
+    already (JSON), whether words are lowered, which ids end a piece, and a pattern of the file's own tokens, which are found before
+    anything is split. None for any other file."""
+    parts = json.loads(spec)
+    normal, split, suffix = parts.get("normalizer") or {}, parts.get("pre_tokenizer") or {}, parts["model"].get("end_of_word_suffix")
+    steps = normal.get("normalizers", [normal] if normal else [])
+    first, *rest = split.get("pretokenizers") or [{}]
+    known = first.get("type") == "Split" and first.get("pattern") == {"Regex": PIECES} and first.get("behavior") == "Removed" and first.get("invert") is True
+    known = known and [x["type"] for x in rest] == ["ByteLevel"] and not rest[0]["add_prefix_space"] and not rest[0]["use_regex"]
+    known = known and all(x["type"] in ("NFC", "Lowercase") or x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} for x in steps)
+    if not known or not suffix:
+        return None
+    ends = np.zeros(1 + max(parts["model"]["vocab"].values()), bool)
+    ends[[i for w, i in parts["model"]["vocab"].items() if w.endswith(suffix)]] = True
+    bare = {"normalizer": None, "added_tokens": [], "post_processor": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, rest[0]]}}
+    special = "|".join(re.escape(t["content"]) for t in parts.get("added_tokens") or ()) or r"[^\s\S]"
+    return json.dumps(parts | bare), any(x["type"] == "Lowercase" for x in steps), ends.tobytes(), special
+
+
+#: Printable ASCII, and the Latin letters that are composed already and have one small letter each.
+SIMPLE = r"\x21-\x7E\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{148}\x{14A}-\x{17E}"
+#: 0 for bytes of letters, 1 for digits, 2 for other marks.
+CLASSES = np.array([0 if c > 127 or chr(c).isalpha() else 1 if chr(c).isdigit() else 2 for c in range(256)], np.uint8)
+
+
+def simple_pieces(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The PIECES of words of SIMPLE characters, none empty, in a row; where each word's begin, and the end."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets, n = offsets - offsets[0], len(data)
+    c = CLASSES[data]
+    new = np.zeros(n + 3, bool)  # a word starts, or none follows
+    new[offsets[:-1]] = True
+    new[n:] = True
+    start = new.copy()
+    start[1:n] |= (c[1:] != c[:-1]) | (c[1:] == 1)
+    k = np.flatnonzero((data == 0x27) & start[:n])
+    k = k[~new[k + 1]]
+    pad = np.concatenate([data, np.zeros(3, np.uint8)])
+    one, two = pad[k + 1], np.where(new[k + 2], 0, pad[k + 2])
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    wide = (two == ord("e")) & ((one == ord("r")) | (one == ord("v"))) | (two == ord("l")) & (one == ord("l"))
+    start[k[short | wide] + 1] = False
+    start[k[short] + 2] = True
+    start[k[wide] + 3] = True
+    at = np.flatnonzero(start[:n])
+    pieces = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(np.append(at, n).astype(np.int32)), pa.py_buffer(data)])
+    return pieces, np.searchsorted(at, offsets)
+
+
 class WordEncoder:
     """Ids of texts by a tokenizers file. White space splits words there, so each distinct word is encoded once and remembered.
 
-    New words are encoded many at a time with a mark between them: a private-use character, whose ids are its bytes alone. Words
-    that hold the mark are encoded by themselves.
+    Where the file splits words on into runs of letters, digits and runs of other marks, as PIECES does, words of SIMPLE characters
+    are put together of their pieces, which are fewer and are encoded many at a time. So are all other words, with a mark between
+    them: a private-use character, whose ids are its bytes alone. Words that hold the mark are encoded by themselves.
     """
 
     MARK = "\ue000"
 
-    def __init__(self, spec: str, end: int):
+    def __init__(self, spec: str, end: int, bare: tuple[str, bool, bytes, str] | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.coder, self.end = Tokenizer.from_str(spec), end
         self.mark = np.array(self.coder.encode(self.MARK, add_special_tokens=False).ids, "<u4")
+        self.by_piece = bare is not None
+        if self.by_piece:
+            pieces, self.lower, ends, self.special = bare
+            self.bare, self.ends = Tokenizer.from_str(pieces), np.frombuffer(ends, bool)
         self._forget()
 
     def _forget(self) -> None:
-        """The end id is word 0."""
+        """The end id is the first of the pool."""
         self.known: dict[str, int] = {}
-        self.pool, self.size = [np.array([self.end], "<u4")], [np.ones(1, np.int64)]
-
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if self.MARK not in w]
-        odd = [w for w in words if self.MARK in w]
-        at = len(self.known) + 1
+        self.pieces: dict[str, int] = {}
+        self.pool, self.size = np.array([self.end], "<u4"), np.ones(1, np.int64)
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words in a row, and the number of each word's."""
+        own: list = [None] * len(words)
+        plain = [i for i, w in enumerate(words) if self.MARK not in w]
+        odd = [i for i, w in enumerate(words) if self.MARK in w]
         groups = [plain[k : k + 1000] for k in range(0, len(plain), 1000)]
-        for group, e in zip(groups, self.coder.encode_batch_fast([f" {self.MARK} ".join([*g, ""]) for g in groups], add_special_tokens=False), strict=True):
+        for group, e in zip(groups, self.coder.encode_batch_fast([f" {self.MARK} ".join([*(words[i] for i in g), ""]) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             n, m = len(ids), len(self.mark)
             found = np.ones(n - m + 1, bool)
@@ -185,39 +249,66 @@ class WordEncoder:
             if len(ends) != len(group):
                 odd += group
                 continue
-            drop = np.zeros(n, bool)
-            for k in range(m):
-                drop[ends + k] = True
-            self.pool.append(ids[~drop])
-            self.size.append(np.diff(np.concatenate([[-m], ends])) - m)
-            self.known.update(zip(group, range(at, at + len(group)), strict=True))
-            at += len(group)
-        for w, e in zip(odd, self.coder.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            self.pool.append(np.array(e.ids, "<u4"))
-            self.size.append(np.array([len(e.ids)], np.int64))
-            self.known[w] = at
-            at += 1
-        self.pool, self.size = [np.concatenate(self.pool)], [np.concatenate(self.size)]
+            for i, a, b in zip(group, [0, *(ends[:-1] + m).tolist()], ends.tolist(), strict=True):
+                own[i] = ids[a:b]
+        for i, e in zip(odd, self.coder.encode_batch_fast([words[i] for i in odd], add_special_tokens=False), strict=True):
+            own[i] = np.array(e.ids, "<u4")
+        return np.concatenate([*own, np.zeros(0, "<u4")]), np.array([len(x) for x in own], np.int64)
+
+    def _of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """_encoded, for words that are one piece each."""
+        found = [np.array(e.ids, "<u4") for e in self.bare.encode_batch_fast([" ".join(pieces[k : k + 1000]) for k in range(0, len(pieces), 1000)], add_special_tokens=False)]
+        ids = np.concatenate([*found, np.zeros(0, "<u4")])
+        ends = np.flatnonzero(self.ends[ids])
+        if len(ends) != len(pieces):
+            raise ValueError("a piece does not end where the model's words do")
+        return ids, np.diff(ends, prepend=-1)
+
+    def _add(self, names: dict[str, int], words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        names.update(zip(words, range(len(self.size), len(self.size) + len(words)), strict=True))
+        self.pool, self.size = np.concatenate([self.pool, ids]), np.concatenate([self.size, size])
+
+    def _at(self, names: dict[str, int], words: list[str], encode) -> np.ndarray:
+        """Where the words are in the pool; those not known yet are encoded."""
+        if new := [w for w in words if w not in names]:
+            self._add(names, new, *encode(new))
+        return np.fromiter(map(names.__getitem__, words), np.int64, len(words))
+
+    def _lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """pool, begin and size: the ids of each of these distinct words are pool[begin : begin + size]."""
+        whole = np.ones(len(words), bool)
+        if self.by_piece and len(words):
+            # an empty text is one empty word
+            whole = pc.or_(pc.match_substring_regex(words, f"^$|[^{SIMPLE}]"), pc.match_substring_regex(words, self.special)).to_numpy(zero_copy_only=False)
+        rest, plain = words.filter(pa.array(whole)).to_pylist(), words.filter(pa.array(~whole))
+        at, local = self._at(self.known, rest, self._encoded), np.zeros(0, "<u4")
+        size, begin = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        if len(plain):
+            pieces, firsts = simple_pieces(pc.utf8_lower(plain) if self.lower else plain)
+            d = pieces.dictionary_encode()
+            piece = self._at(self.pieces, d.dictionary.to_pylist(), self._of_pieces)[d.indices.to_numpy()]
+            length = self.size[piece]
+            size[~whole] = np.add.reduceat(length, firsts[:-1])
+            local = self.pool[ragged((np.cumsum(self.size) - self.size)[piece], length)]
+            begin[~whole] = len(self.pool) + np.cumsum(size[~whole]) - size[~whole]
+        size[whole], begin[whole] = self.size[at], (np.cumsum(self.size) - self.size)[at]
+        return np.concatenate([self.pool, local]), begin, size
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Counts per text, end id included, and all ids."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         bounds, words = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
-        own = words.dictionary.to_pylist()
-        if len(self.known) + len(own) > MEMORY:
+        del lists
+        if len(self.size) > MEMORY:
             self._forget()
-        if new := [w for w in own if w not in self.known]:
-            self._learn(new)
-        place = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))
-        size, pool = self.size[0], self.pool[0]
-        begin = np.cumsum(size) - size
+        pool, begin, size = self._lookup(words.dictionary.cast(pa.string()))
+        begin, size = np.append(begin, 0), np.append(size, 1)
         # each text's words, then the end mark
-        order = np.insert(place[words.indices.to_numpy()], bounds[1:] - bounds[0], 0)
+        order = np.insert(words.indices.to_numpy(), bounds[1:] - bounds[0], len(size) - 1)
         length = size[order]
         upto = np.cumsum(length)
-        at = np.repeat(begin[order] - upto + length, length) + np.arange(length.sum())
         ends = np.cumsum(np.diff(bounds) + 1)
-        return np.diff(np.concatenate([[0], upto[ends - 1]])), pool[at]
+        return np.diff(np.concatenate([[0], upto[ends - 1]])), pool[ragged(begin[order], length)]
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", size: int = SLICE):
@@ -245,11 +336,13 @@ def write_tokens(docs: DataFrame, spec: str, folder: str | None = None, id_col:
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark, "tokens")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows, bare = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), piece_coder(spec)
     n = max(1, -(-(rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0) // SHARD))
     mix = F.xxhash64("text")
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), mix).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), mix, "text")
 
+    @tidy
+
     def run(batches):
         import uuid
 
@@ -257,7 +350,7 @@ def write_tokens(docs: DataFrame, spec: str, folder: str | None = None, id_col:
         files, top = _filesystem(folder)
         files.create_dir(top, recursive=True)
         path = f"{top}/shard-{shard:06d}-{uuid.uuid4().hex}"
-        coder = WordEncoder(spec, end)
+        coder = WordEncoder(spec, end, bare)
         with files.open_output_stream(path) as out:
             w = ShardWriter(out, block, kind)
             for batch in batches:
@@ -275,6 +368,8 @@ def write_tokens(docs: DataFrame, spec: str, folder: str | None = None, id_col:
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, computed from the files alone."""
 
+    @tidy
+
     def run(batches):
         for batch in batches:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):
@@ -289,4 +384,4 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 10_000], pa.int64()) for c in out], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, manifest.count())
-    return manifest.select("shard", "path", "base").repartition(n, "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("shard", "path", "base").repartitionById(n, "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
