@@ -1,6 +1,7 @@
 """Byte-level BPE: ranked merges folded over the bytes of words with higher-order functions and a literal rank map.
 
-Texts are split and words looked up over Arrow buffers; a word that the dictionary does not have is folded where it occurs.
+Texts are split and words looked up over Arrow buffers; of the words that the dictionary does not have, each stretch of texts folds
+every one once.
 """
 
 from __future__ import annotations
@@ -12,17 +13,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tidewire.llm.shared import keep, let
+from tidewire.llm.shared import keep, let, tidy
 from tidewire.llm.word_spans import Splitter, ragged, slices, stretches
 
 #: Buckets of the literal map. A Spark map is searched from its start, so the map is held as an array of very small maps by key.
 PAIR_BUCKETS = 262_139
-#: Bounds of the dictionary of frequent words; other words are folded where they occur.
+#: Bounds of the dictionary of frequent words; other words are folded once in each stretch of texts.
 DICT_WORDS, DICT_BYTES = 400_000, 32
-#: Longer words (bytes) are encoded by the tiktoken library: folding costs the square of a word's length.
+#: Bytes of a stretch, if no single text has more, and words that are folded in one row.
+GATHER, ROW = 16 << 20, 2048
+#: Longer words (bytes) are folded rank by rank: folding merge by merge costs the square of a word's length.
 LONG = 256
 #: Ids that are completed and decoded at a time, if no single text has more.
 IDS = 1 << 18
+#: Stands for no rank; ranks, ids and places in short words are below.
+NO_RANK = (1 << 20) - 1
 
 
 def read_ranks(path: str) -> list[tuple[bytes, int]]:
@@ -31,26 +36,75 @@ def read_ranks(path: str) -> list[tuple[bytes, int]]:
         return [(base64.b64decode(a), int(b)) for a, b in map(bytes.split, f)]
 
 
+def _rank(pairs: Column, left: Column, right: Column) -> Column:
+    """The rank (long) of a pair of neighbouring ids; NO_RANK where there is none, null where an id is."""
+    found = lambda k: F.coalesce(F.try_element_at(F.get(pairs, (k % PAIR_BUCKETS).cast("int"))["m"], k), F.when(k.isNotNull(), NO_RANK))
+    return let(left.cast("long") * F.lit(1 << 20) + right, lambda k: found(k).cast("long"))
+
+
 def fold(start: Column, pairs: Column) -> Column:
     """The ids of one word: merge the leftmost pair of the lowest rank until no pair has a rank.
 
     `start`: p, the ids of the word's bytes, and r, the rank of each neighbouring pair (null: none). `pairs`: ranks by pair of
-    neighbouring ids; a rank is the id of what the pair makes. A merge looks up the two pairs that it makes.
+    neighbouring ids; a rank is the id of what the pair makes.
     """
-    pair = lambda a, b: let(F.shiftleft(a.cast("long"), 20) + b, lambda k: F.try_element_at(F.get(pairs, F.pmod(k, F.lit(PAIR_BUCKETS)).cast("int"))["m"], k))
-    none, most = F.array().cast("array<int>"), F.lit(1 << 30)
+    return F.when(F.size(start["p"]) <= LONG, fold_short(start, pairs)).otherwise(fold_long(start, pairs))
 
-    def step(acc: Column, _: Column) -> Column:
-        def merge(best: Column, j: Column) -> Column:
-            p, r = acc["p"], acc["r"]
-            left = F.when(j > 1, F.array(pair(F.get(p, j - 2), best))).otherwise(none)
-            right = F.when(j < F.size(r), F.array(pair(best, F.get(p, j + 1)))).otherwise(none)
-            ids = F.concat(F.slice(p, F.lit(1), j - 1), F.array(best), F.slice(p, j + 2, most))
-            return F.struct(ids.alias("p"), F.concat(F.slice(r, F.lit(1), F.greatest(j - 2, F.lit(0))), left, right, F.slice(r, j + 2, most)).alias("r"))
 
-        return let(F.array_min(acc["r"]), lambda best: F.when(best.isNull(), acc).otherwise(let(F.array_position(acc["r"], best).cast("int"), lambda j: merge(best, j))))
+def fold_short(start: Column, pairs: Column) -> Column:
+    """fold, merge by merge. A token is one number, of the rank of its pair with the next, its first place and its id: the least
+    number is the leftmost pair of the lowest rank. A merge looks up the two pairs that it makes."""
+    mask, most = F.lit(NO_RANK), F.lit(1 << 30)
+    id_of = lambda x: x.bitwiseAND(mask)
+
+    def token(v: Column, i: Column) -> Column:
+        return F.shiftleft(F.coalesce(F.get(start["r"], i), mask).cast("long"), 40) + F.shiftleft(i.cast("long"), 20) + v
+
+    def merge(x: Column, best: Column, j: Column) -> Column:
+        k = F.shiftright(best, 40)
+        made = F.shiftleft(F.coalesce(_rank(pairs, k, id_of(F.get(x, j + 1))), mask.cast("long")), 40) + best.bitwiseAND(F.lit(NO_RANK << 20)) + k
+        # the token before it forms a pair with it
+        before = F.transform(F.slice(x, F.lit(1), j - 1), lambda l, i: F.when(i == j - 2, F.shiftleft(_rank(pairs, id_of(l), k), 40) + l.bitwiseAND(F.lit((1 << 40) - 1))).otherwise(l))
+        return F.concat(before, F.array(made), F.slice(x, j + 2, most))
+
+    def step(x: Column, _: Column) -> Column:
+        return let(F.array_min(x), lambda best: F.when(best >= F.lit(NO_RANK << 40), x).otherwise(let(F.array_position(x, best).cast("int"), lambda j: merge(x, best, j))))
+
+    return F.transform(F.aggregate(start["r"], F.transform(start["p"], token), step), lambda x: id_of(x).cast("int"))
+
+
+def fold_long(start: Column, pairs: Column) -> Column:
+    """fold, rank by rank: a step merges all pairs of the lowest rank, so there are no more steps than ranks that occur.
+
+    Runs of such pairs merge every other one from the left. Where that would make a pair of a lower rank, which had to merge before
+    the next one, a step merges the leftmost pair alone.
+    """
+    none = F.lit(NO_RANK)
+
+    def merged(acc: Column, m: Column) -> Column:
+        """acc with the pairs merged whose place in m holds '1'."""
+        p, r, k = acc["p"], acc["r"], acc["k"]
+        hit = lambda i: F.coalesce(F.get(m, i) == "1", F.lit(False))
+        every = F.transform(p, lambda v, i: F.struct(F.when(hit(i), k).otherwise(v).alias("id"), F.get(r, i).alias("r"), hit(i).alias("new"), ((i > 0) & hit(i - 1)).alias("gone"), (hit(i) & hit(i + 2) & (_rank(pairs, k, F.get(p, i + 2)) < k)).alias("early")))
+
+        def close(q: Column) -> Column:
+            ranks = F.transform(q, lambda e, j: F.when(j + 1 == F.size(q), none).when(e["new"] | F.get(q, j + 1)["new"], _rank(pairs, e["id"], F.get(q, j + 1)["id"]).cast("int")).otherwise(e["r"]))
+            early = F.exists(q, lambda e: e["early"])
+            return let(ranks, lambda x: F.struct(F.transform(q, lambda e: e["id"]).alias("p"), x.alias("r"), F.array_min(x).alias("k"), early.alias("early")))
+
+        return let(F.filter(every, lambda e: ~e["gone"]), close)
 
-    return F.aggregate(start["r"], start, step, lambda acc: acc["p"])
+    def step(acc: Column, _: Column) -> Column:
+        k = acc["k"]
+        marks = F.transform(acc["r"], lambda v: F.when(v == k, F.lit("1")).otherwise(F.lit("0")))
+        alone = lambda j: F.transform(acc["r"], lambda _, i: F.when(i == j, F.lit("1")).otherwise(F.lit("0")))
+        lone = let(F.array_position(acc["r"], k).cast("int") - 1, lambda j: let(alone(j), lambda m: merged(acc, m)))
+        all_ = let(F.split(F.replace(F.array_join(marks, ""), F.lit("11"), F.lit("10")), ""), lambda m: merged(acc, m))
+        return F.when(k >= none, acc).otherwise(let(all_, lambda x: F.when(x["early"] | (x["k"] < k), lone).otherwise(x)))
+
+    ranks = F.transform(start["p"], lambda v, i: F.coalesce(F.get(start["r"], i), none))
+    first = let(ranks, lambda r: F.struct(start["p"].alias("p"), r.alias("r"), F.array_min(r).alias("k"), F.lit(False).alias("early")))
+    return F.aggregate(start["r"], first, step, lambda acc: acc["p"])
 
 
 class Starts:
@@ -100,7 +154,7 @@ class Lookup:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        self.split, self.starts, self.pairs, self.coder = Splitter(pattern), Starts(pairs), pairs, None
+        self.split, self.starts = Splitter(pattern), Starts(pairs)
         whole = []
         for piece, i in pairs:
             try:
@@ -116,51 +170,70 @@ class Lookup:
         self.size = np.concatenate([np.ones(len(whole), np.int64), ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), [1]])
         self.at = np.concatenate([[0], np.cumsum(self.size)[:-1]])
 
-    def _whole(self, word: str) -> np.ndarray:
-        """The ids of a long word by the tiktoken library."""
-        if self.coder is None:
-            import tiktoken
-
-            self.coder = tiktoken.Encoding("one", pat_str="(?s).+", mergeable_ranks=dict(self.pairs), special_tokens={})
-        return np.array(self.coder.encode_ordinary(word), np.int32)
-
     def of(self, texts):
-        """(ids, rare) of a string array: per text the ids, -1 for each unknown word, and where folding of those starts."""
+        """(ids, rare) of a string array: per text the ids, -1 for each unknown word, and all unknown words in order."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
         words, firsts = self.split(texts)
         found = pc.index_in(words, value_set=self.words).fill_null(len(self.words)).to_numpy()
-        at, size, flat = self.at[found], self.size[found], self.flat
-        unknown = np.flatnonzero(found == len(self.words))
-        rare = words.take(pa.array(unknown))
-        long = pc.binary_length(rare).to_numpy(zero_copy_only=False) > LONG
-        if long.any():
-            parts = [self._whole(w) for w in rare.filter(pa.array(long)).to_pylist()]
-            lengths = np.array([len(x) for x in parts])
-            at[unknown[long]], size[unknown[long]] = len(flat) + np.cumsum(lengths) - lengths, lengths
-            flat = np.concatenate([flat, *parts])
-            rare, unknown = rare.filter(pa.array(~long)), unknown[~long]
+        size = self.size[found]
         ends = np.concatenate([[0], np.cumsum(size)])
-        ids = pa.ListArray.from_arrays(pa.array(ends[firsts].astype(np.int32)), pa.array(flat[ragged(at, size)]))
-        return ids, pa.ListArray.from_arrays(pa.array(np.searchsorted(unknown, firsts).astype(np.int32)), self.starts.of(rare))
+        ids = pa.ListArray.from_arrays(pa.array(ends[firsts].astype(np.int32)), pa.array(self.flat[ragged(self.at[found], size)]))
+        return ids, words.filter(pa.array(found == len(self.words)))
 
+    def rows(self, texts):
+        """(first row or None, ids, rare) in turn: the starts of a stretch's unknown words, each once, in rows without ids; then the
+        ids of its texts, with -1 - n for the n-th of those words."""
+        import pyarrow as pa
 
-def _fill(ids, folded):
-    """The lists `ids` with each -1 replaced by the next of the folded words, which are lists of lists in the same order."""
-    import pyarrow as pa
+        for k, stretch in slices(texts, GATHER):
+            parts = [(k + j, *self.of(part)) for j, part in slices(stretch)]
+            d = pa.concat_arrays([rare for *_, rare in parts]).dictionary_encode()
+            for j in range(0, len(d.dictionary), ROW):
+                starts = self.starts.of(d.dictionary.slice(j, ROW))
+                yield None, pa.nulls(1, pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array([0, len(starts)], pa.int32()), starts)
+            code, at = d.indices.to_numpy(), 0
+            for row, ids, rare in parts:
+                flat = ids.flatten().to_numpy().copy()
+                flat[flat < 0] = -1 - code[at : at + len(rare)]
+                at += len(rare)
+                yield row, pa.ListArray.from_arrays(ids.offsets, pa.array(flat)), pa.nulls(len(ids), pa.list_(self.starts.of(rare.slice(0, 0)).type))
+
+
+class Folded:
+    """The folded words of the stretch at hand, as its rows without ids bring them."""
+
+    def __init__(self):
+        self.parts, self.open = [], True
+        self.flat, self.at, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, words) -> None:
+        """Words (lists of lists) of the next rows; the first after a text's row begin a new stretch."""
+        if not self.open:
+            self.parts, self.open = [], True
+        self.parts.append(words.flatten())
+
+    def fill(self, ids):
+        """The lists `ids` with each -1 - n replaced by the ids of word n."""
+        import pyarrow as pa
 
-    offsets = ids.offsets.to_numpy()
-    flat = ids.flatten().to_numpy()
-    holes = np.flatnonzero(flat == -1)
-    inner = folded.flatten()
-    size = np.ones(len(flat), np.int64)
-    lengths = inner.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    size[holes] = lengths
-    at = np.arange(len(flat))
-    at[holes] = len(flat) + np.cumsum(lengths) - lengths
-    ends = np.concatenate([[0], np.cumsum(size)])
-    return pa.ListArray.from_arrays(pa.array(ends[offsets - offsets[0]].astype(np.int32)), pa.array(np.concatenate([flat, inner.flatten().to_numpy()])[ragged(at, size)]))
+        if self.open:
+            self.open = False
+            lists = pa.concat_arrays(self.parts) if self.parts else pa.array([], pa.list_(pa.int32()))
+            self.flat = lists.flatten().to_numpy()
+            self.size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            self.at = np.cumsum(self.size) - self.size
+        offsets = ids.offsets.to_numpy()
+        flat = ids.flatten().to_numpy()
+        holes = np.flatnonzero(flat < 0)
+        if not len(holes):
+            return pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(flat))
+        word = -1 - flat[holes]
+        size, at = np.ones(len(flat), np.int64), np.arange(len(flat))
+        size[holes], at[holes] = self.size[word], len(flat) + self.at[word]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return pa.ListArray.from_arrays(pa.array(ends[offsets - offsets[0]].astype(np.int32)), pa.array(np.concatenate([flat, self.flat])[ragged(at, size)]))
 
 
 class Decoder:
@@ -209,6 +282,8 @@ class ByteBpe:
         """
         pattern, pairs = self.pattern, self.shared
 
+        @tidy
+
         def count(batches):
             import pyarrow as pa
 
@@ -218,6 +293,8 @@ class ByteBpe:
                 found = pa.chunked_array(chunks, pa.string()).value_counts()
                 yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "n"])
 
+        @tidy
+
         def start(batches):
             import pyarrow as pa
 
@@ -241,7 +318,7 @@ class ByteBpe:
 
         A null or empty text has no ids. Repeated rows are encoded one by one; other columns are not read; an empty table gives an
         empty result. There is no shuffle of texts: frequent words are looked up in the dictionary, which is broadcast and has a
-        bound, and all others are folded in place. Only words of over LONG bytes are left to the tiktoken library's own merge.
+        bound; of all others, each stretch of about GATHER bytes of texts folds every distinct one once, in the task that reads them.
         """
         import uuid
 
@@ -252,25 +329,36 @@ class ByteBpe:
             out.write_table(table)
         head, pairs, pattern = self.spark.sparkContext.broadcast((uuid.uuid4().hex, sink.getvalue().to_pybytes())), self.shared, self.pattern
 
+        @tidy
+
         def look_up(batches):
             coder = Lookup.get(head, pairs, pattern)
             for b in batches:
-                for k, part in slices(b.column(1)):
-                    ids, rare = coder.of(part)
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(k, len(part)), ids, rare], names=["_id", "ids", "rare"])
+                for k, ids, rare in coder.rows(b.column(1)):
+                    own = pa.nulls(1, b.column(0).type) if k is None else b.column(0).slice(k, len(ids))
+                    yield pa.RecordBatch.from_arrays([own, ids, rare], names=["_id", "ids", "rare"])
+
+        @tidy
 
         def fill(batches):
-            decoder = Decoder(pairs.value) if decoded else None
+            decoder, folded = Decoder(pairs.value) if decoded else None, Folded()
             for batch in batches:
-                for k, end in stretches(batch.column(1).value_lengths().to_numpy(zero_copy_only=False), IDS):
-                    b = batch.slice(k, end - k)
-                    ids = _fill(b.column(1), b.column(2))
-                    yield pa.RecordBatch.from_arrays([b.column(0), ids, *(decoder.of(ids) if decoded else ())], names=names)
+                text = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+                cuts = [0, *(np.flatnonzero(text[1:] != text[:-1]) + 1).tolist(), len(text)]
+                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                    if i < j and not text[i]:
+                        folded.add(batch.column(2).slice(i, j - i))
+                        continue
+                    part = batch.slice(i, j - i)
+                    for k, end in stretches(part.column(1).value_lengths().to_numpy(zero_copy_only=False), IDS):
+                        b = part.slice(k, end - k)
+                        ids = folded.fill(b.column(1))
+                        yield pa.RecordBatch.from_arrays([b.column(0), ids, *(decoder.of(ids) if decoded else ())], names=names)
 
         kind, names = docs.schema[id_col].dataType.simpleString(), ["_id", "ids", "decoded", "id_bytes"][: 4 if decoded else 2]
         rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(look_up, f"_id {kind}, ids array<int>, rare array<{START}>")
         folded = let(F.col("_p"), lambda p: F.transform("rare", lambda s: fold(s, p)))
-        done = rows.select("*", self.literal()).select("_id", "ids", F.when(F.size("rare") > 0, folded).otherwise(F.array().cast("array<array<int>>")).alias("folded"))
+        done = rows.select("*", self.literal()).select("_id", "ids", F.when(F.col("rare").isNotNull(), folded).alias("folded"))
         return done.mapInArrow(fill, f"_id {kind}, ids array<int>{', decoded binary, id_bytes binary' * decoded}").withColumnRenamed("_id", id_col)
 
     def decode(self, df: DataFrame) -> DataFrame:
@@ -279,6 +367,8 @@ class ByteBpe:
         """
         pairs, at = self.shared, df.columns.index("ids")
 
+        @tidy
+
         def run(batches):
             import pyarrow as pa
 

@@ -25,13 +25,13 @@ def stretches(sizes: np.ndarray, most: int):
         yield from zip(cuts[:-1], cuts[1:], strict=True)
 
 
-def slices(texts):
-    """(first row, string array without nulls) of stretches of about SLICE bytes; a null text is empty."""
+def slices(texts, size: int = SLICE):
+    """(first row, string array without nulls) of stretches of about `size` bytes; a null text is empty."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
     texts = pc.fill_null(texts.cast(pa.string()), "")
-    for a, b in stretches(pc.binary_length(texts).to_numpy(zero_copy_only=False), SLICE):
+    for a, b in stretches(pc.binary_length(texts).to_numpy(zero_copy_only=False), size):
         yield a, texts.slice(a, b - a)
 
 
