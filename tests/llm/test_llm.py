@@ -97,10 +97,9 @@ def removed(rows, width):
         yield {i + k for i in range(len(w) - width + 1) if c[tuple(w[i : i + width])] > 1 for k in range(width)}
 
 
-@pytest.mark.parametrize("width,hot", [(35, 1 / 2000), (7, 1e-9)])
+@pytest.mark.parametrize("width,hot", [(35, 1 << 16), (7, 2), (7, 1 << 16)])
 def test_substring_dedup(docs, none, width, hot, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "HOT_SHARE", hot)
-    monkeypatch.setattr(substring_dedup, "HOT_LEAST", 2)
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
     monkeypatch.setattr(substring_dedup, "GROUP", 200)
     rows = [words(t) for _, t in TEXTS]
     want = Counter((d, len(w), len(x), " ".join(v for i, v in enumerate(w) if i not in x)) for (d, _), w, x in zip(TEXTS, rows, removed(rows, width), strict=True))
@@ -108,35 +107,84 @@ def test_substring_dedup(docs, none, width, hot, monkeypatch):
     assert substring_dedup.substring_dedup(none, width).count() == 0
 
 
-def test_source_mix(docs, none):
-    got = source_mix.mix_totals(docs, block=16).collect()
+def source_targets(size: dict) -> dict:
+    """Targets by water-filling: repeat shares by weight until no open source is above twice its size."""
+    names = sorted((x for x in size if x is not None)) + [None] * (None in size)
+    weight = {x: (5, 2, 1)[i % 3] for i, x in enumerate(names)}
+    full, left = set(), 1.5 * sum(size.values())
+    while True:
+        share = {x: (left - sum(2 * size[y] for y in full)) * weight[x] / sum(weight[y] for y in names if y not in full) for x in names if x not in full}
+        over = {x for x in share if share[x] > 2 * size[x]}
+        if not over:
+            return share | {x: 2 * size[x] for x in full}
+        full |= over
+
+
+@pytest.mark.parametrize("block", [1, 16])
+def test_source_mix(docs, none, block):
+    got = source_mix.mix_totals(docs, block=block).collect()
     assert Counter((r.doc_id, r["size"]) for r in got) == Counter((d, len(words(t))) for d, t in TEXTS)
     assert all(0 <= r.taken <= 2 * r["size"] for r in got)
-    by = Counter()
+    by, size, target = Counter(), Counter(), {r.source: r.target for r in got}
     for r in got:
         by[r.source] += r.taken
-    assert all(abs(by[r.source] - r.target) <= 1 for r in got)
-    assert abs(sum({r.source: r.target for r in got}.values()) - 1.5 * sum(len(words(t)) for _, t in TEXTS)) < 1e-6
-    assert Counter(map(tuple, source_mix.mix_totals(docs, block=16).collect())) == Counter(map(tuple, got))
+        size[r.source] += r["size"]
+    want = source_targets(size)
+    assert target.keys() == want.keys() and all(abs(target[x] - want[x]) < 1e-6 for x in want)
+    slots = math.ceil(sum(target.values()) / block)
+    assert all(abs(by[x] - target[x]) <= block * (2 + math.log2(slots)) for x in target)  # the discrepancy of the points
+    assert Counter(map(tuple, source_mix.mix_totals(docs, block=block).collect())) == Counter(map(tuple, got))
     assert source_mix.mix_totals(none).count() == 0
-    mixed = source_mix.mixed_documents(docs, block=16)
+    mixed = source_mix.mixed_documents(docs, block=block)
     assert mixed.columns == docs.columns
     assert sum(len(words(r.text)) for r in mixed.collect()) == sum(by.values())
 
 
+def prose(n):
+    return [(i, " ".join(f"a{i}x{j}" for j in range(3 + i * 7 % 41)), "xyz"[i % 7 % 3]) for i in range(n)]
+
+
+def test_the_schedule_decides(spark, monkeypatch):
+    """Each source gives the blocks that the golden-ratio points draw for it, no more and no less; other points give another mix."""
+    docs = spark.createDataFrame(prose(180), "doc_id long, text string, source string")
+    block, quota = 16, {r.source: r.quota for r in source_mix.targets(source_mix.sizes(docs)).collect()}
+
+    def drawn(golden):
+        total, out = sum(quota.values()), Counter()
+        for k in range(math.ceil(total / block)):
+            x, at = (k + 1) % 2**31 * golden % 2**31, 0
+            for s in sorted(quota):
+                if math.floor(at / total * 2**31) <= x < math.floor((at + quota[s]) / total * 2**31):
+                    out[s] += block
+                at += quota[s]
+        return out
+
+    def taken():
+        out = Counter()
+        for r in source_mix.mix_totals(docs, block=block).collect():
+            out[r.source] += r.taken
+            limit[r.source] = 2 * r.source_size
+        return out
+
+    limit: dict = {}
+    first = taken()
+    assert first == {s: min(drawn(source_mix.GOLDEN)[s], limit[s]) for s in limit}
+    monkeypatch.setattr(source_mix, "GOLDEN", 3)
+    assert taken() == {s: min(drawn(3)[s], limit[s]) for s in limit} != first
+
+
 def test_mixed_documents_follow_the_schedule(spark):
-    """Documents of one block each stand in the order of the slots, then those that no slot drew."""
+    """Documents of one block each stand in the order of the slots that drew them."""
     rows = [(i, f"a{i} b c d", "xyz"[i % 3]) for i in range(180)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     sources = source_mix.targets(source_mix.sizes(docs)).collect()
-    name, left = {r.idx: r.source for r in sources}, {r.idx: r.quota // 4 for r in sources}
+    name, left = {r.idx: r.source for r in sources}, {r.idx: 2 * r.source_size // 4 for r in sources}
     want = []
     for r in source_mix.schedule(spark.createDataFrame(sources), 4).orderBy("slot").collect():
         if left[r.idx]:
             left[r.idx] -= 1
-            want.append(name[r.idx])
-    got = [r.source for r in source_mix.mixed_documents(docs, block=4).collect()]
-    assert got == want + [name[i] for i in sorted(left) for _ in range(left[i])]
+            want.append((r.slot, name[r.idx]))
+    assert [(r.slot, r.source) for r in source_mix.mixed_documents(docs, block=4, slots=True).collect()] == want
 
 
 def test_top_inner(spark):
@@ -188,7 +236,11 @@ def test_components(spark):
     assert got == {i: 0 for i in range(1, 31)} | {101: 100}
 
 
-def test_lm_scores(docs, none):
+@pytest.mark.parametrize("hot", [1 << 20, 4])
+def test_lm_scores(docs, none, hot, monkeypatch):
+    monkeypatch.setattr(lm_scores, "HOT", hot)
+    monkeypatch.setattr(lm_scores, "GROUP", 500)
+    monkeypatch.setattr(lm_scores, "SLICE", 4000)
     target = [7, 8, 11]
     got = Counter((r.doc_id, r.n_pairs, None if r.score is None else round(r.score, 9)) for r in lm_scores.lm_scores(docs, target).collect())
     rows = [words(t) for _, t in TEXTS]
@@ -286,14 +338,19 @@ def test_byte_bpe(spark, docs, none):
     assert byte_bpe.digest(none, bpe).count() == 0
 
 
-def test_byte_bpe_without_dictionary(spark):
-    """All words but whole pieces are folded where they occur."""
+@pytest.mark.parametrize("long", [256, 4])
+def test_byte_bpe_without_dictionary(spark, long, monkeypatch):
+    """All words but whole pieces are folded in their stretch, merge by merge or (longer ones) rank by rank."""
     import public_tokenizers as p
     import tiktoken
 
+    monkeypatch.setattr(byte_bpe, "LONG", long)
+    monkeypatch.setattr(byte_bpe, "GATHER", 2000)
+    monkeypatch.setattr(byte_bpe, "ROW", 7)
+    monkeypatch.setattr(word_spans, "SLICE", 500)
     bpe = byte_bpe.ByteBpe(spark, p.path("byte_bpe_50k.tiktoken"), p.PATTERN, dict_words=0)
     coder = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=dict(bpe.pairs), special_tokens={})
-    odd = [(i, "".join(random.Random(i).choice(ODD) for _ in range(i))) for i in range(120)] + [(-1, "y" * 300 + "zq"), (-2, "zzqx")]
+    odd = [(i, "".join(random.Random(i).choice(ODD) for _ in range(i))) for i in range(120)] + [(-1, "y" * 300 + "zq"), (-2, "zzqx"), (-3, "strings" * 90), (-4, "".join(random.Random(4).choices("abeinrst", k=2500)))]
     for rows in (odd, TEXTS):
         df = spark.createDataFrame(rows, "doc_id long, text string")
         got = bpe.decode(bpe.encode(df)).collect()
