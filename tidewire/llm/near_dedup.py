@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.components import components
 from tidewire.llm.hashing import U, labels, mixed, odd_numbers, runs, split_words, window_hashes, word_hashes
-from tidewire.llm.shared import keep
+from tidewire.llm.shared import keep, tidy
 from tidewire.llm.token_files import slices
 
 #: Independent trees, and levels at which an oversize node branches on.
@@ -46,6 +46,8 @@ def minwise(sets: list[np.ndarray], n: int = SKETCH) -> np.ndarray:
 def sketches(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set, sk (low bytes of the minwise values) and mins (those that choose paths)."""
 
+    @tidy
+
     def run(batches):
         for batch in batches:
             for part in slices(batch):
@@ -113,6 +115,8 @@ def _sorted_by(df: DataFrame, key: str) -> DataFrame:
 def candidates(nodes: DataFrame, percent: int) -> DataFrame:
     """(node, rep, root): documents of a node that may be linked, by equal minwise values and by size; a star for each cluster."""
 
+    @tidy
+
     def run(batches):
         out = ([], [], [])
         for t in runs(batches, "node"):
@@ -157,29 +161,39 @@ def confirmed(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndar
     if m == 2:
         both = len(np.intersect1d(*sets, assume_unique=True))
         return (np.array([0]), np.array([1])) if 100 * both >= percent * (size.sum() - both) else (np.zeros(0, int), np.zeros(0, int))
-    flat, doc = np.concatenate(sets), np.repeat(np.arange(m), size)
+    flat, doc = np.concatenate(sets), np.repeat(np.arange(m, dtype=np.int32), size)
     order = np.argsort(flat, kind="stable")
     flat, doc = flat[order], doc[order]
     first = np.concatenate([[True], flat[1:] != flat[:-1]])
-    token = np.cumsum(first) - 1
+    del order, flat
+    token = np.cumsum(first, dtype=np.int32) - 1
     often = np.bincount(token)[token] > 1  # a token of one set adds to no intersection
     doc, token = doc[often], token[often]
     common = np.zeros((m, m), np.float32)
     if len(token):
-        token = np.unique(token, return_inverse=True)[1]
-        width = max(64, min(4096, (1 << 23) // m))
+        token = np.cumsum(np.concatenate([[False], token[1:] != token[:-1]]), dtype=np.int32)
+        width = max(64, min(4096, (1 << 22) // m))
         for lo in range(0, int(token[-1]) + 1, width):
             a, b = np.searchsorted(token, [lo, lo + width])
             part = np.zeros((m, width), np.float32)
             part[doc[a:b], token[a:b] - lo] = 1
-            common += part @ part.T
-    x, y = np.nonzero(np.triu(100.0 * common >= percent * (size[:, None] + size[None, :] - common.astype(np.float64)), 1))
-    return x, y
+            for i in range(0, m, 256):  # in rows, so that no second table of all pairs is made
+                common[i : i + 256] += part[i : i + 256] @ part.T
+    found = ([], [])
+    for i in range(0, m, 256):
+        both = common[i : i + 256].astype(np.float64)
+        x, y = np.nonzero(100.0 * both >= percent * (size[i : i + 256, None] + size[None, :] - both))
+        x = x + i
+        found[0].append(x[x < y])
+        found[1].append(y[x < y])
+    return np.concatenate(found[0]), np.concatenate(found[1])
 
 
 def links(units: DataFrame, k: int, percent: int) -> DataFrame:
     """Edges (a, b) that span each unit's linked documents, confirmed on full sets. units: unit, rep, text."""
 
+    @tidy
+
     def run(batches):
         def hashed():
             for batch in batches:

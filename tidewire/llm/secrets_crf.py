@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.hashing import split_words
+from tidewire.llm.shared import tidy
 from tidewire.llm.token_files import slices
 
 #: Base patterns by kind, and the least length of group `part` of a match.
@@ -297,6 +298,8 @@ def scan(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "tex
     result; other columns are not read. Every word of every text is scored; there is no shuffle.
     """
 
+    @tidy
+
     def run(batches):
         tagger = Tagger(crf)
         for batch in batches:
@@ -352,6 +355,8 @@ def redact_documents(docs: DataFrame, crf: Crf, text_col: str = "text", size_col
     """
     names = docs.columns
 
+    @tidy
+
     def run(batches):
         tagger = Tagger(crf)
         for batch in batches:

@@ -12,15 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.hashing import U, mixed, runs, split_words, window_hashes, word_hashes
-from tidewire.llm.shared import keep
+from tidewire.llm.shared import keep, tidy
 from tidewire.llm.token_files import slices
 
 #: Words of the m-gram whose least hash is a window's minimiser.
 M = 4
 #: Windows of one bucket group, on average.
 GROUP = 1 << 20
-#: A minimiser with this share of a slice's super-k-mers (and HOT_LEAST of them) may be hot.
-HOT_SHARE, HOT_LEAST = 1 / 2000, 64
+#: Windows beyond which a minimiser is hot, whatever the input's size, and how many hot ones tasks are told of at most.
+HOT, HOT_MOST = GROUP // 16, 1 << 18
 ODD = 0x9E3779B97F4A7C15
 ODD_INVERSE = pow(ODD, -1, 1 << 64)
 
@@ -67,16 +67,29 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - upto + length, length) + np.arange(upto[-1] if len(upto) else 0)
 
 
+def _stretches(owner: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+    """text, first and last of the stretches of words that windows cover; `start` counts words of all texts and rises."""
+    order = np.argsort(start, kind="stable")
+    owner, start = owner[order], start[order]
+    opens = np.concatenate([[True], (owner[1:] != owner[:-1]) | (start[1:] > start[:-1] + width)]) if len(start) else np.zeros(0, bool)
+    first = np.flatnonzero(opens)
+    last = np.append(first[1:], len(start))[: len(first)] - 1
+    return np.stack([owner[first], start[first], start[last] + width], axis=1)
+
+
 def _pack(words: pa.Array, alpha: np.ndarray, codes: np.ndarray, width: int, doc: np.ndarray, key: np.ndarray, start: np.ndarray, local: np.ndarray, count: np.ndarray, twice: np.ndarray, known: np.ndarray) -> bytes:
-    """Super-k-mers as one string: their words once, then numbers. `known`: starts of windows that are known to repeat."""
+    """Super-k-mers as one string: their words once, then numbers. `known`: text, first and last word of stretches known to repeat."""
     used, at, times = np.unique(codes[_ranges(start, count + width - 1)], return_inverse=True, return_counts=True)
     # frequent words get small numbers, whose upper bytes are zeros; words of like frequency are in alphabetical order
-    order = np.lexsort((alpha[used], -np.floor(np.log2(times))))
-    used, at = used[order], np.argsort(order)[at]
-    text = "\n".join(words.take(pa.array(used)).to_pylist()).encode()
+    order = np.argsort((64 - np.floor(np.log2(times)).astype(np.int64) << 40) + alpha[used])
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.arange(len(order), dtype=np.uint32)
+    used, at = used[order], place[at]
+    # joined in Arrow: a Python string for each word would take most of the time
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), words.take(pa.array(used)).cast(pa.string())), "\n")[0].as_py().encode()
     docs, own = np.unique(np.concatenate([doc, known[:, 0]]), return_inverse=True)
     head = np.array([len(text), len(at), len(start), len(docs), len(known)], "<i8")
-    parts = [head, text, np.ascontiguousarray(at.astype("<u4").view("u1").reshape(-1, 4).T), key[docs].astype("<i8"), own[: len(doc)].astype("<u4"), local.astype("<u4"), count.astype("<u4"), twice.astype("u1"), own[len(doc) :].astype("<u4"), known[:, 1].astype("<u4")]
+    parts = [head, text, np.ascontiguousarray(at.astype("<u4").view("u1").reshape(-1, 4).T), key[docs].astype("<i8"), own[: len(doc)].astype("<u4"), local.astype("<u4"), count.astype("<u4"), twice.astype("u1"), own[len(doc) :].astype("<u4"), known[:, 1].astype("<u4"), known[:, 2].astype("<u4")]
     return zstandard.ZstdCompressor(level=3).compress(b"".join(p if isinstance(p, bytes) else p.tobytes() for p in parts))
 
 
@@ -88,7 +101,7 @@ def _unpack(blob: bytes) -> tuple:
     out = []
     out.append(np.frombuffer(data, "u1", 4 * n_at, at).reshape(4, n_at).T.copy().view("<u4").ravel())  # byte planes
     at += 4 * n_at
-    for kind, size in (("<i8", 2 * n_docs), ("<u4", n), ("<u4", n), ("<u4", n), ("u1", n), ("<u4", n_known), ("<u4", n_known)):
+    for kind, size in (("<i8", 2 * n_docs), ("<u4", n), ("<u4", n), ("<u4", n), ("u1", n), ("<u4", n_known), ("<u4", n_known), ("<u4", n_known)):
         out.append(np.frombuffer(data, kind, size, at))
         at += size * int(np.dtype(kind).itemsize)
     return pc.split_pattern(text, "\n").flatten() if n_text else pa.array([], pa.large_string()), *out
@@ -97,24 +110,28 @@ def _unpack(blob: bytes) -> tuple:
 def frequent(docs: DataFrame, width: int) -> tuple[int, np.ndarray]:
     """The number of windows of all documents, and the hot minimisers.
 
-    A minimiser with a share of all super-k-mers has that share in some slice, so what no slice finds is not hot. A slice reports at
-    most 1 / HOT_SHARE of them, and as few are left in the end: those with half of the share over all slices.
+    A minimiser with a share of all windows has that share in some slice, so slices report what has the share that HOT is of the
+    input, estimated from its bytes, and no slice more than the inverse of that share.
     """
+    n_bytes = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    share = max(HOT / max(n_bytes / 4, 1), 1 / HOT_MOST)
 
+    @tidy
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 bounds, words = split_words(part.column("text"))
-                _, start, count, low = super_kmers(bounds, word_hashes(words), width)
-                m, n = np.unique(low, return_counts=True)
-                hot = n >= max(HOT_LEAST, HOT_SHARE * len(start))
-                yield pa.RecordBatch.from_arrays([pa.array([None] + m[hot].view(np.int64).tolist(), pa.int64()), pa.array([len(start)] + n[hot].tolist(), pa.int64()), pa.array([int(count.sum())] + [0] * int(hot.sum()), pa.int64())], names=["m", "n", "windows"])
+                _, _, count, low = super_kmers(bounds, word_hashes(words), width)
+                m, at = np.unique(low, return_inverse=True)
+                n = np.bincount(at, count, len(m)).astype(np.int64)
+                hot = n >= max(2, share * int(n.sum()))
+                yield pa.RecordBatch.from_arrays([pa.array([None] + m[hot].view(np.int64).tolist(), pa.int64()), pa.array([int(n.sum())] + n[hot].tolist(), pa.int64())], names=["m", "windows"])
 
-    found = keep(docs.select("text").mapInArrow(run, "m long, n long, windows long").groupBy("m").agg(F.sum("n").alias("n"), F.sum("windows").alias("windows")), "minimisers")
+    found = keep(docs.select("text").mapInArrow(run, "m long, windows long").groupBy("m").agg(F.sum("windows").alias("windows")), "minimisers")
     total = found.filter("m IS NULL").first()
     if total is None:
         return 0, np.zeros(0, U)
-    hot = found.filter((F.col("m").isNotNull()) & (F.col("n") >= total.n * HOT_SHARE / 2)).select("m").collect()
+    hot = found.filter((F.col("m").isNotNull()) & (F.col("windows") >= HOT / 2)).orderBy(F.desc("windows"), "m").limit(HOT_MOST).select("m").collect()
     return total.windows, np.sort(np.array([r.m for r in hot], np.int64).view(U))
 
 
@@ -122,8 +139,11 @@ def packed(docs: DataFrame, width: int, groups: int, hot: np.ndarray) -> DataFra
     """Rows (g, blob): for each slice of documents and bucket group, the super-k-mers of its buckets.
 
     Windows of a hot minimiser go singly, to the bucket of their whole hash; of equal ones in a slice one goes, marked as found twice.
+    Where those lie is known then: they leave as the stretches of words that they cover, to any group.
     """
 
+    @tidy
+
     def run(batches):
         for batch in batches:
             for part in slices(batch):
@@ -135,7 +155,7 @@ def packed(docs: DataFrame, width: int, groups: int, hot: np.ndarray) -> DataFra
                 key = np.stack([part.column("doc").to_numpy(), part.column("h").to_numpy()], axis=1)
                 text, start, count, low = super_kmers(bounds, h, width)
                 bucket, twice = mixed(low), np.zeros(len(start), bool)
-                known, known_bucket = np.zeros((0, 2), np.int64), np.zeros(0, U)
+                known = np.zeros((0, 3), np.int64)
                 is_hot = np.isin(low, hot)
                 if is_hot.any():
                     singles = _ranges(start[is_hot], count[is_hot])
@@ -143,12 +163,13 @@ def packed(docs: DataFrame, width: int, groups: int, hot: np.ndarray) -> DataFra
                     own = window_hashes(h, width, seed=1)[singles]
                     _, first, place, times = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
                     more = times[place] > 1
-                    known, known_bucket = np.stack([owner[more], singles[more] - bounds[owner[more]]], axis=1), own[more]
+                    known = _stretches(owner[more], singles[more], width)
+                    known[:, 1:] -= bounds[known[:, 0], None]
                     cold = ~is_hot
                     text, start = np.concatenate([text[cold], owner[first]]), np.concatenate([start[cold], singles[first]])
                     count = np.concatenate([count[cold], np.ones(len(first), np.int64)])
                     bucket, twice = np.concatenate([bucket[cold], own[first]]), np.concatenate([np.zeros(int(cold.sum()), bool), times > 1])
-                group, known_group = (bucket % U(groups)).astype(np.int64), (known_bucket % U(groups)).astype(np.int64)
+                group, known_group = (bucket % U(groups)).astype(np.int64), (mixed(key[known[:, 0], 1].view(U)) % U(groups)).astype(np.int64)
                 order, known_order = np.argsort(group, kind="stable"), np.argsort(known_group, kind="stable")
                 cuts = np.searchsorted(group[order], np.arange(groups + 1))
                 known_cuts = np.searchsorted(known_group[known_order], np.arange(groups + 1))
@@ -187,7 +208,9 @@ def _repeated(codes: np.ndarray, at: np.ndarray, twice: np.ndarray, width: int)
 
 
 def covered(blobs: DataFrame, groups: int, width: int) -> DataFrame:
-    """doc, h, first, last: words [first, last) of a document that lie in repeated windows."""
+    """doc, h and spans: the stretches of words [first, last) of a document that a group finds in repeated windows, in one row."""
+
+    @tidy
 
     def run(batches):
         for t in runs(batches, "g"):
@@ -200,7 +223,8 @@ def covered(blobs: DataFrame, groups: int, width: int) -> DataFrame:
             begin = np.cumsum(count + width - 1) - (count + width - 1)
             at = _ranges(begin, count)
             kmer = np.repeat(np.arange(len(count)), count)
-            found = _repeated(codes, at, np.repeat(np.concatenate([p[6] for p in parts]), count), width)
+            twice = np.repeat(np.concatenate([p[6] for p in parts]), count)
+            found = _repeated(codes, at, twice, width) & (twice == 0)  # where the others are is known
             key = np.concatenate([p[2].reshape(-1, 2) for p in parts])
             docs = np.cumsum([0] + [len(p[2]) // 2 for p in parts])
             owner = np.concatenate([p[3].astype(np.int64) + b for p, b in zip(parts, docs, strict=False)])
@@ -213,11 +237,15 @@ def covered(blobs: DataFrame, groups: int, width: int) -> DataFrame:
             first = local[kmer[i]] + at[i] - begin[kmer[i]]
             who, last = owner[kmer[i]], first + length + width - 1
             known = np.concatenate([p[7].astype(np.int64) + b for p, b in zip(parts, docs, strict=False)])
-            known_first = np.concatenate([p[8] for p in parts]).astype(np.int64)
-            who, first, last = np.concatenate([who, known]), np.concatenate([first, known_first]), np.concatenate([last, known_first + width])
-            yield pa.RecordBatch.from_arrays([pa.array(key[who, 0]), pa.array(key[who, 1]), pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=["doc", "h", "first", "last"])
+            who = np.concatenate([who, known])
+            first, last = (np.concatenate([x, *(p[k] for p in parts)]).astype(np.int32) for k, x in ((8, first), (9, last)))
+            order = np.argsort(who, kind="stable")
+            who, spans = who[order], pa.StructArray.from_arrays([pa.array(first[order]), pa.array(last[order])], names=["first", "last"])
+            heads = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(who) else np.zeros(0, int)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(who)), pa.int32()), spans)
+            yield pa.RecordBatch.from_arrays([pa.array(key[who[heads], 0]), pa.array(key[who[heads], 1]), lists], names=["doc", "h", "spans"])
 
-    return blobs.repartition(groups, "g").sortWithinPartitions("g").mapInArrow(run, "doc long, h long, first int, last int")
+    return blobs.repartitionById(groups, F.col("g").cast("int")).sortWithinPartitions("g").mapInArrow(run, "doc long, h long, spans array<struct<first: int, last: int>>")
 
 
 def substring_dedup(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,9 +263,11 @@ def substring_dedup(docs: DataFrame, width: int = 35, id_col: str = "doc_id", te
     windows, hot = frequent(rows, width)
     groups = max(1, -(-windows // GROUP))
     found = covered(packed(keyed, width, groups, hot), groups, width)
-    spans = found.groupBy("doc", "h").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    spans = found.groupBy("doc", "h").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     whole = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("h")).join(spans, ["doc", "h"], "left").select("doc_id", "text", "spans")
 
+    @tidy
+
     def run(batches):
         for batch in batches:
             for part in slices(batch):

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.shared import keep
+from tidewire.llm.shared import keep, tidy
 
 #: Vectors that the rotation is fitted on, at most; any rotation gives the same results.
 SAMPLE = 4096
@@ -21,6 +21,8 @@ STEPS = (256, 1024, 4096)
 def quantize(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
     """vec_id, dim and v (binary, little-endian 64-bit integers floor(scale * x)) of vectors whose components are all finite."""
 
+    @tidy
+
     def run(batches):
         for b in batches:
             ids, rows, keep_ids, out, dims = b.column(0).to_pylist(), b.column(1), [], [], []
