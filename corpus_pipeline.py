@@ -12,7 +12,9 @@ from tidewire.llm.shared import scratch
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; whole rows ride along, so nothing is joined."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return quality_rules.quality_rules(rows, id_col="row").filter("kept").select("row.*")
+    # a filter on what explode() makes isn't pushed below it, where every rule would be computed once more
+    judged = quality_rules.quality_rules(rows, id_col="row").select("row", F.explode(F.array("kept")).alias("kept"))
+    return judged.filter("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
