@@ -50,7 +50,7 @@ def _slot(name: str) -> int:
 
 def word_features(word: str) -> list[str]:
     """Shape, length, mixture and cue features of a word, whatever stands around it."""
-    core = word.strip("\"'`.,;:!?()[]{}<>*#$%&|")[:200]
+    core = word.strip("\"'`.,;:!?()[]{}<>*#$%&|")
     n = len(core)
     kinds = (any(c.isdigit() for c in core), any(c.islower() for c in core), any(c.isupper() for c in core), any(c in "+/_=-" for c in core))
     turns = sum(a.isdigit() != b.isdigit() for a, b in zip(core, core[1:], strict=False))
@@ -83,8 +83,8 @@ def _plain(n: int, kinds: int) -> tuple[str, ...]:
 def named_features(word: str) -> tuple[str, ...]:
     """word_features, by a short way for plain words, which are nearly all."""
     m = PLAIN.fullmatch(word)
-    if m and (core := m[1]) and len(core) <= 200 and core not in CUES and not set(core) <= set("abcdef"):
-        return _plain(len(core), min(len(set(core)), 24) // 3)
+    if m and (core := m[1]) and core not in CUES and not set(core) <= set("abcdef"):
+        return _plain(min(len(core), 48), min(len(set(core)), 24) // 3)
     return tuple(word_features(word))
 
 
@@ -104,8 +104,19 @@ def file_features(text: str) -> list[int]:
     return [_slot(f"digits{min(int(digits * 50), 10)}"), _slot(f"cues{any(c in low for c in ('password', 'secret', 'token', 'api'))}")]
 
 
+#: Made secrets are keys of five known formats and strings of other alphabets, lengths and separators.
+KEYS = 8
+
+
 def _random_secret(r: random.Random) -> str:
-    kind = r.randrange(5)
+    kind = r.randrange(KEYS)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    if kind == 5:
+        return "".join(r.choices(letters + "-_", k=r.randrange(16, 90)))
+    if kind == 6:
+        return r.choice("-_.").join("".join(r.choices(letters, k=r.randrange(8, 40))) for _ in range(r.randrange(2, 5)))
+    if kind == 7:
+        return "".join(r.choices(r.choice((letters[:26] + "234567", letters[26:52] + "0123456789", letters)), k=r.randrange(16, 60)))
     if kind == 0:
         return "".join(r.choices("0123456789abcdef", k=r.choice((32, 40, 64))))
     if kind == 1:
@@ -117,30 +128,51 @@ def _random_secret(r: random.Random) -> str:
     return "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=r.choice((20, 28, 40))))
 
 
-def training_rows(texts: list[str], seed: int = 5, span: int = 48) -> list[tuple[list[str], list[int], list[int]]]:
-    """Windows of words with labels and file features: base matches, made secrets among the sample's words, and plain windows."""
-    r, rows = random.Random(seed), []
-    for text in texts:
-        words = [(m.start(), m.end()) for m in WORD.finditer(text)]
-        if not words:
-            continue
-        whole, marks = file_features(text), np.zeros(len(words), int)
-        for kind, a, b in base_spans(text):
-            if kind == "assign":
-                a = BASE[0][1].match(text, a).start(2)
-            inside = [i for i, (s, e) in enumerate(words) if s < b and e > a]
-            for k, i in enumerate(inside):
-                marks[i] = BEGIN if k == 0 else INSIDE
-        at = int(np.flatnonzero(marks)[0]) if marks.any() else r.randrange(len(words))
-        lo = max(0, at - span // 2)
-        part = [text[s:e] for s, e in words[lo : lo + span]]
-        rows.append((part, marks[lo : lo + span].tolist(), whole))
-        lead = r.choice((["password", "="], ["token:"], ["api", "key", "is"], ["bearer"], ["secret", ":"], ["pwd", "="], ["access", "key"], []))
-        two = [_random_secret(r) for _ in range(r.choice((1, 1, 1, 2)))]
-        at = r.randrange(len(part) + 1)
-        plain = [OUT if m else m for m in marks[lo : lo + span].tolist()] if not marks[lo : lo + span].any() else None
-        if plain is not None:
-            rows.append((part[:at] + lead + two + part[at:], plain[:at] + [OUT] * len(lead) + [BEGIN] + [INSIDE] * (len(two) - 1) + plain[at:], whole))
+def _random_plain(r: random.Random, words: list[str]) -> str:
+    """What looks unlike a word and is no secret: addresses and compounds of the text's own words, times, prices and numbers."""
+    core = [w.strip(".,;:!?\"'()").lower()[:12] or "x" for w in r.choices(words, k=5)]
+    digits = lambda k: "".join(r.choices("0123456789", k=k))
+    return (
+        lambda: f"{r.choice(('http', 'https'))}://{core[0]}.{r.choice(('com', 'org', 'net'))}/{'/'.join(core[1 : r.randrange(1, 5)])}",
+        lambda: f"{core[0]}.{core[1]}@{core[2]}.org",
+        lambda: "".join(core[: r.randrange(2, 6)]).capitalize(),
+        lambda: r.choice("-/_").join(core[: r.randrange(2, 5)]),
+        lambda: f"{digits(2)}:{digits(2)}",
+        lambda: f"{digits(4)}-{digits(2)}-{digits(2)}",
+        lambda: f"{digits(r.randrange(1, 4))},{digits(3)}.{digits(2)}",
+        lambda: digits(r.randrange(1, 17)),
+    )[r.randrange(8)]()
+
+
+def training_rows(text: str, seed: int = 5, span: int = 48) -> list[tuple[list[str], list[int], list[int]]]:
+    """Windows of a text's words with labels and file features: its first base match or a plain window, and a made secret among them.
+
+    The whole text is looked through; what is made up follows from the text and the seed alone.
+    """
+    r = random.Random(seed ^ int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
+    words = [(m.start(), m.end()) for m in WORD.finditer(text)]
+    if not words:
+        return []
+    whole, marks = file_features(text), np.zeros(len(words), int)
+    starts, ends = np.array(words).T
+    for kind, a, b in base_spans(text):
+        if kind == "assign":
+            a = BASE[0][1].match(text, a).start(2)
+        inside = np.arange(np.searchsorted(ends, a, "right"), np.searchsorted(starts, b))
+        marks[inside] = INSIDE
+        marks[inside[:1]] = BEGIN
+    at = int(np.flatnonzero(marks)[0]) if marks.any() else r.randrange(len(words))
+    lo = max(0, at - span // 2)
+    part, own = [text[s:e] for s, e in words[lo : lo + span]], marks[lo : lo + span].tolist()
+    rows = [(part, own, whole)]
+    lead = r.choice((["password", "="], ["token:"], ["api", "key", "is"], ["bearer"], ["secret", ":"], ["pwd", "="], ["access", "key"], []))
+    two = [_random_secret(r) for _ in range(r.choice((1, 1, 1, 2)))]
+    at = r.randrange(len(part) + 1)
+    if not any(own):
+        for _ in range(r.randrange(4)):
+            k = r.randrange(len(part) + 1)
+            part, own = [*part[:k], _random_plain(r, part), *part[k:]], [*own[:k], OUT, *own[k:]]
+        rows.append((part[:at] + lead + two + part[at:], own[:at] + [OUT] * len(lead) + [BEGIN] + [INSIDE] * (len(two) - 1) + own[at:], whole))
     return rows
 
 
@@ -280,14 +312,23 @@ class Tagger:
 
 
 def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Crf:
-    """A model fitted on the base matches of at most `sample` texts (those of least hash, each once) and on secrets made up among their words."""
+    """A model fitted on windows of at most `sample` whole texts (those of least hash, each once): base matches, and secrets made up among words."""
     rows = docs.select(F.col(text_col).alias("text")).filter("text IS NOT NULL").withColumn("h", F.xxhash64("text"))
     least = [r.h for r in rows.select("h").distinct().orderBy("h").limit(sample).collect()]
     if not least:
         return Crf.train([])
-    # one text of each hash: tasks send the sample's texts and no others
-    found = rows.filter(F.col("h") <= least[-1]).select("h", F.substring("text", 1, 20_000).alias("text")).groupBy("h").agg(F.min("text").alias("text"))
-    return Crf.train(training_rows([r.text for r in sorted(found.collect(), key=lambda r: r.h)]))
+    # one text of each hash; tasks look it through and send a few windows of it
+    found = rows.filter(F.col("h") <= least[-1]).groupBy("h").agg(F.min("text").alias("text"))
+
+    @tidy
+    def run(batches):
+        for batch in batches:
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                made = training_rows(text)
+                yield pa.RecordBatch.from_arrays([pa.array([h] * len(made), pa.int64()), pa.array(range(len(made)), pa.int32()), *(pa.array([r[k] for r in made], pa.list_(kind)) for k, kind in enumerate((pa.string(), pa.int32(), pa.int32())))], names=["h", "k", "words", "marks", "whole"])
+
+    windows = found.mapInArrow(run, "h long, k int, words array<string>, marks array<int>, whole array<int>").collect()
+    return Crf.train([(r.words, r.marks, r.whole) for r in sorted(windows, key=lambda r: (r.h, r.k))])
 
 
 def scan(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
