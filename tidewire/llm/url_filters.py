@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Urls of a host suffix that one task sweeps, about; a suffix with more is dealt over several.
+HOT = 1 << 12
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: The rules of the registered query: host, path, verdict.
@@ -45,16 +47,17 @@ def segments(rules: DataFrame) -> DataFrame:
     return deep.select("rev", "at", F.when(F.col("depth") > 0, top).alias("hit"))
 
 
-def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url", salts: int = 64) -> DataFrame:
+def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url", hot: int = HOT) -> DataFrame:
     """One row per page: id, host, path, rule (null if none fits) and verdict.
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest (host and path together, then host)
     wins; of rules equal in host and path, allow wins. A null url, or one without '://', has an empty host and path and gets the
-    default. Repeated rows are each judged; other columns are not read; no pages or no rules are fine.
+    default. Repeated rows are each judged, very long urls like any other; other columns are not read; no pages or no rules are fine.
 
     Distinct (host, path) pairs are judged once. Each is swept under each of its host suffixes that is no longer than the longest
-    rule's, next to that suffix's events, in sorted order; a suffix with very many urls is dealt over `salts` tasks, to each of
-    which the events of the suffix, which come from the rules alone, are given.
+    rule's, next to that suffix's events, in sorted order: a host fits by equal labels from its end and a path by its first bytes,
+    so under a key of both a host's subdomains would not be one interval of a path. A suffix with more than `hot` urls is dealt
+    over tasks by a salt; each of them is given the events of the suffix, which come from the rules alone.
     """
     rules = rules.filter(F.col("host").isNotNull() & F.col("path").isNotNull() & F.col("verdict").isNotNull())
     host, path = split_url(F.col(url_col))
@@ -63,8 +66,13 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     keys = rows.filter("host != ''").select("host", "path").distinct()
     parts = F.slice(_reversed(F.col("host")), 1, max(labels, 1))
     levels = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "."))
-    urls = keys.select("host", "path", F.explode(levels).alias("rev"), F.col("path").cast("binary").alias("at"), F.pmod(F.xxhash64("host", "path"), F.lit(salts)).cast("int").alias("salt"))
-    events = segments(rules).select("rev", "at", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.struct("hit").alias("event"))
+    urls = keys.select("host", "path", F.explode(levels).alias("rev"), F.col("path").cast("binary").alias("at"))
+    # only suffixes that have rules are swept
+    named = rules.select(F.array_join(_reversed(F.col("host")), ".").alias("rev")).distinct()
+    urls = urls.join(named, "rev", "left_semi")
+    dealt = urls.groupBy("rev").agg(F.ceil(F.count(F.lit(1)) / hot).cast("int").alias("salts")).filter("salts > 1")
+    urls = urls.join(dealt, "rev", "left").select("host", "path", "rev", "at", F.pmod(F.xxhash64("host", "path"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    events = segments(rules).join(dealt, "rev", "left").select("rev", "at", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), F.struct("hit").alias("event"))
     both = urls.select("rev", "at", "salt", "host", "path", F.lit(1).alias("late")).unionByName(events.withColumn("late", F.lit(0)), allowMissingColumns=True)
     sweep = Window.partitionBy("rev", "salt").orderBy("at", "late").rowsBetween(Window.unboundedPreceding, 0)
     hits = both.withColumn("hit", F.last("event", ignorenulls=True).over(sweep)["hit"]).filter("late = 1 AND hit IS NOT NULL")
