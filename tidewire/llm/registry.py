@@ -59,4 +59,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_quality_rules": quality_rules.oracle(), "op3_url_filters": url_filters.oracle(), "op4_substring_dedup": substring_dedup.oracle(), "op5_source_mix": source_mix.oracle(), "op6_top_inner": top_inner.oracle()}
+    return {"op1_quality_rules": quality_rules.oracle(), "op3_url_filters": url_filters.oracle(), "op4_substring_dedup": substring_dedup.oracle(), "op5_source_mix": source_mix.oracle(), "op6_top_inner": top_inner.oracle(), "op7_near_dedup": near_dedup.oracle()}

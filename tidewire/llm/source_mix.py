@@ -176,7 +176,7 @@ b AS (SELECT *, floor((upto - quota)::DOUBLE / quotas::DOUBLE * {UNIT})::BIGINT
 p AS (SELECT (((k + 1) % {UNIT}) * {GOLDEN}) % {UNIT} AS x FROM (SELECT unnest(range((SELECT max((quotas + block - 1) // block) FROM b))) AS k)),
 e AS (SELECT b.idx, least(count(*) * any_value(block), any_value(cap))::BIGINT AS stop FROM b JOIN p ON p.x >= b.lo AND p.x < b.hi GROUP BY b.idx),
 h AS (SELECT doc_id, source, size, ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '') || ':' || size), 1, 15))::BIGINT AS h FROM d WHERE size > 0),
-m AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at FROM h),
-z AS (SELECT doc_id, source, size, at FROM m UNION ALL SELECT doc_id, source, size, NULL FROM d WHERE size = 0)
-SELECT z.doc_id, z.size, q.n AS source_size, q.target, ({" + ".join(f"coalesce(greatest(0, least(z.at + {k} * q.n + z.size, e.stop) - z.at - {k} * q.n), 0)" for k in range(cap))})::BIGINT AS taken
+m AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place FROM h),
+z AS (SELECT doc_id, source, size, place FROM m UNION ALL SELECT doc_id, source, size, NULL FROM d WHERE size = 0)
+SELECT z.doc_id, z.size, q.n AS source_size, q.target, ({" + ".join(f"coalesce(greatest(0, least(z.place + {k} * q.n + z.size, e.stop) - z.place - {k} * q.n), 0)" for k in range(cap))})::BIGINT AS taken
 FROM z JOIN q ON z.source IS NOT DISTINCT FROM q.source LEFT JOIN e ON e.idx = q.idx"""
