@@ -8,9 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import geometry
-from tidewire.operators import extract, selection
-
-MEASURES = {"approval": "approv|image", "vote": "vote"}
+from tidewire.operators import centrality, selection
 
 
 def test_quota_equals_the_walk(spark):
@@ -76,24 +74,6 @@ def test_simplified(spark):
     assert got == [[0.0, 2.0, 3.0, 4.0], [0.0], [], []]
 
 
-@pytest.mark.parametrize(
-    ("text", "want"),
-    [
-        ("Poll: Ana Ruiz has 41% approval", [("Ana Ruiz", "approval", 41.0, "high")]),
-        ("Ruiz 21%, Ana Ruiz 15% image", [("Ruiz", "approval", 21.0, "medium"), ("Ana Ruiz", "approval", 15.0, "high")]),
-        ("Ana Ruiz fell 3% and keeps 38 % of the vote", [("Ana Ruiz", "vote", 38.0, "high")]),
-        ("Ana Ruiz keeps 38,5 % of the vote", [("Ana Ruiz", "vote", 38.5, "medium")]),
-        ("Ana Ruiz at 140% image", []),
-        ("41% approval", []),
-        ("Ana Ruiz 12%", [("Ana Ruiz", "unclassified", 12.0, "low")]),
-        ("", []),
-        (None, []),
-    ],
-)
-def test_triples(text, want):
-    assert [tuple(x.values()) for x in extract.triples(text, ["Ruiz", "Ana Ruiz"], MEASURES)] == want
-
-
 def test_betweenness_equals_all_paths():
     rng = random.Random(7)
     edges = {v: set() for v in "abcdefg"}
@@ -114,7 +94,7 @@ def test_betweenness_equals_all_paths():
         for p in found:
             for v in p[1:-1]:
                 want[v] += 1 / len(found) / 30
-    assert extract.betweenness(edges) == pytest.approx(want)
+    assert centrality.betweenness(edges) == pytest.approx(want)
 
 
 def test_longest_entities_link_every_name(spark, tmp_path):

@@ -28,7 +28,8 @@ def weekday(ts: Column) -> Column:
 
 def published(text: Column) -> Column:
     """RFC-822 or ISO time in UTC; null if neither."""
-    rfc = F.try_to_timestamp(F.regexp_replace(text, "^[A-Za-z]{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss z"))
+    plain = F.regexp_replace(text, "^[A-Za-z]{3}, ", "")
+    rfc = F.coalesce(F.try_to_timestamp(plain, F.lit("dd MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(plain, F.lit("dd MMM yyyy HH:mm:ss z")))
     return F.coalesce(rfc, F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")), F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss")), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")))
 
 

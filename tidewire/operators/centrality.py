@@ -1,68 +1,8 @@
-"""Triples (subject, measure, value) out of headlines, and centrality of small graphs: what built-in functions cannot express."""
+"""Centrality of small graphs: what built-in functions cannot express."""
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql.pandas.functions import pandas_udf
-
-TRIPLES = "array<struct<subject:string,measure:string,value:double,confidence:string>>"
-BREAK = re.compile(r"[,;:]|\s(?:and|but|while|against|although)\s")
-CHANGE = re.compile(r"\b(?:rose|fell|grew|dropped|lost|gained|up|down)\b[^%]{0,14}$")
-PERCENT = re.compile(r"(\d{1,3}(?:[.,]\d+)?)\s?%")
-
-
-def triples(text: str | None, subjects: list[str], measures: dict[str, str]) -> list[dict]:
-    """The values of a text that can be stated: each with the nearest subject within 80 characters and the measure of its clause.
-
-    A value over 100, a change ("fell 3 %") and a value without a subject are left out. Longer subject names are found first and
-    what they cover is taken. A subject of the value's own clause goes before a nearer one of another. Without a measure in its clause
-    a value takes, with medium confidence, the text's only measure if that stands in a clause without values, or the measure of a
-    neighbouring clause's value; else it is "unclassified" with a low one. A decimal comma ends a clause as any comma does.
-    """
-    low = (text or "").lower()
-    clause = [m.start() for m in BREAK.finditer(low)]
-    at = lambda pos: sum(c < pos for c in clause)
-    taken, names = [], []
-    for s in sorted(subjects, key=lambda s: (-len(s), s)):
-        for m in re.finditer(rf"\b{re.escape(s.lower())}\b", low):
-            if not any(a < m.end() and m.start() < b for a, b in taken):
-                taken.append(m.span())
-                names.append((*m.span(), s))
-    cues = [(m.start(), name) for name, pattern in measures.items() for m in re.finditer(pattern, low)]
-    valued = {at(m.start()) for m in PERCENT.finditer(low) if float(m[1].replace(",", ".")) <= 100}
-    only = cues[0][1] if len({name for _, name in cues}) == 1 and at(cues[0][0]) not in valued else None
-    found = []
-    for m in PERCENT.finditer(low):
-        a, b, value = *m.span(), float(m[1].replace(",", "."))
-        gap = lambda n: max(n[0] - b, a - n[1])  # noqa: B023, E731
-        near = min(names, key=lambda n: (at(n[0]) != at(a), gap(n), n[0]), default=None)  # noqa: B023
-        if value > 100 or near is None or gap(near) > 80 or CHANGE.search(low[:a][-28:]):
-            continue
-        own = min((abs(p - a), name) for p, name in cues if at(p) == at(a)) if any(at(p) == at(a) for p, _ in cues) else None
-        found.append({"subject": near[2], "measure": own[1] if own else None, "value": value, "confidence": ("high" if gap(near) <= 45 else "medium") if own else "low", "clause": at(a)})
-    known = {x["clause"]: x["measure"] for x in reversed(found) if x["measure"]}
-    out = {}
-    for x in found:
-        if x["measure"] is None:
-            beside = known.get(x["clause"] - 1) or known.get(x["clause"] + 1)
-            x |= {"measure": only or beside or "unclassified", "confidence": "medium" if only or beside else "low"}
-        x.pop("clause")
-        out.setdefault((x["subject"], x["measure"], x["value"]), x)
-    return list(out.values())
-
-
-def extract_triples(text: Column, subjects: list[str], measures: dict[str, str]) -> Column:
-    """triples() of each text, in Arrow batches; null and empty texts have none."""
-
-    @pandas_udf(TRIPLES)
-    def run(texts):
-        import pandas as pd
-
-        return pd.Series([triples(t, subjects, measures) for t in texts])
-
-    return run(text)
+from pyspark.sql import DataFrame
 
 
 def betweenness(edges: dict[str, set[str]]) -> dict[str, float]:

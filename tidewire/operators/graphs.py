@@ -19,21 +19,25 @@ def pairs_within(df: DataFrame, key: str, item: str) -> DataFrame:
     return d.withColumnRenamed(item, "a").join(other, key).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
 
 
-def ready(spark: SparkSession) -> None:
-    """Sets the checkpoint folder to the session's own; only a local session without one gets a temporary folder."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp()
-    spark.sparkContext.setCheckpointDir(folder)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: the session's spark.checkpoint.dir, which is set as its checkpoint folder.
+
+    Only a local session without one gets a temporary folder.
+    """
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = f"file://{tempfile.mkdtemp()}"
+        sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """v and root, the least vertex reachable, by propagating minima; lineage is cut by a reliable checkpoint each round."""
-    ready(edges.sparkSession)
+    shared_folder(edges.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     root = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "v").checkpoint()
     while True:
@@ -41,7 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
         new = root.join(near, F.col("v") == F.col("a")).select("v", F.least("root", "near").alias("root"))
         jump = new.select(F.col("v").alias("r2"), F.col("root").alias("up"))
         new = new.join(jump, F.col("root") == F.col("r2"), "left").select("v", F.least("root", F.coalesce("up", "root")).alias("root")).checkpoint()
-        if new.agg(F.sum("root")).first()[0] == root.agg(F.sum("root")).first()[0]:
+        if new.join(root.withColumnRenamed("root", "was"), "v").filter("root <> was").isEmpty():
             return new
         root = new
 
@@ -49,7 +53,7 @@ def components(edges: DataFrame) -> DataFrame:
 def propagate(edges: DataFrame, rounds: int = 14) -> DataFrame:
     """Label propagation by weight: each vertex takes the label of the largest weight around it, ties to the least; all vertices at
     once, so results don't hang on an order of visits. Returns v and label."""
-    ready(edges.sparkSession)
+    shared_folder(edges.sparkSession)
     both = undirected(edges)
     label = both.select(F.col("a").alias("v")).distinct().withColumn("label", F.col("v"))
     for _ in range(rounds):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.operators.graphs import ready
+from tidewire.operators.graphs import shared_folder
 
 
 def quota(df: DataFrame, groups: dict[str, int], order: list[Column]) -> DataFrame:
@@ -29,7 +29,7 @@ def diverse(df: DataFrame, by: str, score: list[Column], item: str, words: str,
     group. Where an edition is not full then, the next round looks at the rows left that are unlike all taken, the first of which
     is taken, so there are at most `most` rounds. The fold runs within the JVM.
     """
-    ready(df.sparkSession)
+    shared_folder(df.sparkSession)
 
     def alike(a: Column, b: Column) -> Column:
         n = F.size(F.array_intersect(a["w"], b["w"]))

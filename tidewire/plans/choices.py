@@ -1,11 +1,12 @@
-"""Quotas, diverse editions, messages, geometry, poll values and centrality."""
+"""Quotas, diverse editions, messages, geometry and centrality."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import geometry, text
-from tidewire.operators import extract, selection
+from tidewire.operators import centrality, selection
 from tidewire.plans.registry import query
 from tidewire.session import table
 
@@ -68,27 +69,12 @@ def simplified_lines(spark, sf):
     return lines.select("user_id", F.size("line").alias("points"), F.size(geometry.simplified(F.col("line"), 40.0)).alias("kept"))
 
 
-#: Names and cue patterns of the measures that poll headlines state.
-MEASURES = {"approval": "approv|image", "vote": "vote|intention", "inflation": "inflation|prices"}
-
-
-@query()
-def poll_triples(spark, sf):
-    """Poll values out of headlines made from orders: a subject, a measure and two figures, some of them changes."""
-    o = table(spark, sf, "orders")
-    p = (F.col("o_orderkey") % 101).cast("string")
-    head = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("Poll: "), "o_orderpriority", F.lit(" has "), p, F.lit("% approval"))).otherwise(F.concat("o_orderpriority", F.lit(" fell "), p, F.lit("% and keeps 40% vote intention")))
-    names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-    x = o.select("o_orderkey", F.explode(extract.extract_triples(head, names, MEASURES)).alias("t")).select("t.*")
-    return x.groupBy("subject", "measure", "confidence").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
-
-
 @query()
 def brokers(spark, sf):
-    """Betweenness of nations within each region's graph of trade; a region has few nations."""
+    """Betweenness of nations within each region's graph of the links that are stronger than its mean; a region has few nations."""
     n = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
     o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").alias("a"))
     s = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_orderkey").alias("o_orderkey"), F.col("s_nationkey").alias("b"))
     pairs = o.join(s, "o_orderkey").groupBy("a", "b").agg(F.count("*").alias("w"))
-    inner = pairs.join(n.select(F.col("n_nationkey").alias("a"), F.col("n_regionkey").alias("region")), "a").join(n.select(F.col("n_nationkey").alias("b"), F.col("n_regionkey").alias("r2")), "b").filter("region = r2 AND a <> b AND (a + b) % 3 <> 0")
-    return extract.central(inner.select("region", "a", "b"), "region").withColumn("betweenness", F.round("betweenness", 6))
+    inner = pairs.join(n.select(F.col("n_nationkey").alias("a"), F.col("n_regionkey").alias("region")), "a").join(n.select(F.col("n_nationkey").alias("b"), F.col("n_regionkey").alias("r2")), "b").filter("region = r2 AND a <> b").withColumn("mean", F.avg("w").over(Window.partitionBy("region"))).filter("w > mean")
+    return centrality.central(inner.select("region", "a", "b"), "region").withColumn("betweenness", F.round("betweenness", 6))

@@ -5,18 +5,22 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import text
 from tidewire.plans.registry import query
-from tidewire.plans.texts import FOLD, NORM
+from tidewire.plans.texts import FOLD, NORM_ALL
 from tidewire.session import table
 
 
-@query(f"""WITH g AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT doc_id, string_split({NORM}, ' ') AS w FROM documents))),
-b AS (SELECT item_id, array_to_string(string_split({NORM}, ' ')[1:3], ' ') AS gram FROM benchmark) SELECT item_id, doc_id FROM b JOIN g USING (gram)""")
+@query(f"SELECT item_id, doc_id FROM (SELECT item_id, {NORM_ALL} AS phrase FROM benchmark) JOIN (SELECT doc_id, ' ' || {NORM_ALL} || ' ' AS x FROM documents) ON contains(x, ' ' || phrase || ' ') WHERE phrase <> ''")
 def dict_join(spark, sf):
+    """Phrases of a dictionary and the documents that hold them, anywhere and in all their words: the first three words of a phrase
+    (or as many as it has) find candidates by equality, and these alone are compared whole."""
     w = F.col("w")
-    grams = F.array_distinct(F.transform(F.slice(w, 1, F.size(w) - 2), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2))))
-    d = table(spark, sf, "documents").select("doc_id", F.split(text.norm(text.title(F.col("text"))), " ").alias("w")).filter(F.size("w") > 2).select("doc_id", F.explode(grams).alias("gram"))
-    b = table(spark, sf, "benchmark").select("item_id", F.array_join(F.slice(F.split(text.norm(text.title(F.col("text"))), " "), 1, 3), " ").alias("gram"))
-    return b.join(d, "gram").select("item_id", "doc_id")
+    near = F.array_distinct(F.transform(F.arrays_zip(w.alias("a"), F.slice(w, F.lit(2), F.size(w)).alias("b"), F.slice(w, F.lit(3), F.size(w)).alias("c")), lambda x: F.concat_ws(" ", x["a"], x["b"], x["c"])))
+    b = table(spark, sf, "benchmark").select("item_id", text.norm(F.col("text")).alias("phrase")).filter("phrase <> ''").withColumn("n", F.size(F.split("phrase", " "))).withColumn("gram", F.array_join(F.slice(F.split("phrase", " "), 1, 3), " "))
+    d = table(spark, sf, "documents").select("doc_id", text.norm(F.col("text")).alias("x"))
+    grams = d.select("doc_id", F.split("x", " ").alias("w")).select("doc_id", F.explode(F.when(F.size("w") > 2, F.array_distinct(F.concat(near, w, F.transform(F.arrays_zip(w.alias("a"), F.slice(w, F.lit(2), F.size(w)).alias("b")), lambda x: F.concat_ws(" ", x["a"], x["b"]))))).otherwise(F.array_distinct(F.concat(near, w)))).alias("gram"))
+    met = grams.join(b.select("item_id", "phrase", "gram"), "gram").select("item_id", "phrase", "doc_id").distinct()
+    padded = F.concat(F.lit(" "), "x", F.lit(" "))
+    return met.join(d, "doc_id").filter(padded.contains(F.concat(F.lit(" "), "phrase", F.lit(" ")))).select("item_id", "doc_id")
 
 
 @query("SELECT alias, min(p_partkey) AS p_partkey FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS alias FROM part) GROUP BY alias HAVING count(DISTINCT p_partkey) = 1")
@@ -25,10 +29,10 @@ def unique_alias(spark, sf):
     return a.groupBy("alias").agg(F.countDistinct("p_partkey").alias("n"), F.min("p_partkey").alias("p_partkey")).filter("n = 1").drop("n")
 
 
-@query("""WITH a AS (SELECT c_nationkey AS k, count(*) AS customers FROM customer WHERE c_custkey % 7 < 3 GROUP BY 1), b AS (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier GROUP BY 1)
+@query("""WITH a AS (SELECT c_nationkey AS k, count(*) AS customers FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier GROUP BY 1)
 SELECT coalesce(a.k, b.k) AS nation, customers, suppliers, CASE WHEN a.k IS NULL THEN 'insert' WHEN b.k IS NULL THEN 'expire' WHEN customers = suppliers THEN 'keep' ELSE 'update' END AS action FROM a FULL JOIN b ON a.k = b.k""")
 def roster_merge(spark, sf):
-    a = table(spark, sf, "customer").filter("c_custkey % 7 < 3").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("customers"))
+    a = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("customers"))
     b = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("suppliers"))
     action = F.when(F.col("customers").isNull(), "insert").when(F.col("suppliers").isNull(), "expire").when(F.col("customers") == F.col("suppliers"), "keep").otherwise("update")
     return a.join(b, "nation", "full").withColumn("action", action)
@@ -56,10 +60,10 @@ def asof_latest(spark, sf):
     return e.withColumn("s", seen).filter("odd = 1").select("event_id", F.col("s.event_id").alias("seen_id"), F.col("s.value").alias("value"))
 
 
-@query("""WITH e AS (SELECT l_suppkey, l_partkey % 50 AS item, l_shipdate FROM lineitem WHERE l_suppkey % 5 = 0), g AS (SELECT *, CASE WHEN l_shipdate - lag(l_shipdate) OVER w <= INTERVAL 7 DAYS THEN 0 ELSE 1 END AS opens FROM e WINDOW w AS (PARTITION BY l_suppkey, item ORDER BY l_shipdate)),
+@query("""WITH e AS (SELECT l_suppkey, l_partkey % 50 AS item, l_shipdate FROM lineitem), g AS (SELECT *, CASE WHEN l_shipdate - lag(l_shipdate) OVER w <= INTERVAL 7 DAYS THEN 0 ELSE 1 END AS opens FROM e WINDOW w AS (PARTITION BY l_suppkey, item ORDER BY l_shipdate)),
 s AS (SELECT *, sum(opens) OVER (PARTITION BY l_suppkey, item ORDER BY l_shipdate) AS k FROM g) SELECT l_suppkey, item, min(l_shipdate) AS since, max(l_shipdate) AS upto, count(*) AS n FROM s GROUP BY l_suppkey, item, k""")
 def interval_merge(spark, sf):
-    e = table(spark, sf, "lineitem").filter("l_suppkey % 5 = 0").select("l_suppkey", (F.col("l_partkey") % 50).alias("item"), "l_shipdate")
+    e = table(spark, sf, "lineitem").select("l_suppkey", (F.col("l_partkey") % 50).alias("item"), "l_shipdate")
     w = Window.partitionBy("l_suppkey", "item").orderBy("l_shipdate")
     opens = F.when(F.col("l_shipdate") - F.lag("l_shipdate").over(w) <= F.expr("INTERVAL 7 DAYS"), 0).otherwise(1)
     s = e.withColumn("opens", opens).withColumn("k", F.sum("opens").over(w.rangeBetween(Window.unboundedPreceding, 0)))
@@ -82,9 +86,9 @@ def fuzzy_names(spark, sf):
     return pairs.withColumn("d", F.levenshtein("a", "b", 2)).filter("d >= 0")
 
 
-@query("""WITH e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS p FROM lineitem WHERE l_suppkey <= 20) SELECT x.a AS a, y.a AS b, count(*) AS common FROM e x JOIN e y ON x.p = y.p AND x.a < y.a GROUP BY 1, 2""")
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS p FROM lineitem) SELECT x.a AS a, y.a AS b, count(*) AS common FROM e x JOIN e y ON x.p = y.p AND x.a < y.a GROUP BY 1, 2""")
 def common_neighbours(spark, sf):
-    e = table(spark, sf, "lineitem").filter("l_suppkey <= 20").select(F.col("l_suppkey").alias("a"), "l_partkey").distinct()
+    e = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("a"), "l_partkey").distinct()
     return e.join(e.withColumnRenamed("a", "b"), "l_partkey").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
 
 
@@ -109,9 +113,9 @@ def dedup_by_key(spark, sf):
     return table(spark, sf, "documents").groupBy("source", k.alias("key")).agg(F.min("doc_id").alias("doc_id"))
 
 
-@query("(SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey <= 20) UNION ALL (SELECT n_nationkey FROM nation INTERSECT SELECT c_nationkey FROM customer WHERE c_custkey <= 10)")
+@query("(SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000) UNION ALL (SELECT n_nationkey FROM nation INTERSECT SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)")
 def set_operations(spark, sf):
     n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"))
-    s = table(spark, sf, "supplier").filter("s_suppkey <= 20").select("s_nationkey")
-    c = table(spark, sf, "customer").filter("c_custkey <= 10").select("c_nationkey")
+    s = table(spark, sf, "supplier").filter("s_acctbal > 5000").select("s_nationkey")
+    c = table(spark, sf, "customer").filter("c_acctbal > 9000").select("c_nationkey")
     return n.subtract(s).unionAll(n.intersect(c))

@@ -59,10 +59,10 @@ def continuity(spark, sf):
 
 def _edges(spark, sf):
     """Suppliers that deliver to the same order, with the number of orders: people named in the same story."""
-    return graphs.pairs_within(table(spark, sf, "lineitem").filter("l_suppkey <= 60"), "l_orderkey", "l_suppkey").filter("w >= 2")
+    return graphs.pairs_within(table(spark, sf, "lineitem"), "l_orderkey", "l_suppkey").filter("w >= 2")
 
 
-EDGES = """i AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS v FROM lineitem WHERE l_suppkey <= 60), e AS (SELECT x.v AS a, y.v AS b, count(*) AS w FROM i x JOIN i y ON x.k = y.k AND x.v < y.v GROUP BY 1, 2 HAVING count(*) >= 2),
+EDGES = """i AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS v FROM lineitem), e AS (SELECT x.v AS a, y.v AS b, count(*) AS w FROM i x JOIN i y ON x.k = y.k AND x.v < y.v GROUP BY 1, 2 HAVING count(*) >= 2),
 u AS (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e)"""
 
 
@@ -71,10 +71,10 @@ def comention_pairs(spark, sf):
     return _edges(spark, sf).orderBy(F.desc("w"), "a", "b").limit(20)
 
 
-@query("""WITH i AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS v, l_shipdate::DATE AS d FROM lineitem WHERE l_suppkey <= 60), e AS (SELECT x.v AS a, y.v AS b, count(DISTINCT x.k) AS w, count(DISTINCT x.d) AS days, min(x.d) AS since, max(x.d) AS last FROM i x JOIN i y ON x.k = y.k AND x.v < y.v GROUP BY 1, 2)
+@query("""WITH i AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS v, l_shipdate::DATE AS d FROM lineitem), e AS (SELECT x.v AS a, y.v AS b, count(DISTINCT x.k) AS w, count(DISTINCT x.d) AS days, min(x.d) AS since, max(x.d) AS last FROM i x JOIN i y ON x.k = y.k AND x.v < y.v GROUP BY 1, 2)
 SELECT *, CASE WHEN w >= 8 AND days >= 8 THEN 'high' WHEN w >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM e""")
 def edges_conf(spark, sf):
-    i = table(spark, sf, "lineitem").filter("l_suppkey <= 60").select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("a"), F.to_date("l_shipdate").alias("d")).distinct()
+    i = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("a"), F.to_date("l_shipdate").alias("d")).distinct()
     e = i.join(i.select("k", F.col("a").alias("b")), "k").filter("a < b").groupBy("a", "b").agg(F.countDistinct("k").alias("w"), F.countDistinct("d").alias("days"), F.min("d").alias("since"), F.max("d").alias("last"))
     return e.withColumn("confidence", F.when((F.col("w") >= 8) & (F.col("days") >= 8), "high").when(F.col("w") >= 3, "medium").otherwise("low"))
 
@@ -100,7 +100,7 @@ def ego2(spark, sf):
     return seed.unionByName(one.withColumn("r", F.lit(1))).unionByName(two.withColumn("r", F.lit(2))).groupBy("v").agg(F.min("r").alias("radius"))
 
 
-@query("""WITH i AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS v FROM lineitem WHERE l_suppkey <= 60), e AS (SELECT x.v AS a, y.v AS b, count(*) AS w FROM i x JOIN i y ON x.k = y.k AND x.v < y.v GROUP BY 1, 2 HAVING count(*) >= 12),
+@query("""WITH i AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS v FROM lineitem), e AS (SELECT x.v AS a, y.v AS b, count(*) AS w FROM i x JOIN i y ON x.k = y.k AND x.v < y.v GROUP BY 1, 2 HAVING count(*) >= 12),
 u AS (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e), p1 AS (SELECT [a, b] AS path, b AS tip, w FROM u WHERE a = 1), p2 AS (SELECT list_append(path, b) AS path, b AS tip, least(p1.w, u.w) AS w FROM p1 JOIN u ON u.a = p1.tip WHERE p1.tip <> 2 AND NOT list_contains(path, b)),
 p3 AS (SELECT list_append(path, b) AS path, b AS tip, least(p2.w, u.w) AS w FROM p2 JOIN u ON u.a = p2.tip WHERE p2.tip <> 2 AND NOT list_contains(path, b)) SELECT array_to_string(path, '>') AS path, len(path)::INTEGER - 1 AS steps, w AS weakest FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3) WHERE tip = 2""")
 def paths(spark, sf):
@@ -122,9 +122,7 @@ def top_neighbours(spark, sf):
 
 @query()
 def label_propagation(spark, sf):
-    """Labels over all suppliers: no SQL holds this query to the ids that the others read."""
-    e = graphs.pairs_within(table(spark, sf, "lineitem"), "l_orderkey", "l_suppkey").filter("w >= 2")
-    return graphs.propagate(e, 6)
+    return graphs.propagate(_edges(spark, sf), 6)
 
 
 @query("SELECT c_nationkey AS nation, c_mktsegment AS label, count(*) AS n FROM customer GROUP BY 1, 2 HAVING count(*) > 10")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.operators import windows
-from tidewire.operators.graphs import ready
+from tidewire.operators.graphs import shared_folder
 from tidewire.plans.registry import query
 from tidewire.session import table
 
@@ -77,7 +77,7 @@ def append_month(rows: DataFrame, path: str, key: str, time: str) -> None:
 @query("SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, count(DISTINCT o_orderkey) AS ids FROM orders GROUP BY 1")
 def month_archive(spark, sf):
     """The count index of an archive that got two overlapping halves of the rows."""
-    ready(spark)
+    shared_folder(spark)
     path = spark.sparkContext._jsc.sc().getCheckpointDir().get() + f"/archive-{uuid.uuid4().hex}"
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
     append_month(o.filter("o_orderkey % 3 < 2"), path, "o_orderkey", "o_orderdate")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import text
 from tidewire.plans.registry import query
-from tidewire.plans.texts import NORM
+from tidewire.plans.texts import NORM, NORM_ALL
 from tidewire.session import table
 
 #: order, label, weight and word of an editable topic dictionary.
@@ -47,9 +47,9 @@ def veto_filter(spark, sf):
     return table(spark, sf, "documents").filter(low.rlike("(^|[^a-z0-9])(the|que)([^a-z0-9]|$)") & (~F.col("text").rlike("[$#&]{3}|!!") | low.rlike("password|token"))).select("doc_id", "source")
 
 
-@query(f"SELECT doc_id FROM (SELECT doc_id, ' ' || {NORM} || ' ' AS x FROM documents) WHERE contains(x, ' the ') AND (contains(x, 'tion') OR contains(x, 'ment')) AND NOT contains(x, 'of the')")
+@query(f"SELECT doc_id FROM (SELECT doc_id, ' ' || {NORM_ALL} || ' ' AS x FROM documents) WHERE contains(x, ' the ') AND (contains(x, 'tion') OR contains(x, 'ment')) AND NOT contains(x, 'of the')")
 def bool_query(spark, sf):
-    return table(spark, sf, "documents").filter(text.boolean_query(text.title(F.col("text")), 'the tion|ment -"of the"')).select("doc_id")
+    return table(spark, sf, "documents").filter(text.boolean_query(F.col("text"), 'the tion|ment -"of the"')).select("doc_id")
 
 
 @query("""WITH p AS (SELECT d.doc_id, quality, CASE WHEN regexp_matches(text, '[$#&]{3}|!!| \\| ') THEN 0 ELSE 1 END AS guess FROM documents d JOIN labels USING (doc_id))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import text
 from tidewire.plans.registry import query
-from tidewire.plans.texts import NORM
+from tidewire.plans.texts import NORM_ALL
 from tidewire.session import table
 
 
@@ -26,11 +26,11 @@ def score(x: Column, words: list[str]) -> tuple[Column, Column]:
 def search(docs: DataFrame, question: str) -> DataFrame:
     """Documents that hold two thirds of the question's words, with their score."""
     words = re.findall("[a-z0-9]+", question.lower())
-    hits, points = score(text.norm(text.title(F.col("text"))), words)
+    hits, points = score(text.norm(F.col("text")), words)
     return docs.select("doc_id", "source", hits.alias("hits"), points.alias("score")).filter(F.col("hits") * 100 >= 67 * len(words))
 
 
-FOUND = f"""WITH x AS (SELECT doc_id, source, ' ' || {NORM} || ' ' AS x FROM documents), h AS (SELECT doc_id, source, x, (contains(x, ' the'))::INT + (contains(x, ' and'))::INT + (contains(x, ' of'))::INT AS hits FROM x),
+FOUND = f"""WITH x AS (SELECT doc_id, source, ' ' || {NORM_ALL} || ' ' AS x FROM documents), h AS (SELECT doc_id, source, x, (contains(x, ' the'))::INT + (contains(x, ' and'))::INT + (contains(x, ' of'))::INT AS hits FROM x),
 f AS (SELECT doc_id, source, hits, hits * 10 + CASE WHEN contains(x, ' the and of ') THEN 15 ELSE 0 END AS score FROM h WHERE hits * 100 >= 201)"""
 
 

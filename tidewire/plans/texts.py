@@ -8,6 +8,8 @@ from tidewire.session import table
 
 FOLD = f"translate(lower(substr(text, 1, 120)), '{text.ACCENTED}', '{text.PLAIN}')"
 NORM = f"trim(regexp_replace({FOLD}, '[^a-z0-9]+', ' ', 'g'))"
+#: The same of whole texts.
+NORM_ALL = NORM.replace("substr(text, 1, 120)", "text")
 STOPS = ", ".join(f"'{w}'" for w in text.STOP)
 
 
