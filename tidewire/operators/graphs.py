@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,17 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name under the shared folder, deleted when the driver's JVM ends (after spark.stop(), too)."""
+    sc = spark.sparkContext
+    root = f"{shared_folder(spark).rstrip('/')}/tidewire-{uuid.uuid4().hex}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return f"{root}/{name}"
+
+
 def components(edges: DataFrame) -> DataFrame:
     """v and root, the least vertex reachable, by propagating minima; lineage is cut by a reliable checkpoint each round."""
     shared_folder(edges.sparkSession)

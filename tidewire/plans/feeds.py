@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidewire.operators import poll_values
-from tidewire.operators.graphs import shared_folder
+from tidewire.operators.graphs import work_folder
 from tidewire.plans.registry import query
 from tidewire.session import table
 from tidewire.sources import feeds, sinks
@@ -62,7 +60,7 @@ def page_nodes(spark, sf):
 @query("SELECT 'there' AS source, n_nationkey AS key, n_name AS name FROM nation UNION ALL SELECT 'missing', 0, 'none' UNION ALL SELECT 'broken', 0, 'none'")
 def json_default(spark, sf):
     """A JSON file read with a default: there, missing, and broken."""
-    base = f"{shared_folder(spark)}/json-{uuid.uuid4().hex}"
+    base = work_folder(spark, "json")
     sinks.to_json(table(spark, sf, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")).coalesce(1), f"{base}/there")
     spark.range(1).select(F.lit("[{oh no").alias("value")).write.text(f"{base}/broken")
     schema, out = "key int, name string", None
@@ -80,7 +78,7 @@ def json_default(spark, sf):
  UNION ALL SELECT 3, 'kept', (SELECT count(*) FROM supplier) UNION ALL SELECT 4, 'written', (SELECT count(*) + 1 FROM supplier)""")
 def safe_publish(spark, sf):
     """A result published four times: new; the same but for its time; smaller, which is refused; larger."""
-    path = f"{shared_folder(spark)}/publish-{uuid.uuid4().hex}"
+    path = work_folder(spark, "publish")
     s = table(spark, sf, "supplier").select("s_suppkey", "s_name")
     extra = s.unionByName(spark.createDataFrame([(-1, "new")], "s_suppkey long, s_name string"))
     rows = []
@@ -94,7 +92,7 @@ def safe_publish(spark, sf):
 def csv_round_trip(spark, sf):
     """Texts exported as CSV and read again: line breaks, quotes and commas stay."""
     d = table(spark, sf, "documents").select("doc_id", "lang", "text")
-    sinks.to_csv(d, path := f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}")
+    sinks.to_csv(d, path := work_folder(spark, "csv"))
     return sinks.from_csv(spark, path, d.schema)
 
 

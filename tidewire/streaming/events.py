@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.operators.graphs import shared_folder
+from tidewire.operators.graphs import work_folder
 
 
 def read(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
@@ -30,7 +29,7 @@ def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Runs a stream over all that is there and returns its result table: complete and append results from a memory-free Parquet sink
     in the shared folder."""
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = work_folder(spark, "stream")
     out = f"{base}/out"
 
     def write(df: DataFrame, batch: int) -> None:
@@ -56,7 +55,7 @@ def arrivals(df: DataFrame, time: str = "ts", slices: int = 4) -> list[DataFrame
 def replay(spark: SparkSession, parts: list[DataFrame], build, time: str = "ts") -> DataFrame:
     """What a stream in append mode gives as the parts arrive one after the other: each is added to its source folder and the query,
     build(stream), is run on from its checkpoint until nothing is left, as after a restart."""
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = work_folder(spark, "stream")
     schema, stream = parts[0].schema, None
     for part in parts:
         part.write.mode("append").parquet(f"{base}/in")
