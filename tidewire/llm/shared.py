@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
 import tempfile
@@ -54,16 +53,28 @@ def remove(spark: SparkSession, name: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name in the shared folder; it is deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/tidewire-{uuid.uuid4().hex}-{name}"
+_roots: dict[str, str] = {}
+
 
-    def drop() -> None:
-        if spark.sparkContext._jsc is not None:
-            remove(spark, path)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name in the application's own folder of the shared folder.
 
-    atexit.register(drop)
-    return path
+    That folder is deleted when the driver's JVM ends, be the session stopped by then or not; free() deletes it before.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _roots:
+        _roots[app] = f"{shared_dir(spark)}/tidewire-{uuid.uuid4().hex}"
+        path = _path(spark, _roots[app])
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return f"{_roots[app]}/{uuid.uuid4().hex}-{name}"
+
+
+def free(spark: SparkSession) -> None:
+    """Deletes all that the application has written to the shared folder so far: for drivers that live long, once results are written."""
+    if root := _roots.pop(spark.sparkContext.applicationId, None):
+        remove(spark, root)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
