@@ -89,3 +89,27 @@ def simplified(line: Column, tolerance: float) -> Column:
         return pd.Series([one(x) for x in lines])
 
     return run(line)
+
+
+def label_point(ring: Column) -> Column:
+    """The middle of the longest horizontal stretch inside a ring at half its height; null for rings of fewer than three corners.
+
+    The line crosses the border an even number of times, and each second gap between crossings lies inside, so the point does too,
+    which a centre of gravity need not.
+    """
+    y = (F.array_min(F.transform(ring, lambda p: p["y"])) + F.array_max(F.transform(ring, lambda p: p["y"]))) / 2
+
+    def crossings(level: Column) -> Column:
+        def at(p: Column, i: Column) -> Column:
+            q = F.get(ring, (i + 1) % F.size(ring))
+            hit = (p["y"] > level) != (q["y"] > level)
+            return F.when(hit, (q["x"] - p["x"]) * (level - p["y"]) / F.when(hit, q["y"] - p["y"]) + p["x"])
+
+        return F.array_sort(F.array_compact(F.transform(ring, at)))
+
+    def middle(x: Column) -> Column:
+        gaps = F.filter(F.transform(x, lambda v, i: F.struct((F.get(x, i + 1) - v).alias("n"), ((v + F.get(x, i + 1)) / 2).alias("x"), i.alias("i"))), lambda g: (g["i"] % 2 == 0) & g["n"].isNotNull())
+        return F.array_max(gaps)["x"]
+
+    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    return once(y, lambda level: once(crossings(level), lambda x: F.when(F.size(x) > 1, F.struct(middle(x).alias("x"), level.alias("y")))))

@@ -6,7 +6,7 @@ import importlib
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
-MODULES = ("aggregates", "texts", "series", "rules", "joins", "consensus", "networks", "searches", "streams", "extraction", "records", "measures", "boards", "choices", "feeds", "notes")
+MODULES = ("aggregates", "texts", "series", "rules", "joins", "consensus", "networks", "searches", "streams", "extraction", "records", "measures", "boards", "choices", "feeds", "notes", "assembly")
 
 
 def query(sql: str | None = None):
