@@ -70,3 +70,71 @@ def test_label_propagation_reads_all_suppliers(spark, tmp_path):
     rows = [(o, s) for o, pair in enumerate([(1, 2), (1, 2), (70, 90), (70, 90), (59, 61), (59, 61)]) for s in pair]
     spark.createDataFrame(rows, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert {r.v for r in networks.label_propagation(spark, str(tmp_path)).collect()} == {1, 2, 70, 90, 59, 61}
+
+
+def test_label_propagation_equals_the_walk(spark):
+    """All vertices at once, by weight, ties to the least label."""
+    import random
+
+    r = random.Random(3)
+    edges = [(a, b, r.randrange(1, 6)) for a in range(14) for b in range(a + 1, 14) if r.random() < 0.25]
+    near: dict = {}
+    for a, b, w in edges:
+        near.setdefault(a, []).append((b, w))
+        near.setdefault(b, []).append((a, w))
+    label = {v: v for v in near}
+    for _ in range(5):
+        new = {}
+        for v, around in near.items():
+            votes: dict = {}
+            for b, w in around:
+                votes[label[b]] = votes.get(label[b], 0) + w
+            new[v] = min(votes, key=lambda x: (-votes[x], x))
+        label = new
+    got = graphs.propagate(spark.createDataFrame(edges, "a long, b long, w long"), 5).collect()
+    assert {x.v: x.label for x in got} == label
+
+
+def test_components_of_large_ids(spark):
+    e = spark.createDataFrame([(2**62, 2**62 + 1), (2**62 + 1, 2**62 + 5), (-(2**62), 7)], "a long, b long")
+    assert {r.v: r.root for r in graphs.components(e).collect()} == {2**62: 2**62, 2**62 + 1: 2**62, 2**62 + 5: 2**62, -(2**62): -(2**62), 7: -(2**62)}
+
+
+def test_numbered_rows(spark):
+    """Ties keep the order's other columns; an empty table and one of a single row are fine."""
+    rows = [(i, (i * 7919) % 50) for i in range(500)]
+    df = spark.createDataFrame(rows, "i long, x long")
+    want = {i: k + 1 for k, (x, i) in enumerate(sorted((x, i) for i, x in rows))}
+    assert {r.i: r.row for r in windows.numbered(df, [F.col("x"), F.col("i")]).collect()} == want
+    assert windows.numbered(df.limit(0), [F.col("x")]).count() == 0
+    assert [r.row for r in windows.numbered(df.filter("i = 3"), [F.desc("x")]).collect()] == [1]
+
+
+def test_thresholds(spark):
+    df = spark.createDataFrame([(5.0,), (50.0,)], "m double")
+    got = df.select(figures.threshold(F.col("m")).alias("a"), figures.threshold(F.col("m"), True).alias("b")).collect()
+    assert [(round(r.a, 6), round(r.b, 6)) for r in got] == [(0.4, 1.0), (4.0, 4.0)]
+
+
+def test_leader_clusters_equal_the_walk(spark, tmp_path):
+    """Headlines in id order join the first leader that shares three words and 0.3 of the union, else they lead."""
+    import random
+
+    from tidewire.plans import extraction
+
+    r = random.Random(5)
+    pool = [f"word{c}{d}" for c in "abcd" for d in "efgh"]
+    rows = [(i, " ".join(r.sample(pool, r.randrange(2, 7))), f"s{i % 2}") for i in range(160)] + [(700, "worde wordf", "s0"), (701, "", "s0")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want, leaders = {}, {}
+    import re
+
+    for i, t, s in sorted(rows):
+        words = set(re.findall("[a-z]{4,}", t))
+        own = leaders.setdefault((s, i // 500), [])
+        hit = next((k for k, w in own if len(w & words) >= 3 and len(w & words) >= 0.3 * len(w | words)), None)
+        if hit is None:
+            own.append((i, words))
+            hit = i
+        want[i] = hit
+    assert {x.doc_id: x.leader for x in extraction.leader_clusters(spark, str(tmp_path)).collect()} == want

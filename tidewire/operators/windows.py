@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.operators.graphs import shared_folder
+
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rn") -> DataFrame:
     """The first k rows of each group; Spark keeps k a task before the shuffle (window group limit)."""
@@ -16,10 +18,21 @@ def latest(df: DataFrame, by: list[str], order: list[str], values: list[str]) ->
     return df.groupBy(*by).agg(F.max(F.struct(*order, *values)).alias("_l")).select(*by, *(F.col(f"_l.{c}").alias(c) for c in order + values))
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "row") -> DataFrame:
+    """The rows with their number (from 1) in one order of all: rows are dealt out by ranges of the order, numbered within each range,
+    and each range is moved by what stands before it. The ranges are written once, so that numbers stay when a task is repeated."""
+    shared_folder(df.sparkSession)
+    parts = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).checkpoint()
+    counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return parts.withColumn("_own", own).join(before, "_p").withColumn(name, F.col("_before") + F.col("_own")).drop("_p", "_own", "_before")
+
+
 def quantile_class(df: DataFrame, order: list[Column], k: int, name: str = "class") -> DataFrame:
     """floor((row - 1) * k / n) over one order of all rows."""
-    w = Window.partitionBy()
-    return df.withColumn("_r", F.row_number().over(Window.orderBy(*order))).withColumn(name, F.floor((F.col("_r") - 1) * k / F.count(F.lit(1)).over(w)).cast("int")).drop("_r")
+    n = F.lit(df.count())
+    return numbered(df, order, "_r").withColumn(name, F.floor((F.col("_r") - 1) * k / n).cast("int")).drop("_r")
 
 
 def streaks(df: DataFrame, by: list[str], order: list[str], bad: Column) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import geometry, text
 from tidewire.operators import graphs, poll_values
-from tidewire.plans.choices import SIDES, _areas
+from tidewire.plans.choices import AREAS, SIDES, _areas
 from tidewire.plans.notes import json_leaves
 from tidewire.plans.registry import query
 from tidewire.plans.texts import NORM_ALL
@@ -349,3 +349,15 @@ r AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY x) AS k FROM c), p
 def label_points(spark, sf):
     """A point for each area's label: the middle of the longest stretch of the area at half its height, so never outside."""
     return _areas(spark).select("area", geometry.label_point(F.col("ring")).alias("p")).select("area", F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"))
+
+
+@query(f"""WITH s(area, ax, ay, bx, b_y) AS (VALUES {SIDES}), p AS (SELECT c_custkey AS id, (c_custkey * 37 % 1000) / 100.0::DOUBLE AS x, (c_custkey * 91 % 1000) / 100.0::DOUBLE AS y FROM customer),
+t AS (SELECT id, area, x, y, ax::DOUBLE AS ax, ay::DOUBLE AS ay, (bx - ax)::DOUBLE AS dx, (b_y - ay)::DOUBLE AS dy, least(1, greatest(0, ((x - ax) * (bx - ax) + (y - ay) * (b_y - ay)) / ((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay))))::DOUBLE AS t FROM p, s)
+SELECT id, area, round(min(sqrt((x - ax - t * dx) ** 2 + (y - ay - t * dy) ** 2)), 6) AS distance FROM t GROUP BY id, area""")
+def border_distances(spark, sf):
+    """How far each point is from each area's border."""
+    k = F.col("c_custkey")
+    p = table(spark, sf, "customer").select(k.alias("id"), (k * 37 % 1000 / 100.0).alias("x"), (k * 91 % 1000 / 100.0).alias("y"))
+    rings = F.array(*(F.struct(F.lit(n).alias("area"), F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in r)).alias("ring")) for n, r in AREAS.items()))
+    far = F.transform(rings, lambda a: F.struct(a["area"].alias("area"), F.round(geometry.border_distance(a["ring"], F.col("x"), F.col("y")), 6).alias("distance")))
+    return p.select("id", F.explode(far).alias("f")).select("id", "f.*")

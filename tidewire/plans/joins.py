@@ -29,13 +29,14 @@ def unique_alias(spark, sf):
     return a.groupBy("alias").agg(F.countDistinct("p_partkey").alias("n"), F.min("p_partkey").alias("p_partkey")).filter("n = 1").drop("n")
 
 
-@query("""WITH a AS (SELECT c_nationkey AS k, count(*) AS customers FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier GROUP BY 1)
-SELECT coalesce(a.k, b.k) AS nation, customers, suppliers, CASE WHEN a.k IS NULL THEN 'insert' WHEN b.k IS NULL THEN 'expire' WHEN customers = suppliers THEN 'keep' ELSE 'update' END AS action FROM a FULL JOIN b ON a.k = b.k""")
+@query("""WITH a AS (SELECT c_custkey AS id, CASE WHEN c_acctbal < 5000 THEN 'small' ELSE 'large' END AS was FROM customer WHERE c_mktsegment <> 'BUILDING'), b AS (SELECT o_custkey AS id, CASE WHEN sum(o_totalprice::DECIMAL(18,2)) < 1000000 THEN 'small' ELSE 'large' END AS now FROM orders GROUP BY 1)
+SELECT coalesce(a.id, b.id) AS id, was, now, coalesce(now, was) AS kept, CASE WHEN a.id IS NULL THEN 'insert' WHEN b.id IS NULL THEN 'expire' WHEN was = now THEN 'keep' ELSE 'update' END AS action FROM a FULL JOIN b ON a.id = b.id""")
 def roster_merge(spark, sf):
-    a = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("customers"))
-    b = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("suppliers"))
-    action = F.when(F.col("customers").isNull(), "insert").when(F.col("suppliers").isNull(), "expire").when(F.col("customers") == F.col("suppliers"), "keep").otherwise("update")
-    return a.join(b, "nation", "full").withColumn("action", action)
+    """An old roster and what a source says now, person by person: who is new, gone, changed or the same."""
+    a = table(spark, sf, "customer").filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") < 5000, "small").otherwise("large").alias("was"), F.lit(True).alias("old"))
+    b = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.when(F.sum(F.col("o_totalprice").cast("decimal(18,2)")) < 1000000, "small").otherwise("large").alias("now"))
+    action = F.when(F.col("old").isNull(), "insert").when(F.col("now").isNull(), "expire").when(F.col("was") == F.col("now"), "keep").otherwise("update")
+    return a.join(b, "id", "full").select("id", "was", "now", F.coalesce("now", "was").alias("kept"), action.alias("action"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")

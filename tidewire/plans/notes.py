@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.functions import text
+from tidewire.functions import dates, text
 from tidewire.plans.registry import query
 from tidewire.plans.texts import FOLD, NORM
 from tidewire.session import table
@@ -135,6 +135,27 @@ def strict_numbers(spark, sf):
     return table(spark, sf, "events").select("event_id", strict_int(s).alias("whole"), strict_float(s).alias("number"))
 
 
+@query(f"""SELECT doc_id, array_to_string(list_filter(k, lambda x, i: list_position(k, x) = i)[1:6], ' ') AS keywords FROM (SELECT doc_id, regexp_extract_all({FOLD}, '[a-z0-9]{{3,}}') AS k FROM documents)""")
+def keyword_lists(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.array_join(text.keywords(text.title(F.col("text"))), " ").alias("keywords"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderdate - INTERVAL 3 HOURS WHEN 1 THEN o_orderdate WHEN 2 THEN o_orderdate + INTERVAL 3 HOURS END AS published FROM orders")
+def published_times(spark, sf):
+    """Times written as in mails or in ISO form, in UTC; what is neither is none."""
+    d, k = F.col("o_orderdate"), F.col("o_orderkey")
+    said = F.when(k % 4 == 0, F.concat(F.date_format(d, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0300"))).when(k % 4 == 1, F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss")).when(k % 4 == 2, F.concat(F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("-03:00"))).otherwise("soon")
+    return table(spark, sf, "orders").select("o_orderkey", dates.published(said).cast("timestamp_ntz").alias("published"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderdate::DATE WHEN 1 THEN make_date(year(o_orderdate), month(o_orderdate), 15) WHEN 2 THEN make_date(year(o_orderdate), 7, 1) END AS day FROM orders")
+def mixed_dates(spark, sf):
+    """Dates told by day, month or year as one day."""
+    d, k = F.col("o_orderdate"), F.col("o_orderkey")
+    said = F.when(k % 4 == 0, F.date_format(d, "yyyy-MM-dd")).when(k % 4 == 1, F.date_format(d, "yyyy-MM")).when(k % 4 == 2, F.date_format(d, "yyyy")).otherwise("n/a")
+    return table(spark, sf, "orders").select("o_orderkey", dates.mid_period(said).alias("day"))
+
+
 def json_leaves(rows: DataFrame, id_col: str, json_col: str, deepest: int = 16) -> DataFrame:
     """id, path and value of every leaf of a JSON value, level by level: a level opens the objects and arrays that the one above left.
 

@@ -40,9 +40,11 @@ def quotes(spark, sf):
     return table(spark, sf, "documents").filter(F.col("text").rlike(p)).select("doc_id", F.regexp_extract("text", p, 1).alias("quote"))
 
 
-@query("SELECT doc_id, array_to_string(regexp_extract_all(text, '[0-9]+')[1:3], ',') AS numbers FROM documents")
+@query("""SELECT doc_id, array_to_string(list_filter(n, lambda x, i: list_position(n, x) = i)[1:3], ',') AS numbers FROM (SELECT doc_id, list_transform(regexp_extract_all(lower(text), '[0-9]+(?:[.,][0-9]+)? ?(?:%|[a-z]+)?'), lambda x: trim(x)) AS n FROM documents)""")
 def numbers(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.array_join(F.slice(F.regexp_extract_all("text", F.lit("([0-9]+)"), F.lit(1)), 1, 3), ",").alias("numbers"))
+    """The first three distinct numbers of a text, each with its unit."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit("([0-9]+(?:[.,][0-9]+)? ?(?:%|[a-z]+)?)"), F.lit(1))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.slice(F.array_distinct(F.transform(found, lambda x: F.trim(x))), 1, 3), ",").alias("numbers"))
 
 
 @query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'gs'),
