@@ -66,7 +66,7 @@ def propagate(edges: DataFrame, rounds: int = 14) -> DataFrame:
     """Label propagation by weight: each vertex takes the label of the largest weight around it, ties to the least; all vertices at
     once, so results don't hang on an order of visits. Returns v and label."""
     shared_folder(edges.sparkSession)
-    both = undirected(edges)
+    both = undirected(edges).checkpoint()  # read again in every round
     label = both.select(F.col("a").alias("v")).distinct().withColumn("label", F.col("v"))
     for _ in range(rounds):
         votes = both.join(label, F.col("b") == F.col("v")).groupBy("a", "label").agg(F.sum("w").alias("w"))
