@@ -116,3 +116,17 @@ def test_longest_entities_link_every_name(spark, tmp_path):
             i += name.count(" ") + 1 if name else 1
     assert (1, "ka299 lo5") in want
     assert sorted(map(tuple, extraction.longest_entities(spark, str(tmp_path)).collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("items", [["solo", "two words", "three of them", "four of them here", "", None, "Solo!"], ["three of them"], []])
+def test_dict_join_finds_phrases_of_any_length(spark, tmp_path, items):
+    from tidewire.plans import joins
+
+    texts = ["solo", "a solo; two\nwords", "x" * 500 + " Three of them HERE four of them here", "", None, "two", "of them here", "two words two words"]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    import re
+
+    norm = lambda t: f" {' '.join(re.findall('[a-z0-9]+', (t or '').lower()))} "
+    want = [(i, d) for i, p in enumerate(items) if norm(p).strip() for d, t in enumerate(texts) if t is not None and norm(p) in norm(t)]
+    assert sorted(map(tuple, joins.dict_join(spark, str(tmp_path)).collect())) == want

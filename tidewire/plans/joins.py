@@ -13,11 +13,18 @@ from tidewire.session import table
 def dict_join(spark, sf):
     """Phrases of a dictionary and the documents that hold them, anywhere and in all their words: the first three words of a phrase
     (or as many as it has) find candidates by equality, and these alone are compared whole."""
-    w = F.col("w")
-    near = F.array_distinct(F.transform(F.arrays_zip(w.alias("a"), F.slice(w, F.lit(2), F.size(w)).alias("b"), F.slice(w, F.lit(3), F.size(w)).alias("c")), lambda x: F.concat_ws(" ", x["a"], x["b"], x["c"])))
-    b = table(spark, sf, "benchmark").select("item_id", text.norm(F.col("text")).alias("phrase")).filter("phrase <> ''").withColumn("n", F.size(F.split("phrase", " "))).withColumn("gram", F.array_join(F.slice(F.split("phrase", " "), 1, 3), " "))
-    d = table(spark, sf, "documents").select("doc_id", text.norm(F.col("text")).alias("x"))
-    grams = d.select("doc_id", F.split("x", " ").alias("w")).select("doc_id", F.explode(F.when(F.size("w") > 2, F.array_distinct(F.concat(near, w, F.transform(F.arrays_zip(w.alias("a"), F.slice(w, F.lit(2), F.size(w)).alias("b")), lambda x: F.concat_ws(" ", x["a"], x["b"]))))).otherwise(F.array_distinct(F.concat(near, w)))).alias("gram"))
+    b = table(spark, sf, "benchmark").select("item_id", text.norm(F.col("text")).alias("phrase")).filter("phrase <> ''").withColumn("n", F.least(F.size(F.split("phrase", " ")), F.lit(3))).withColumn("gram", F.array_join(F.slice(F.split("phrase", " "), 1, 3), " "))
+    d = table(spark, sf, "documents").select("doc_id", F.explode(F.array(text.norm(F.col("text")))).alias("x"))
+    after = lambda k: F.slice("w", F.lit(k + 1), F.size("w") - k).alias(f"w{k}")
+    # only as many words as the dictionary's phrases begin with: three, but for shorter ones
+    kinds = {
+        1: F.col("w"),
+        2: F.transform(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("w0"), after(1)), lambda x: F.concat_ws(" ", x["w0"], x["w1"])),
+        3: F.transform(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 2).alias("w0"), F.slice("w", F.lit(2), F.size("w") - 2).alias("w1"), after(2)), lambda x: F.concat_ws(" ", x["w0"], x["w1"], x["w2"])),
+    }
+    used = sorted(r.n for r in b.select("n").distinct().collect())  # three rows at most
+    some = [F.when(F.size("w") >= n, kinds[n]).otherwise(F.array().cast("array<string>")) for n in used] or [F.array().cast("array<string>")]
+    grams = d.select("doc_id", F.split("x", " ").alias("w")).select("doc_id", F.explode(F.array_distinct(F.concat(*some))).alias("gram"))
     met = grams.join(b.select("item_id", "phrase", "gram"), "gram").select("item_id", "phrase", "doc_id").distinct()
     padded = F.concat(F.lit(" "), "x", F.lit(" "))
     return met.join(d, "doc_id").filter(padded.contains(F.concat(F.lit(" "), "phrase", F.lit(" ")))).select("item_id", "doc_id")
