@@ -1,11 +1,14 @@
 """Operators on small frames written by hand, and properties."""
 
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewire.functions import dates, text
 from tidewire.operators import figures, graphs, windows
+from tidewire.plans import networks, registry
 
 
 def test_fold_and_keys(spark):
@@ -138,3 +141,30 @@ def test_leader_clusters_equal_the_walk(spark, tmp_path):
             hit = i
         want[i] = hit
     assert {x.doc_id: x.leader for x in extraction.leader_clusters(spark, str(tmp_path)).collect()} == want
+
+
+def test_overlapping_equals_all_pairs(spark):
+    """Pairs of one day or of two days running that share three words and 0.55 of the smaller set, whichever side is the smaller."""
+    rng = random.Random(5)
+    sets = {i: sorted(rng.sample([f"word{c}" for c in "abcdefghijklmnop"], rng.randint(0, 12))) for i in range(60)}
+    d = spark.createDataFrame([(i, i // 20, t, len(t)) for i, t in sets.items()] + [(60, 2, None, None)], "doc_id long, day long, t array<string>, size int")
+    for gap in (0, 1):
+        want = set()
+        for a, x in sets.items():
+            for b, y in sets.items():
+                n = len(set(x) & set(y))
+                if a < b and b // 20 - a // 20 == gap and n >= 3 and n * 100 >= 55 * min(len(x), len(y)):
+                    want.add((b // 20, a, b, n))
+        got = [tuple(r) for r in networks.overlapping(d, gap).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_headline_queries_read_whole_texts(spark, tmp_path):
+    """Words that stand far behind the beginning of a text count like those before."""
+    filler = " ".join(f"filler{c}" for c in "abcdefghijklmnopqrstuvwxyz" * 3)
+    spark.createDataFrame([(1, f"{filler} economía", "s", "en"), (2, f"{filler} economia", "s", "en")], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    q = registry.queries()
+    assert [r.df for r in q["trending_terms"](spark, str(tmp_path)).collect() if r.term == "economia"] == [2]
+    assert len({r.key for r in q["title_key"](spark, str(tmp_path)).collect()}) == 1
+    assert {r.stem for r in q["stems"](spark, str(tmp_path)).collect()} >= {"econom"}
+    assert [(r.a, r.b) for r in q["near_dup_pairs"](spark, str(tmp_path)).collect()] == [(1, 2)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Accented letters of the supported languages and their base letters.
@@ -31,6 +31,12 @@ def tokens(x: Column, least: int = 4, stop: tuple[str, ...] = STOP) -> Column:
     return F.filter(F.array_distinct(F.regexp_extract_all(fold(x), F.lit(f"([a-z]{{{least},}})"), F.lit(1))), lambda w: ~w.isin(*stop))
 
 
+def each(df: DataFrame, array: Column, name: str, *rest: str) -> DataFrame:
+    """A row for each item that is not null, beside the columns in `rest`. A plain explode makes the optimizer filter on the array
+    first, which then is computed twice more for every row."""
+    return df.select(*rest, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def stems(toks: Column) -> Column:
     """Words of seven letters or more cut to six."""
     return F.transform(toks, lambda w: F.when(F.length(w) >= 7, F.substring(w, 1, 6)).otherwise(w))
@@ -41,11 +47,6 @@ def keywords(x: Column, most: int = 6) -> Column:
     return F.slice(F.array_distinct(F.regexp_extract_all(fold(x), F.lit("([a-z0-9]{3,})"), F.lit(1))), 1, most)
 
 
-def title(x: Column, size: int = 120) -> Column:
-    """The first characters of a text, as its headline."""
-    return F.substring(x, 1, size)
-
-
 def title_key(x: Column) -> Column:
     """A headline without a trailing ' - Source', folded to words: equal for the same headline of two outlets."""
     return norm(F.regexp_replace(x, r" - [^-]*$", ""))

@@ -10,7 +10,7 @@ from tidewire.operators import graphs, poll_values
 from tidewire.plans.choices import AREAS, SIDES, _areas
 from tidewire.plans.notes import json_leaves
 from tidewire.plans.registry import query
-from tidewire.plans.texts import NORM_ALL
+from tidewire.plans.texts import NORM
 from tidewire.session import table
 
 TRADE = """t AS (SELECT DISTINCT s_nationkey AS a, c_nationkey AS b, o_orderkey AS k, o_orderdate AS d FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey),
@@ -71,8 +71,8 @@ def unknown_names(spark, sf):
     return c.join(known, "name", "left_anti").groupBy("name").agg(F.countDistinct("p_partkey").alias("notes"))
 
 
-@query(f"""WITH n AS (SELECT DISTINCT array_to_string(string_split({NORM_ALL}, ' ')[1:2], ' ') AS name FROM benchmark WHERE len(string_split({NORM_ALL}, ' ')) > 1), l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS line, unnest(x) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
-h AS (SELECT doc_id, line, {NORM_ALL} AS x FROM l), m AS (SELECT doc_id, name, line, substr(x, greatest(1, instr(' ' || x || ' ', ' ' || name || ' ') - 20), 60) AS context FROM h JOIN n ON contains(' ' || x || ' ', ' ' || name || ' ')),
+@query(f"""WITH n AS (SELECT DISTINCT array_to_string(string_split({NORM}, ' ')[1:2], ' ') AS name FROM benchmark WHERE len(string_split({NORM}, ' ')) > 1), l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS line, unnest(x) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+h AS (SELECT doc_id, line, {NORM} AS x FROM l), m AS (SELECT doc_id, name, line, substr(x, greatest(1, instr(' ' || x || ' ', ' ' || name || ' ') - 20), 60) AS context FROM h JOIN n ON contains(' ' || x || ' ', ' ' || name || ' ')),
 f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY line) AS r FROM m), g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line, name) AS k FROM f WHERE r = 1) SELECT doc_id, name, line::INTEGER AS line, context FROM g WHERE k <= 40""")
 def page_contexts(spark, sf):
     """The first line of a document that names each known person, with what stands around; at most forty persons a document."""

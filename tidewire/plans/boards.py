@@ -23,7 +23,7 @@ def editions(spark, sf):
 SELECT doc_id, count(*) AS n FROM w WHERE w <> '' AND w NOT IN (FROM c) GROUP BY doc_id""")
 def rare_signature(spark, sf):
     """The words of each headline that are not too common to tell stories apart: counted first, so common words never meet a join."""
-    w = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.split(text.norm(text.title(F.col("text"))), " "))).alias("w")).filter("w <> ''")
+    w = text.each(table(spark, sf, "documents"), F.array_distinct(F.split(text.norm(F.col("text")), " ")), "w", "doc_id").filter("w <> ''")
     rare = w.groupBy("w").agg(F.count("*").alias("df")).filter("df <= 12")
     return w.join(rare, "w").groupBy("doc_id").agg(F.count("*").alias("n"))
 
@@ -103,7 +103,7 @@ def incoherent(spark, sf):
 SELECT lang, w, n, outlets FROM c WHERE n >= 4 AND outlets >= 3 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) <= 10""")
 def words_of_day(spark, sf):
     """The ten most used words of each scope that three outlets use."""
-    w = table(spark, sf, "documents").select("source", "lang", F.explode(F.array_distinct(F.split(text.norm(text.title(F.col("text"))), " "))).alias("w")).filter(F.length("w") >= 4)
+    w = text.each(table(spark, sf, "documents"), F.array_distinct(F.split(text.norm(F.col("text")), " ")), "w", "source", "lang").filter(F.length("w") >= 4)
     # summed by outlet first: one partial sum per word and outlet is shuffled, and no set of outlets is collected
     c = w.groupBy("lang", "w", "source").agg(F.count("*").alias("n")).groupBy("lang", "w").agg(F.sum("n").alias("n"), F.count("source").alias("outlets")).filter("n >= 4 AND outlets >= 3")
     return windows.top_k(c, ["lang"], [F.desc("n"), F.col("w")], 10).select("lang", "w", "n", "outlets")

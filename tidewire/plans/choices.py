@@ -22,7 +22,7 @@ def quota_selection(spark, sf):
 @query()
 def diverse_edition(spark, sf):
     """Ten headlines of each scope, each unlike those before."""
-    d = table(spark, sf, "documents").select("doc_id", "lang", F.length("text").alias("n"), text.tokens(text.title(F.col("text"))).alias("w"))
+    d = table(spark, sf, "documents").select("doc_id", "lang", F.length("text").alias("n"), text.tokens(F.col("text")).alias("w"))
     return selection.diverse(d, "lang", [F.desc("n"), F.col("doc_id")], "doc_id", "w", 10)
 
 

@@ -65,7 +65,7 @@ def longest_entities(spark, sf):
 @query()
 def leader_clusters(spark, sf):
     """Online clustering in id order per source: a headline joins the first leader of Jaccard 0.3 with three shared words, else leads."""
-    d = table(spark, sf, "documents").select("doc_id", "source", F.floor(F.col("doc_id") / 500).cast("long").alias("day"), text.tokens(text.title(F.col("text"))).alias("t"))
+    d = table(spark, sf, "documents").select("doc_id", "source", F.floor(F.col("doc_id") / 500).cast("long").alias("day"), text.tokens(F.col("text")).alias("t"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         leaders, out = [], []
@@ -83,5 +83,5 @@ def leader_clusters(spark, sf):
 
 @query(f"SELECT doc_id, list_reduce(list_transform(list_filter(string_split({NORM}, ' '), lambda w: w <> ''), lambda w: length(w)), lambda a, b: greatest(a, b))::INTEGER AS longest FROM documents WHERE len(list_filter(string_split({NORM}, ' '), lambda w: w <> '')) > 0")
 def longest_word(spark, sf):
-    w = F.filter(F.split(text.norm(text.title(F.col("text"))), " "), lambda x: x != "")
+    w = F.filter(F.split(text.norm(F.col("text")), " "), lambda x: x != "")
     return table(spark, sf, "documents").filter(F.size(w) > 0).select("doc_id", F.array_max(F.transform(w, F.length)).alias("longest"))

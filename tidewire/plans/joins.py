@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import text
 from tidewire.plans.registry import query
-from tidewire.plans.texts import FOLD, NORM_ALL
+from tidewire.plans.texts import FOLD, NORM
 from tidewire.session import table
 
 
-@query(f"SELECT item_id, doc_id FROM (SELECT item_id, {NORM_ALL} AS phrase FROM benchmark) JOIN (SELECT doc_id, ' ' || {NORM_ALL} || ' ' AS x FROM documents) ON contains(x, ' ' || phrase || ' ') WHERE phrase <> ''")
+@query(f"SELECT item_id, doc_id FROM (SELECT item_id, {NORM} AS phrase FROM benchmark) JOIN (SELECT doc_id, ' ' || {NORM} || ' ' AS x FROM documents) ON contains(x, ' ' || phrase || ' ') WHERE phrase <> ''")
 def dict_join(spark, sf):
     """Phrases of a dictionary and the documents that hold them, anywhere and in all their words: the first three words of a phrase
     (or as many as it has) find candidates by equality, and these alone are compared whole."""
@@ -115,9 +115,9 @@ def union_first_wins(spark, sf):
     return c.unionByName(o).groupBy("id").agg(F.max("kind").alias("kind"), F.count("*").alias("seen"))
 
 
-@query(f"SELECT source, key, min(doc_id) AS doc_id FROM (SELECT doc_id, source, substr({FOLD}, 1, 80) AS key FROM documents) GROUP BY source, key")
+@query(f"SELECT source, key, min(doc_id) AS doc_id FROM (SELECT doc_id, source, sha256({FOLD}) AS key FROM documents) GROUP BY source, key")
 def dedup_by_key(spark, sf):
-    k = F.substring(text.fold(text.title(F.col("text"))), 1, 80)
+    k = F.sha2(text.fold(F.col("text")), 256)
     return table(spark, sf, "documents").groupBy("source", k.alias("key")).agg(F.min("doc_id").alias("doc_id"))
 
 

@@ -14,18 +14,47 @@ DAY = 100
 
 
 def _day_tokens(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.floor(F.col("doc_id") / DAY).cast("long").alias("day"), text.tokens(text.title(F.col("text")), 5).alias("t"))
-    return d.withColumn("size", F.size("t"))
+    d = table(spark, sf, "documents").select("doc_id", F.floor(F.col("doc_id") / DAY).cast("long").alias("day"), text.tokens(F.col("text"), 5).alias("t"))
+    graphs.shared_folder(spark)
+    return d.withColumn("size", F.size("t")).checkpoint()  # every step reads these words, which are dear to make
+
+
+#: Shared words that a pair needs at least, and their share of the smaller set in percent.
+LEAST, OVERLAP = 3, 55
+#: Words that a pair shares among the rarest before it is confirmed; any number gives the same pairs.
+SEEN = 16
+
+
+def overlapping(d, gap: int):
+    """Pairs (day, a, b, shared) of documents `gap` days apart, a the earlier one (of one day: the smaller id), with LEAST shared
+    words or more and OVERLAP percent of the smaller set. d: doc_id, day, t (distinct words) and size.
+
+    A pair shares so many words that SEEN of them (all that it must share, if fewer) are among the rarest of the smaller set: only
+    those look for the words of others, so frequent words of long texts meet nothing. Pairs that share SEEN are confirmed on whole sets.
+    """
+    words = text.each(d, F.col("t"), "w", "doc_id", "day", "size")
+    df = words.groupBy("w").agg(F.count("*").alias("df"))
+    rare = words.join(df, "w").groupBy("doc_id", "day", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "w"))), lambda x: x["w"]).alias("t"))
+    need = F.greatest(F.lit(LEAST), F.ceil(F.col("size") * OVERLAP / 100).cast("int"))
+    seen = F.least(need, F.lit(SEEN))
+    first = F.slice("t", 1, F.col("size") - need + seen)
+    x = rare.filter(F.col("size") >= need).select("day", F.col("doc_id").alias("x"), F.col("size").alias("size_x"), seen.alias("seen"), F.explode(first).alias("w"))
+    y = words.select(F.col("day").alias("day_y"), F.col("doc_id").alias("y"), F.col("size").alias("size_y"), F.col("w").alias("w_y"))
+    # the side that looks is the smaller set; it may be of the earlier or of the later day
+    met = [x.join(y, (F.col("w") == F.col("w_y")) & (F.col("day_y") == F.col("day") + by)).filter(F.struct("size_x", "x") < F.struct("size_y", "y")) for by in {gap, -gap}]
+    met = met[0] if len(met) == 1 else met[0].unionByName(met[1])
+    earlier = F.col("x") < F.col("y") if gap == 0 else F.col("day") < F.col("day_y")
+    a, b = F.when(earlier, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(earlier, F.col("y")).otherwise(F.col("x")).alias("b")
+    met = met.groupBy(a, b, "seen").agg(F.count("*").alias("n")).filter("n >= seen").select("a", "b")
+    one, two = (d.select(F.col("doc_id").alias(i), F.col("t").alias(f"t_{i}"), F.col("size").alias(f"size_{i}"), *(["day"] if i == "b" else [])) for i in "ab")
+    p = met.join(one, "a").join(two, "b").withColumn("shared", F.size(F.array_intersect("t_a", "t_b")).cast("long"))
+    return p.filter((F.col("shared") >= LEAST) & (F.col("shared") * 100 >= OVERLAP * F.least("size_a", "size_b"))).select("day", "a", "b", "shared")
 
 
 def similar_pairs(spark, sf):
-    """Pairs of one day with three shared words or more and an overlap of 0.55 of the smaller set, found over shared words; only
-    words of the same day meet, so a pair list is as long as a day is busy, not as the corpus is."""
-    d = _day_tokens(spark, sf)
-    t = d.select("day", "doc_id", "size", F.explode("t").alias("w"))
-    other = t.select("day", "w", F.col("doc_id").alias("b"), F.col("size").alias("size_b"))
-    p = t.withColumnRenamed("doc_id", "a").join(other, ["day", "w"]).filter("a < b").groupBy("day", "a", "b", "size", "size_b").agg(F.count("*").alias("shared"))
-    return p.filter((F.col("shared") >= 3) & (F.col("shared") * 100 >= 55 * F.least("size", "size_b"))).select("day", "a", "b", "shared")
+    """Pairs of one day with three shared words or more and an overlap of 0.55 of the smaller set; only texts of the same day meet,
+    so a pair list is as long as a day is busy, not as the corpus is."""
+    return overlapping(_day_tokens(spark, sf), 0)
 
 
 PAIRS = f"""d AS (SELECT doc_id, doc_id // {DAY} AS day, list_filter(list_distinct(regexp_extract_all({FOLD}, '[a-z]{{5,}}')), lambda w: w NOT IN ({STOPS})) AS t FROM documents),
@@ -39,10 +68,10 @@ def near_dup_pairs(spark, sf):
 
 
 @query(f"""WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), r(v, root) AS (SELECT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.v)
-SELECT root, count(*) AS notes, count(DISTINCT source) AS outlets, max(length(substr(text, 1, 120)))::INTEGER AS longest FROM (SELECT v, min(root) AS root FROM r GROUP BY v) JOIN documents ON doc_id = v GROUP BY root""")
+SELECT root, count(*) AS notes, count(DISTINCT source) AS outlets, max(length(text))::INTEGER AS longest FROM (SELECT v, min(root) AS root FROM r GROUP BY v) JOIN documents ON doc_id = v GROUP BY root""")
 def stories(spark, sf):
     c = graphs.components(similar_pairs(spark, sf).select("a", "b"))
-    d = table(spark, sf, "documents").select("doc_id", "source", F.length(text.title(F.col("text"))).alias("n"))
+    d = table(spark, sf, "documents").select("doc_id", "source", F.length("text").alias("n"))
     return c.join(d, c.v == d.doc_id).groupBy("root").agg(F.count("*").alias("notes"), F.countDistinct("source").alias("outlets"), F.max("n").alias("longest"))
 
 
@@ -50,10 +79,7 @@ def stories(spark, sf):
 SELECT day, count(*) AS n, count(x.doc_id) AS continued FROM d LEFT JOIN x USING (doc_id) GROUP BY day""")
 def continuity(spark, sf):
     d = _day_tokens(spark, sf)
-    t = d.select("day", "doc_id", "size", F.explode("t").alias("w"))
-    before = t.select((F.col("day") + 1).alias("day"), "w", F.col("doc_id").alias("a"), F.col("size").alias("size_a"))
-    p = t.join(before, ["day", "w"]).groupBy("doc_id", "a", "size", "size_a").agg(F.count("*").alias("shared")).filter((F.col("shared") >= 3) & (F.col("shared") * 100 >= 55 * F.least("size", "size_a")))
-    x = p.select(F.col("doc_id").alias("x")).distinct()
+    x = overlapping(d, 1).select(F.col("b").alias("x")).distinct()
     return d.join(x, d.doc_id == x.x, "left").groupBy("day").agg(F.count("*").alias("n"), F.count("x").alias("continued"))
 
 

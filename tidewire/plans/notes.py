@@ -40,7 +40,7 @@ def canonical_outlets(spark, sf):
 
 @query(rf"SELECT doc_id, regexp_replace(substr(replace({NORM}, ' ', '-'), 1, 60), '-+$', '') AS slug FROM documents")
 def slugs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.substring(F.replace(text.norm(text.title(F.col("text"))), F.lit(" "), F.lit("-")), 1, 60), "-+$", "").alias("slug"))
+    return table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.substring(F.replace(text.norm(F.col("text")), F.lit(" "), F.lit("-")), 1, 60), "-+$", "").alias("slug"))
 
 
 MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
@@ -137,7 +137,7 @@ def strict_numbers(spark, sf):
 
 @query(f"""SELECT doc_id, array_to_string(list_filter(k, lambda x, i: list_position(k, x) = i)[1:6], ' ') AS keywords FROM (SELECT doc_id, regexp_extract_all({FOLD}, '[a-z0-9]{{3,}}') AS k FROM documents)""")
 def keyword_lists(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.array_join(text.keywords(text.title(F.col("text"))), " ").alias("keywords"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(text.keywords(F.col("text")), " ").alias("keywords"))
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderdate - INTERVAL 3 HOURS WHEN 1 THEN o_orderdate WHEN 2 THEN o_orderdate + INTERVAL 3 HOURS END AS published FROM orders")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import text
 from tidewire.plans.registry import query
-from tidewire.plans.texts import NORM, NORM_ALL
+from tidewire.plans.texts import NORM
 from tidewire.session import table
 
 #: order, label, weight and word of an editable topic dictionary.
@@ -17,8 +17,8 @@ def _rules(spark):
 
 
 def _hits(spark, sf):
-    """Documents joined to the dictionary on whole words of the headline: an equi-join on the word, not a loop over rules."""
-    d = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.split(text.norm(text.title(F.col("text"))), " "))).alias("word"))
+    """Documents joined to the dictionary on whole words of the text: an equi-join on the word, not a loop over rules."""
+    d = text.each(table(spark, sf, "documents"), F.array_distinct(F.split(text.norm(F.col("text")), " ")), "word", "doc_id")
     return d.join(_rules(spark), "word")
 
 
@@ -47,7 +47,7 @@ def veto_filter(spark, sf):
     return table(spark, sf, "documents").filter(low.rlike("(^|[^a-z0-9])(the|que)([^a-z0-9]|$)") & (~F.col("text").rlike("[$#&]{3}|!!") | low.rlike("password|token"))).select("doc_id", "source")
 
 
-@query(f"SELECT doc_id FROM (SELECT doc_id, ' ' || {NORM_ALL} || ' ' AS x FROM documents) WHERE contains(x, ' the ') AND (contains(x, 'tion') OR contains(x, 'ment')) AND NOT contains(x, 'of the')")
+@query(f"SELECT doc_id FROM (SELECT doc_id, ' ' || {NORM} || ' ' AS x FROM documents) WHERE contains(x, ' the ') AND (contains(x, 'tion') OR contains(x, 'ment')) AND NOT contains(x, 'of the')")
 def bool_query(spark, sf):
     return table(spark, sf, "documents").filter(text.boolean_query(F.col("text"), 'the tion|ment -"of the"')).select("doc_id")
 

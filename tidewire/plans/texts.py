@@ -6,26 +6,20 @@ from tidewire.functions import dates, text
 from tidewire.plans.registry import query
 from tidewire.session import table
 
-FOLD = f"translate(lower(substr(text, 1, 120)), '{text.ACCENTED}', '{text.PLAIN}')"
+FOLD = f"translate(lower(text), '{text.ACCENTED}', '{text.PLAIN}')"
 NORM = f"trim(regexp_replace({FOLD}, '[^a-z0-9]+', ' ', 'g'))"
-#: The same of whole texts.
-NORM_ALL = NORM.replace("substr(text, 1, 120)", "text")
 STOPS = ", ".join(f"'{w}'" for w in text.STOP)
 
 
-def _title():
-    return text.title(F.col("text"))
-
-
 @query(f"SELECT doc_id, {FOLD} AS folded, regexp_replace({FOLD}, '[^\\x00-\\x7F]', '', 'g') AS ascii, {NORM} AS words FROM documents")
 def fold_titles(spark, sf):
-    t = _title()
+    t = F.col("text")
     return table(spark, sf, "documents").select("doc_id", text.fold(t).alias("folded"), text.fold_ascii(t).alias("ascii"), text.norm(t).alias("words"))
 
 
-@query(f"SELECT key, count(*) AS n, min(doc_id) AS first_id, count(DISTINCT source) AS outlets FROM (SELECT doc_id, source, {NORM} AS key FROM (SELECT doc_id, source, regexp_replace(substr(text, 1, 120), ' - [^-]*$', '') AS text FROM documents)) GROUP BY key")
+@query(f"SELECT key, count(*) AS n, min(doc_id) AS first_id, count(DISTINCT source) AS outlets FROM (SELECT doc_id, source, sha256({NORM}) AS key FROM (SELECT doc_id, source, regexp_replace(text, ' - [^-]*$', '') AS text FROM documents)) GROUP BY key")
 def title_key(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "source", text.title_key(_title()).alias("key"))
+    d = table(spark, sf, "documents").select("doc_id", "source", F.sha2(text.title_key(F.col("text")), 256).alias("key"))
     return d.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.countDistinct("source").alias("outlets"))
 
 
@@ -79,22 +73,22 @@ def page_hosts(spark, sf):
 
 @query(f"SELECT term, count(*) AS df, count(DISTINCT source) AS outlets FROM (SELECT DISTINCT doc_id, source, unnest(regexp_extract_all({FOLD}, '[a-z]{{4,}}')) AS term FROM documents) WHERE term NOT IN ({STOPS}) GROUP BY term HAVING count(*) > 1 ORDER BY df DESC, term LIMIT 50")
 def trending_terms(spark, sf):
-    d = table(spark, sf, "documents").select("source", F.explode(text.tokens(_title())).alias("term"))
+    d = text.each(table(spark, sf, "documents"), text.tokens(F.col("text")), "term", "source")
     return d.groupBy("term").agg(F.count("*").alias("df"), F.countDistinct("source").alias("outlets")).filter("df > 1").orderBy(F.desc("df"), "term").limit(50)
 
 
 @query(f"SELECT stem, count(*) AS n FROM (SELECT unnest(list_transform(list_distinct(regexp_extract_all({FOLD}, '[a-z]{{4,}}')), lambda w: CASE WHEN length(w) >= 7 THEN substr(w, 1, 6) ELSE w END)) AS stem, doc_id FROM documents) GROUP BY stem")
 def stems(spark, sf):
-    d = table(spark, sf, "documents").select(F.explode(text.stems(text.tokens(_title(), stop=("",)))).alias("stem"))
+    d = text.each(table(spark, sf, "documents"), text.stems(text.tokens(F.col("text"), stop=("",))), "stem")
     return d.groupBy("stem").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH t AS (SELECT doc_id, source, string_split({NORM}, ' ') AS w FROM documents), g AS (SELECT DISTINCT doc_id, source, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT *, unnest(range(1, len(w))) AS i FROM t))
 SELECT gram, count(*) AS uses, count(DISTINCT source) AS outlets FROM g GROUP BY gram HAVING count(*) >= 4 AND count(DISTINCT source) >= 3""")
 def bigrams(spark, sf):
-    d = table(spark, sf, "documents").select("source", F.split(text.norm(_title()), " ").alias("w"))
+    d = table(spark, sf, "documents").select("source", F.split(text.norm(F.col("text")), " ").alias("w"))
     pairs = F.array_distinct(F.transform(F.slice("w", 1, F.size("w") - 1), lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1))))
-    return d.filter(F.size("w") > 1).select("source", F.explode(pairs).alias("gram")).groupBy("gram").agg(F.count("*").alias("uses"), F.countDistinct("source").alias("outlets")).filter("uses >= 4 AND outlets >= 3")
+    return text.each(d, pairs, "gram", "source").groupBy("gram").agg(F.count("*").alias("uses"), F.countDistinct("source").alias("outlets")).filter("uses >= 4 AND outlets >= 3")
 
 
 @query("SELECT doc_id, CASE WHEN length(text) <= 60 THEN text ELSE regexp_extract(substr(text, 1, 59), '(?s)^(.*) ', 1) || '…' END AS short FROM documents")
