@@ -1,8 +1,11 @@
 """Feeds, tables, sinks and poll headlines on small hand-written inputs."""
 
 import datetime
+import random
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidewire.operators import poll_values
 from tidewire.sources import feeds, sinks
@@ -86,3 +89,20 @@ def test_poll_values(spark, title, want):
     n, c = spark.createDataFrame(NAMES, "subject string, phrase string"), spark.createDataFrame(CUES, "measure string, stem string")
     got = poll_values.poll_values(spark.createDataFrame([(1, title)], "id int, title string"), n, c, 2)
     assert [(r.subject, r.measure, r.value, r.confidence) for r in got.orderBy("pos").collect()] == want
+
+
+def test_poll_values_read_titles_once(spark):
+    """Random headlines against the SQL, repeated and null ones with them; words are dealt out by headline once, not for each join."""
+    rng = random.Random(9)
+    bits = ["Ann Lee", "Park", "Jo Park", "Lake Party", "fell", "and", "while", "vote", "approval,", "Prices:", "of", "the", "7 %", "45%", "45%,", "40,5%;", "101%", "x" * 9]
+    rows = [(i, " ".join(rng.choices(bits, k=rng.randrange(1, 25)))) for i in range(400)] + [(400, None), (401, ""), (402, "Park 3% vote"), (402, "Park 3% vote")]
+    n, c = spark.createDataFrame(NAMES, "subject string, phrase string"), spark.createDataFrame(CUES, "measure string, stem string")
+    got = poll_values.poll_values(spark.createDataFrame(rows, "id int, title string"), F.broadcast(n), F.broadcast(c), 2)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (id int, title varchar)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    values = lambda xs, names: f"SELECT * FROM (VALUES {', '.join(map(str, xs))}) AS x({names})"
+    want = con.sql(f"WITH {poll_values.oracle('SELECT * FROM t', values(NAMES, 'subject, phrase'), values(CUES, 'measure, stem'), 2)} SELECT id, pos, subject, measure, value, confidence FROM found").fetchall()
+    assert len(want) > 400
+    assert sorted(map(tuple, got.select("id", "pos", "subject", "measure", "value", "confidence").collect())) == sorted(want)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2

@@ -25,8 +25,10 @@ def words(titles: DataFrame, id_col: str, text_col: str) -> DataFrame:
     line = Window.partitionBy("id").orderBy("pos")
     t = t.withColumn("clause", F.coalesce(F.sum(ends).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     t = t.withColumn("value", F.replace(F.nullif(F.regexp_extract("w", r"^([0-9]{1,3}([.,][0-9]+)?)%$", 1), F.lit("")), F.lit(","), F.lit(".")).cast("double"))
-    before = Window.partitionBy("id", "clause").orderBy("pos").rowsBetween(-3, -1)
-    return t.select("id", "pos", "w", "clause", "value", F.coalesce(F.max(F.col("w").isin(*CHANGES)).over(before), F.lit(False)).alias("changed"))
+    changed = F.lit(False)
+    for k in (1, 2, 3):  # a clause is a stretch of words, so one order serves all windows
+        changed = changed | F.coalesce((F.lag("clause", k).over(line) == F.col("clause")) & F.lag("w", k).over(line).isin(*CHANGES), F.lit(False))
+    return t.select("id", "pos", "w", "clause", "value", changed.alias("changed"))
 
 
 def mentions(t: DataFrame, names: DataFrame, longest: int) -> DataFrame:
@@ -56,24 +58,76 @@ def poll_values(titles: DataFrame, names: DataFrame, cues: DataFrame, longest: i
     clause before or after; else it is "unclassified", with low confidence. The first of equal (subject, measure, value) stays.
     Null and empty headlines state nothing; an id that repeats is one headline to the joins.
     """
-    t = words(titles, id_col, text_col)
-    v = t.filter(F.col("value").isNotNull() & (F.col("value") <= 100) & ~F.col("changed")).select("id", "pos", "clause", "value")
-    m = mentions(t, names, longest).select("id", F.col("pos").alias("at"), "last", F.col("clause").alias("its"), "subject")
-    gap = F.greatest(F.col("at") - F.col("pos"), F.col("pos") - F.col("last"))
-    near = v.join(m, "id").withColumn("gap", gap).filter(F.col("gap") <= REACH)
-    near = _first(near, ("id", "pos"), (F.col("its") != F.col("clause")).asc(), F.col("gap"), F.col("at"), F.col("subject")).select("id", "pos", "clause", "value", "subject", "gap")
-    c = t.select("id", "pos", "clause", F.substring("w", 1, STEM).alias("stem")).join(cues, "stem").select("id", F.col("pos").alias("cue"), "clause", "measure")
-    own = _first(near.select("id", "pos", "clause").join(c, ["id", "clause"]), ("id", "pos"), F.abs(F.col("cue") - F.col("pos")), F.col("cue"), F.col("measure")).select("id", "pos", F.col("measure").alias("own"))
-    x = near.join(own, ["id", "pos"], "left")
-    silent = c.join(v.select("id", "clause").distinct(), ["id", "clause"], "left_anti").select("id").distinct()
-    only = c.groupBy("id").agg(F.min("measure").alias("only"), F.max("measure").alias("most")).filter("only = most").drop("most").join(silent, "id", "left_semi")
-    said = _first(x.filter("own IS NOT NULL"), ("id", "clause"), F.col("pos")).select("id", "clause", "own")
-    beside = lambda k, name: said.select("id", (F.col("clause") + k).alias("clause"), F.col("own").alias(name))
-    x = x.join(only, "id", "left").join(beside(1, "before"), ["id", "clause"], "left").join(beside(-1, "after"), ["id", "clause"], "left")
-    other = F.coalesce("only", "before", "after")
-    sure = F.when(F.col("own").isNotNull(), F.when(F.col("gap") <= NEAR, "high").otherwise("medium")).when(other.isNotNull(), "medium").otherwise("low")
-    out = x.select("id", "pos", "subject", F.coalesce("own", other, F.lit("unclassified")).alias("measure"), "value", sure.alias("confidence"))
-    return _first(out, ("id", "subject", "measure", "value"), F.col("pos"))
+    heads = titles.select(F.col(id_col).alias("id"), F.col(text_col).alias("title")).filter(F.col("id").isNotNull()).repartition("id")
+    h = hits(words(heads, "id", "title"), names, cues, longest)
+    x = h.filter((F.size("v") > 0) & (F.size("m") > 0)).select("id", F.inline(_stated(F.col("v"), F.col("m"), F.col("c"))))
+    return _first(x, ("id", "subject", "measure", "value"), F.col("pos"))
+
+
+def hits(t: DataFrame, names: DataFrame, cues: DataFrame, longest: int) -> DataFrame:
+    """A row per headline, from one pass over its words: id and the arrays v (values), m (names) and c (cues)."""
+    line = Window.partitionBy("id").orderBy("pos")
+    gram = lambda n: F.concat_ws(" ", "w", *(F.lead("w", k).over(line) for k in range(1, n)))
+    level = F.when((F.col("value") <= 100) & ~F.col("changed"), F.col("value"))
+    t = t.select("id", "pos", "clause", level.alias("value"), F.substring("w", 1, STEM).alias("stem"), *(gram(n).alias(f"g{n}") for n in range(1, longest + 1)))
+    # n: words of a gram, 0 for the stem and -1 for the value, which meet other tables
+    keys = F.array(F.struct(F.lit(-1).alias("n"), F.col("g1").alias("key")), F.struct(F.lit(0).alias("n"), F.col("stem").alias("key")), *(F.struct(F.lit(n).alias("n"), F.col(f"g{n}").alias("key")) for n in range(1, longest + 1)))
+    t = t.select("id", "pos", "clause", "value", F.inline(keys)).filter((F.col("n") >= 0) | F.col("value").isNotNull())
+    t = t.join(names.select("phrase", "subject", F.lit(True).alias("named")), (F.col("n") > 0) & (F.col("key") == F.col("phrase")), "left")
+    t = t.join(cues.select(F.col("stem").alias("_stem"), "measure", F.lit(True).alias("cued")), (F.col("n") == 0) & (F.col("key") == F.col("_stem")), "left")
+    value = F.when(F.col("n") == -1, F.struct("pos", "clause", "value"))
+    name = F.when(F.col("named"), F.struct(F.col("pos").alias("at"), (F.col("pos") + F.col("n") - 1).alias("last"), "n", F.col("clause").alias("its"), "subject"))
+    cue = F.when(F.col("cued"), F.struct(F.col("pos").alias("cue"), "clause", "measure"))
+    t = t.filter((F.col("n") == -1) | F.col("named") | F.col("cued"))
+    return t.groupBy("id").agg(F.collect_list(value).alias("v"), F.collect_set(name).alias("m"), F.collect_list(cue).alias("c"))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once, not for each element of the arrays that refer to it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _stated(v: Column, m: Column, c: Column) -> Column:
+    """The values of one headline: an array of pos, subject, measure, value and confidence."""
+
+    def overlapped(h: Column) -> Column:
+        better = lambda o: (o["n"] > h["n"]) | ((o["n"] == h["n"]) & (o["at"] < h["at"]))
+        return F.exists(m, lambda o: (o["at"] <= h["last"]) & (h["at"] <= o["last"]) & better(o))
+
+    def nearest(x: Column, names: Column) -> Column:
+        gap = lambda h: F.greatest(h["at"] - x["pos"], x["pos"] - h["last"])
+        found = F.filter(names, lambda h: gap(h) <= REACH)
+        return F.array_min(F.transform(found, lambda h: F.struct((h["its"] != x["clause"]).cast("int").alias("other"), gap(h).alias("gap"), h["at"].alias("at"), h["subject"].alias("subject"))))
+
+    def own(x: Column) -> Column:
+        its = F.filter(c, lambda k: k["clause"] == x["clause"])
+        return F.array_min(F.transform(its, lambda k: F.struct(F.abs(k["cue"] - x["pos"]).alias("far"), k["cue"].alias("cue"), k["measure"].alias("measure"))))["measure"]
+
+    def near(names: Column) -> Column:
+        rows = F.transform(v, lambda x: F.struct(x["pos"].alias("pos"), nearest(x, names).alias("best"), x["clause"].alias("clause"), x["value"].alias("value")))
+        rows = F.array_sort(F.filter(rows, lambda x: x["best"].isNotNull()))
+        return _let(rows, lambda r: F.filter(r, lambda x, i: (i == 0) | (F.get(r, i - 1)["pos"] != x["pos"])))
+
+    measures = F.transform(c, lambda k: k["measure"])
+    silent = F.exists(c, lambda k: ~F.exists(v, lambda x: x["clause"] == k["clause"]))
+    only = F.when(silent & (F.array_min(measures) == F.array_max(measures)), F.array_min(measures))
+
+    def told(pair: Column) -> Column:
+        xs = pair["xs"]
+        said = lambda clause: F.get(F.filter(xs, lambda y: (y["clause"] == clause) & y["own"].isNotNull()), 0)["own"]
+
+        def row(x: Column) -> Column:
+            other = F.coalesce(pair["only"], said(x["clause"] - 1), said(x["clause"] + 1))
+            rest = F.when(other.isNotNull(), F.struct(other.alias("measure"), F.lit("medium").alias("confidence"))).otherwise(F.struct(F.lit("unclassified").alias("measure"), F.lit("low").alias("confidence")))
+            its = F.struct(x["own"].alias("measure"), F.when(x["best"]["gap"] <= NEAR, "high").otherwise("medium").alias("confidence"))
+            how = F.when(x["own"].isNotNull(), its).otherwise(rest)
+            return _let(how, lambda k: F.struct(x["pos"].alias("pos"), x["best"]["subject"].alias("subject"), k["measure"].alias("measure"), x["value"].alias("value"), k["confidence"].alias("confidence")))
+
+        return F.transform(xs, row)
+
+    found = _let(F.filter(m, lambda h: ~overlapped(h)), near)
+    owned = F.transform(found, lambda x: F.struct(x["pos"].alias("pos"), x["best"].alias("best"), x["clause"].alias("clause"), x["value"].alias("value"), own(x).alias("own")))
+    return _let(F.struct(owned.alias("xs"), only.alias("only")), told)
 
 
 def oracle(titles: str, names: str, cues: str, longest: int = 3) -> str:

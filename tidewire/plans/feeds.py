@@ -125,4 +125,6 @@ def poll_triples(spark, sf):
         .otherwise(F.concat(p, F.lit(": "), n(50), F.lit("%")))
     )
     titles = o.select(k.alias("id"), title.alias("title"))
-    return poll_values.poll_values(titles, spark.createDataFrame(NAMES, "subject string, phrase string"), spark.createDataFrame(CUES, "measure string, stem string"), 2)
+    # a few rows each, whose size Spark does not know
+    names, cues = F.broadcast(spark.createDataFrame(NAMES, "subject string, phrase string")), F.broadcast(spark.createDataFrame(CUES, "measure string, stem string"))
+    return poll_values.poll_values(titles, names, cues, 2)
