@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -59,6 +60,39 @@ def test_pack(spark):
     assert [r.message for r in got] == [0, 0, 1, 2, 3, 3, 4]
 
 
+def test_pack_in_stretches_equals_the_walk(spark, monkeypatch):
+    """Groups that spread over many stretches, a null group, ties, null, negative and huge sizes, a repeated row, and no rows."""
+    monkeypatch.setattr(selection, "STRETCH", 7)
+    rng = random.Random(11)
+    sizes = [1, 1, 40, 90, 149, 150, 151, 301, 0, -3, None, 2**63 - 1]
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randrange(900), rng.choice(sizes)) for _ in range(1500)] + [("c", 1, 5), ("c", 1, 5), ("d", None, 400)]
+    want = Counter()
+    for g in {r[0] for r in rows}:
+        m, used, n = 0, 0, 0
+        for _, i, z in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or 0)):
+            if n and (n >= 6 or (None not in (used, z) and used + z > 300)):
+                m, used, n = m + 1, 0, 0
+            used, n = None if None in (used, z) else used + z, n + 1
+            want[g, i, m] += 1
+    df = spark.createDataFrame(rows, "day string, i int, size long").repartition(5)
+    assert Counter(map(tuple, selection.pack(df, "day", ["i"], "size", 300, 6).collect())) == want
+    assert selection.pack(df.filter("i < 0"), "day", ["i"], "size", 300, 6).count() == 0
+
+
+def test_pack_of_one_large_group(spark):
+    """One day of 200,000 rows: an array that is copied for each row would take 80 GB."""
+    df = spark.range(200_000).selectExpr("'d' AS day", "id", "id * 7 % 100 AS size")
+    m, used, n = 0, 0, 0
+    for i in range(200_000):
+        if n and (n >= 6 or used + i * 7 % 100 > 300):
+            m, used, n = m + 1, 0, 0
+        used, n = used + i * 7 % 100, n + 1
+    began = time.time()
+    got = selection.pack(df, "day", ["id"], "size", 300, 6).agg(F.count("*").alias("n"), F.max("message").alias("m")).first()
+    assert (got.n, got.m) == (200_000, m)
+    assert time.time() - began < 60
+
+
 def test_geometry(spark):
     square = [{"x": x, "y": y} for x, y in ((0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (0.0, 2.0))]
     df = spark.createDataFrame([(square, 1.0, 1.5), (square, 5.0, 1.0)], f"ring {geometry.RING}, x double, y double")

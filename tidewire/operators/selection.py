@@ -57,18 +57,79 @@ def diverse(df: DataFrame, by: str, score: list[Column], item: str, words: str,
     return out.select(by, (F.col("rank") + 1).alias("rank"), F.col("x.id").alias(item))
 
 
+#: Rows of a stretch that one call packs.
+STRETCH = 4096
+
+
+def _step(used: int | None, n: int, size: int | None, limit: int, most: int) -> tuple[bool, int | None, int]:
+    """Whether a row begins a message, and the size and rows of its message then. A size that is null makes the message's unknown."""
+    new = n > 0 and (n >= most or (used is not None and size is not None and used + size > limit))
+    return (True, size, 1) if new else (False, None if used is None or size is None else used + size, n + 1)
+
+
+def _ways(sizes: list[int | None], limit: int, most: int) -> list[tuple[int, int | None, int]]:
+    """For each of the first `most` rows: if a message begins there, the messages that begin after it, and size and rows of the last.
+
+    Wherever a message begins, its successor begins at most `most` rows later, so all ways are followed from the last row to the first.
+    """
+    ways: list[tuple[int, int | None, int]] = [(0, 0, 0)] * len(sizes)
+    for i in range(len(sizes) - 1, -1, -1):
+        used, n = 0, 0
+        for j in range(i, len(sizes)):
+            new, used, n = _step(used, n, sizes[j], limit, most)
+            if new:
+                more, *end = ways[j]
+                ways[i] = (more + 1, *end)
+                break
+        else:
+            ways[i] = (0, used, n)
+    return ways[:most]
+
+
+def _entered(stretches: list, limit: int, most: int) -> list[tuple[int, int, int | None, int]]:
+    """(stretch, message, size, rows) of the message that is open where each stretch of a group begins."""
+    m, used, n, out = -1, 0, most, []  # as if a full message stood before the first row
+    for s in stretches:
+        out.append((s["stretch"], m, used, n))
+        for size, way in zip(s["head"], s["ways"], strict=True):
+            new, used, n = _step(used, n, size, limit, most)
+            if new:  # from here on the way is known
+                m, used, n = m + 1 + way["more"], way["used"], way["n"]
+                break
+    return out
+
+
+def _messages(sizes: list[int | None], m: int, used: int | None, n: int, limit: int, most: int) -> list[int]:
+    out = []
+    for size in sizes:
+        new, used, n = _step(used, n, size, limit, most)
+        m += new
+        out.append(m)
+    return out
+
+
 def pack(df: DataFrame, by: str, order: list[str], size: str, limit: int, most: int) -> DataFrame:
     """Adds `message`, the number of the message that a row goes into: a new one begins where the row would pass `limit` in size or
-    `most` rows. A row over the limit gets a message of its own. Groups are editions and short by nature."""
-    item = F.struct(*order, F.col(size).cast("long").alias("_size"))
-    rows = df.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("rows"))
-    kind = "array<int>"
-    start = F.struct(F.lit(0).alias("m"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.array().cast(kind).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = (acc["n"] > 0) & ((acc["used"] + x["_size"] > limit) | (acc["n"] >= most))
-        m = acc["m"] + F.when(new, 1).otherwise(0)
-        return F.struct(m.alias("m"), (F.when(new, 0).otherwise(acc["used"]) + x["_size"]).alias("used"), (F.when(new, 0).otherwise(acc["n"]) + 1).alias("n"), F.concat(acc["out"], F.array(m)).alias("out"))
+    `most` rows. A row over the limit gets a message of its own.
 
-    packed = rows.select(by, "rows", F.aggregate("rows", start, step, lambda a: a["out"]).alias("out"))
-    return packed.select(by, F.explode(F.arrays_zip("rows", "out")).alias("x")).select(by, *(F.col(f"x.rows.{o}").alias(o) for o in order), F.col("x.out").alias("message"))
+    Rows are dealt out by ranges, so a group of any size spreads over tasks, in stretches of at most STRETCH rows. A stretch tells how it
+    ends for each of the rows that its first message may begin at, `most` at most; these are chained by group, and then every
+    stretch is packed from where it is entered. Time grows with the rows.
+    """
+    shared_folder(df.sparkSession)
+    most = max(most, 1)  # a row alone is a message
+    item = F.struct(*order, F.col(size).cast("long").alias("_size"))
+    rows = df.select(F.col(by).alias("_by"), item.alias("_row")).repartitionByRange("_by", "_row").sortWithinPartitions("_by", "_row")
+    stretch = F.floor(F.monotonically_increasing_id() / STRETCH).alias("_stretch")
+    parts = rows.select("_by", "_row", stretch).groupBy("_by", "_stretch").agg(F.array_sort(F.collect_list("_row")).alias("rows")).checkpoint()
+    sizes = F.transform("rows", lambda x: x["_size"])
+    state = "used: bigint, n: int"
+    ways = F.udf(lambda x: _ways(x, limit, most), f"array<struct<more: int, {state}>>")
+    entered = F.udf(lambda x: _entered(x, limit, most), f"array<struct<stretch: bigint, m: int, {state}>>")
+    messages = F.udf(lambda x, s: _messages(x, s["m"], s["used"], s["n"], limit, most), "array<int>")
+    ends = parts.select("_by", F.struct(F.col("_stretch").alias("stretch"), F.slice(sizes, 1, most).alias("head"), ways(sizes).alias("ways")).alias("s"))
+    chains = ends.groupBy("_by").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    begins = chains.select(F.col("_by").alias("_by2"), F.explode(entered("s")).alias("_in"))
+    packed = parts.join(begins, F.col("_by").eqNullSafe(F.col("_by2")) & (F.col("_stretch") == F.col("_in.stretch")))
+    packed = packed.select("_by", F.explode(F.arrays_zip("rows", messages(sizes, "_in").alias("out"))).alias("x"))
+    return packed.select(F.col("_by").alias(by), *(F.col(f"x.rows.{o}").alias(o) for o in order), F.col("x.out").alias("message"))
