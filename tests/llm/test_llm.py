@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.llm import byte_bpe, components, lm_scores, near_dedup, quality_rules, secrets_crf, source_mix, substring_dedup, token_files, top_inner, url_filters, word_spans
+from tidewire.llm import byte_bpe, components, lm_scores, near_dedup, quality_rules, registry, secrets_crf, source_mix, substring_dedup, token_files, top_inner, url_filters, word_spans
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PROSE = " ".join(f"w{i % 97}x{i % 31}" for i in range(400))
@@ -263,6 +263,22 @@ def test_lm_scores(docs, none, hot, monkeypatch):
     assert lm_scores.lm_scores(none, target).count() == 0
 
 
+@pytest.mark.parametrize("bits", [23, 1])
+def test_lm_scores_of_all_labelled_documents(spark, tmp_path, monkeypatch, bits):
+    """More good documents than any sample: the query's target model counts them all, whether the filter tells apart much or nothing."""
+    monkeypatch.setattr(lm_scores, "BITS", bits)
+    n = 20_500
+    spark.range(n + 50).selectExpr("id AS doc_id", "IF(id = 7, NULL, concat('a b w', id % 3)) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(n).selectExpr("id AS doc_id", "1 AS quality").union(spark.sql("SELECT 3L, 1 UNION ALL SELECT NULL, 1 UNION ALL SELECT 20505L, 0")).write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r.score for r in registry.queries()["op8_lm_scores"](spark, str(tmp_path)).filter("doc_id % 1000 < 3").collect()}
+    good, every = [[i for i in range(k) if i != 7] for k in (n, n + 50)]
+    s, v = lm_scores.SMOOTH, 5
+    for d, score in got.items():
+        loss = [2 * math.log(len(c) + s) - math.log(len(c) + s / v) - math.log(sum(i % 3 == d % 3 for i in c) + s / v) for c in (good, every)]
+        assert score == pytest.approx((loss[0] - loss[1]) / 2, abs=1e-12)
+    assert len(got) == 63
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     crf = secrets_crf.Crf(np.zeros((secrets_crf.SIZE, 3)), rng.normal(size=(3, 3)), rng.normal(size=3))

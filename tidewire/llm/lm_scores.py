@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.hashing import U, runs, split_words, window_hashes, word_hashes
 from tidewire.llm.shared import keep, tidy
 from tidewire.llm.token_files import slices
 
-#: Labelled documents that the target model is fitted on, at most: those of least hash.
-TARGET = 20_000
+#: Bits of the filter that spares most other texts the join with the target's ids, as a power of two.
+BITS = 23
 #: N-gram occurrences of one key group, on average.
 GROUP = 1 << 21
 #: Occurrences beyond which an n-gram is hot, whatever the input's size, and how many hot ones tasks are told of at most.
@@ -85,8 +86,32 @@ def vocabulary(docs: DataFrame) -> tuple[int, int, np.ndarray]:
     return r.v, r.n, np.sort(np.array([x.w for x in hot], np.int64).view(U))
 
 
-def hot_terms(docs: DataFrame, target: frozenset, hot: np.ndarray, words: int, smooth: float) -> np.ndarray:
-    """The terms of the hot keys, from their counts in all documents and in the target's."""
+def target_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is among `ids` (doc_id, long), all of them, kept in the shared folder.
+
+    So that other texts travel little, a bit map of the ids' hashes sorts them out first. It is of a fixed size, whatever it misses
+    the join drops, and where ids are so many that it is full, all texts are joined.
+    """
+
+    def bit(id_col: Column) -> Column:
+        return F.pmod(F.xxhash64(id_col), F.lit(1 << BITS))
+
+    own = ids.filter("doc_id IS NOT NULL").select("doc_id").distinct()
+    bits = np.zeros(1 << BITS, bool)
+    bits[own.select(bit(F.col("doc_id")).alias("b")).distinct().toArrow().column("b").to_numpy()] = True
+    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    @F.pandas_udf("boolean")
+    def maybe(b: pd.Series) -> pd.Series:
+        at = b.to_numpy()
+        return pd.Series((packed.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+
+    some = docs.filter(F.col("doc_id").isNotNull()).filter(maybe(bit(F.col("doc_id"))))
+    return keep(some.join(own, "doc_id", "left_semi"), "target")
+
+
+def hot_terms(docs: DataFrame, hot: np.ndarray, words: int, smooth: float) -> np.ndarray:
+    """The terms of the hot keys, from their counts in all documents and in the target's (`own`), which come once more."""
     if not len(hot):
         return np.zeros(0)
 
@@ -94,14 +119,14 @@ def hot_terms(docs: DataFrame, target: frozenset, hot: np.ndarray, words: int, s
     def run(batches):
         for batch in batches:
             for part in slices(batch, size=SLICE // 4):
-                is_target = np.array([d in target for d in part.column("doc_id").to_pylist()], bool)
-                _, who, *keys = n_grams(part.column("text"))
+                own = part.column("own")[0].as_py()  # a task reads either all documents or the target's
+                _, _, *keys = n_grams(part.column("text"))
                 for kind, key in zip((CONTEXT, BIGRAM), keys, strict=True):
                     place = np.searchsorted(hot, key)
                     mine = hot[np.minimum(place, len(hot) - 1)] == key
-                    place, own = place[mine], is_target[who[mine]]
-                    n, t = np.bincount(place, minlength=len(hot)), np.bincount(place[own], minlength=len(hot))
-                    some = np.flatnonzero(n)
+                    seen = np.bincount(place[mine], minlength=len(hot))
+                    some = np.flatnonzero(seen)
+                    n, t = (np.zeros_like(seen), seen) if own else (seen, np.zeros_like(seen))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int32)), pa.array(some), pa.array(n[some]), pa.array(t[some])], names=["kind", "place", "n", "t"])
 
     out = np.zeros(len(hot))
@@ -116,9 +141,11 @@ def _terms(bigram: np.ndarray, target: np.ndarray, total: np.ndarray, words: int
     return np.where(bigram, -1.0, 1.0) * (np.log(target + add) - np.log(total + add))
 
 
-def _grouped(key: np.ndarray, kind: np.ndarray, who: np.ndarray, is_target: np.ndarray, hot: np.ndarray, terms: np.ndarray, groups: int) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
-    """The sums of hot terms by document, and (g, blob) of all other n-grams; documents rise for each kind of key."""
-    n = len(is_target)
+def _grouped(key: np.ndarray, kind: np.ndarray, who: np.ndarray, n: int, own: bool, hot: np.ndarray, terms: np.ndarray, groups: int) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
+    """The sums of hot terms by document, and (g, blob) of all other n-grams; documents rise for each kind of key.
+
+    The target's blobs (`own`) have counts alone, as its documents are scored among all.
+    """
     if not len(key):
         return np.zeros(n), []
     order = np.argsort(key, kind="stable")  # groups rise with their keys
@@ -130,7 +157,8 @@ def _grouped(key: np.ndarray, kind: np.ndarray, who: np.ndarray, is_target: np.n
     lead = np.flatnonzero(head[at])
     key, kind, who = key[at][lead], kind[at][lead], who[at]
     per_key = np.diff(lead, append=len(at))
-    c_all, c_target = (np.add.reduceat(x, lead) for x in (times, times * is_target[who]))
+    count = np.add.reduceat(times, lead)
+    c_all, c_target = (np.zeros_like(count), count) if own else (count, np.zeros_like(count))
     add = np.zeros(n)
     if len(hot):
         place = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
@@ -140,6 +168,8 @@ def _grouped(key: np.ndarray, kind: np.ndarray, who: np.ndarray, is_target: np.n
         who, times = who[~mine], times[~mine]
         key, kind, c_all, c_target, per_key = (x[~is_hot] for x in (key, kind, c_all, c_target, per_key))
     cuts = np.searchsorted(((key >> U(32)) * U(groups)) >> U(32), np.arange(groups + 1).astype(U))
+    if own:
+        per_key, who, times, n = np.zeros_like(per_key), who[:0], times[:0], 0
     ends, out = np.concatenate([[0], np.cumsum(per_key)]), []
     for g in np.flatnonzero(np.diff(cuts)).tolist():
         a, b = cuts[g], cuts[g + 1]
@@ -148,10 +178,11 @@ def _grouped(key: np.ndarray, kind: np.ndarray, who: np.ndarray, is_target: np.n
     return add, out
 
 
-def counted(docs: DataFrame, target: frozenset, groups: int, hot: np.ndarray, terms: np.ndarray) -> DataFrame:
+def counted(docs: DataFrame, groups: int, hot: np.ndarray, terms: np.ndarray) -> DataFrame:
     """Rows (g, slice, docs, blob): a slice's n-grams of one key group, each once, with counts and the documents that hold it.
 
     One more row a slice (docs true, dealt over the groups) has its documents, their numbers of pairs and their sums of hot terms.
+    Slices of the target's documents (`own`) have counts only, and no such row.
     """
 
     @tidy
@@ -160,7 +191,7 @@ def counted(docs: DataFrame, target: frozenset, groups: int, hot: np.ndarray, te
         for batch in batches:
             for part in slices(batch, size=SLICE):
                 ids = part.column("doc_id").to_pylist()
-                is_target, n = np.array([d in target for d in ids], bool), len(ids)
+                own, n = part.column("own")[0].as_py(), len(ids)
                 _, who, *keys = n_grams(part.column("text"))
                 n_pairs, add = np.bincount(who, minlength=n), np.zeros(n)
                 who = who.astype(np.uint32)
@@ -170,14 +201,15 @@ def counted(docs: DataFrame, target: frozenset, groups: int, hot: np.ndarray, te
                 for q in range(4):  # a quarter of the keys, and so of the groups, at a time
                     some = [np.flatnonzero(key >> U(62) == U(q)) for key in keys]
                     key, at = np.concatenate([key[i] for key, i in zip(keys, some, strict=True)]), np.concatenate([who[i] for i in some])
-                    hot_sums, found = _grouped(key, np.repeat(np.array([0, 1], np.uint8), [len(i) for i in some]), at, is_target, hot, terms, groups)
+                    hot_sums, found = _grouped(key, np.repeat(np.array([0, 1], np.uint8), [len(i) for i in some]), at, n, own, hot, terms, groups)
                     del some, key, at
                     add += hot_sums
                     for g, blob in found:
                         gs.append(g)
                         blobs.append(blob)
                 blobs[0] = _zip(np.array([d if d is not None else -(2**63) for d in ids], "<i8"), n_pairs.astype("<i8"), add.astype("<f8"))
-                yield pa.RecordBatch.from_arrays([pa.array(gs, pa.int64()), pa.array([name] * len(gs), pa.int64()), pa.array([True] + [False] * (len(gs) - 1)), pa.array(blobs, pa.binary())], names=["g", "slice", "docs", "blob"])
+                rows = pa.RecordBatch.from_arrays([pa.array(gs, pa.int64()), pa.array([name] * len(gs), pa.int64()), pa.array([True] + [False] * (len(gs) - 1)), pa.array(blobs, pa.binary())], names=["g", "slice", "docs", "blob"])
+                yield rows.slice(1) if own else rows
 
     return docs.mapInArrow(run, "g long, slice long, docs boolean, blob binary")
 
@@ -196,24 +228,28 @@ def losses(blobs: DataFrame, groups: int, words: int, smooth: float) -> DataFram
             bigram = np.zeros(len(own), bool)
             bigram[place] = column(1).astype(bool)
             term = _terms(bigram, np.bincount(place, column(3), len(own)), np.bincount(place, column(2), len(own)), words, smooth)
-            out, at = [], 0
-            for b, p in zip(blobs, parts, strict=True):
+            out, some, at = [], [], 0
+            for i, (b, p) in enumerate(zip(blobs, parts, strict=True)):
                 if p is None:
+                    some.append(i)
                     out.append(b)
                     continue
                 value = term[place[at : at + len(p[0])]]
                 at += len(p[0])
+                if not p[7][0]:  # counts of the target
+                    continue
+                some.append(i)
                 out.append(_zip(np.bincount(p[5], np.repeat(value, p[4]) * p[6], int(p[7][0])).astype("<f8")))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(docs), pa.array(out, pa.binary())], names=["slice", "docs", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in some], pa.int64()), pa.array([docs[i] for i in some], pa.bool_()), pa.array(out, pa.binary())], names=["slice", "docs", "blob"])
 
     return blobs.repartitionById(groups, F.col("g").cast("int")).sortWithinPartitions("g", "slice").mapInArrow(run, "slice long, docs boolean, blob binary")
 
 
-def lm_scores(docs: DataFrame, target_ids: list[int], smooth: float = SMOOTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, target_ids: list[int] | DataFrame, smooth: float = SMOOTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_pairs (words after another) and score: mean target loss minus mean background loss per word, in nats; less is nearer.
 
-    The background model counts every document, the target model those of `target_ids` (a bounded list); both are bigram models with
-    smoothing towards the one vocabulary of all documents. Texts of fewer than two words, and null ones, have score null. Repeated
+    The background model counts every document, the target model those of `target_ids` (a list, or a frame of any size
+    with the column doc_id; null counts for nothing), whole and all; both are bigram models with smoothing towards the one vocabulary of all documents. Texts of fewer than two words, and null ones, have score null. Repeated
     rows are scored, and counted, each. An empty table gives an empty result; other columns are not read.
 
     N-grams go once per slice of documents to the group of their key, which holds all counts of a key and sends each slice the sums
@@ -222,10 +258,12 @@ def lm_scores(docs: DataFrame, target_ids: list[int], smooth: float = SMOOTH, id
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     words, total, hot = vocabulary(rows)
-    target = frozenset(target_ids)
-    terms = hot_terms(rows, target, hot, words, smooth)
+    ids = target_ids if isinstance(target_ids, DataFrame) else docs.sparkSession.createDataFrame([(d,) for d in target_ids], "doc_id long")
+    own = target_texts(rows, ids.select(F.col("doc_id").cast("long").alias("doc_id")))
+    rows = rows.withColumn("own", F.lit(False)).unionByName(own.withColumn("own", F.lit(True)))
+    terms = hot_terms(rows, hot, words, smooth)
     groups = max(1, -(-2 * total // GROUP))
-    sums = losses(counted(rows, target, groups, hot, terms), groups, words, smooth)
+    sums = losses(counted(rows, groups, hot, terms), groups, words, smooth)
 
     @tidy
     def run(batches):
@@ -243,7 +281,6 @@ def lm_scores(docs: DataFrame, target_ids: list[int], smooth: float = SMOOTH, id
     return sums.repartition(F.col("slice")).sortWithinPartitions("slice", "docs").mapInArrow(run, "doc_id long, n_pairs long, score double")
 
 
-def target_sample(labels: DataFrame, limit: int = TARGET) -> list[int]:
-    """Ids of good labelled documents, at most `limit`: those of least hash."""
-    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return [r.doc_id for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()]
+def good_documents(labels: DataFrame) -> DataFrame:
+    """doc_id of all documents that are labelled good."""
+    return labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()

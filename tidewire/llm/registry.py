@@ -40,7 +40,7 @@ def op7_near_dedup(spark, sf_dir):
 
 
 def op8_lm_scores(spark, sf_dir):
-    return lm_scores.lm_scores(table(spark, sf_dir, "documents"), lm_scores.target_sample(table(spark, sf_dir, "labels")))
+    return lm_scores.lm_scores(table(spark, sf_dir, "documents"), lm_scores.good_documents(table(spark, sf_dir, "labels")))
 
 
 def op9_secrets_crf(spark, sf_dir):
