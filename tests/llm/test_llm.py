@@ -279,6 +279,52 @@ def test_lm_scores_of_all_labelled_documents(spark, tmp_path, monkeypatch, bits)
     assert len(got) == 63
 
 
+@pytest.mark.parametrize("bits, most, joined", [(26, 1 << 20, False), (3, 1 << 20, False), (3, 5, True)])
+def test_lm_scores_tells_the_target_apart(spark, monkeypatch, bits, most, joined):
+    """Texts of the target travel only where the filter takes more other documents for it than are listed; scores are the same."""
+    kept, keep = [], lm_scores.keep
+    monkeypatch.setattr(lm_scores, "keep", lambda df, name: kept.append(name) or keep(df, name))
+    monkeypatch.setattr(lm_scores, "BITS", bits)
+    monkeypatch.setattr(lm_scores, "FALSE", most, raising=False)
+    texts = [(i if i % 17 else None, " ".join(f"w{(i * j) % 13}" for j in range(i % 9))) for i in range(200)] + [(3, "w1 w2 w3"), (-5, "w2 w1 w1"), (2**62 + 1, "w1 w2"), (2**62 + 2, "w1 w2")]
+    good = [3, 4, 30, 31, 199, -5, 2**62 + 1, 10**6]
+    ids = spark.createDataFrame([(d,) for d in [*good, 3, None]], "doc_id long")
+    got = Counter((r.doc_id, r.n_pairs, None if r.score is None else round(r.score, 9)) for r in lm_scores.lm_scores(spark.createDataFrame(texts, "doc_id long, text string"), ids).collect())
+    one, two = [[Counter(), Counter()] for _ in range(2)]
+    for d, t in texts:
+        for k in (0, 1) if d in good else (1,):
+            two[k].update(zip(words(t), words(t)[1:], strict=False))
+            one[k].update(words(t)[:-1])
+    s, v, want = lm_scores.SMOOTH, len({w for _, t in texts for w in words(t)}), Counter()
+    for d, t in texts:
+        w, n = words(t), max(0, len(words(t)) - 1)
+        loss = [sum(math.log(one[k][a] + s) - math.log(two[k][a, b] + s / v) for a, b in zip(w, w[1:], strict=False)) for k in (0, 1)]
+        want[d, n, round((loss[0] - loss[1]) / n, 9) if n else None] += 1
+    assert got == want
+    assert ("target" in kept) == joined
+
+
+def test_lm_scores_send_back_no_more_with_more_groups(spark, monkeypatch):
+    """What the key groups send to the slices grows with the keys, not with groups times documents."""
+    name = "totals" if hasattr(lm_scores, "totals") else "losses"
+    sent, answer = [], getattr(lm_scores, name)
+    monkeypatch.setattr(lm_scores, name, lambda *a: sent.append(answer(*a)) or sent[-1])
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 40), j -> concat('w', pmod(hash(id, j), 5000)))) AS text").coalesce(1)
+    sizes, scores = [], []
+    for group in (1 << 16, 1 << 10):
+        monkeypatch.setattr(lm_scores, "GROUP", group)
+        scores.append([(r.doc_id, round(r.score, 9)) for r in lm_scores.lm_scores(docs, [1, 2]).orderBy("doc_id").collect()])
+        sizes.append(sent[-1].agg(F.sum(F.length("blob"))).first()[0])
+    assert scores[0] == scores[1]
+    assert sizes[1] < 1.5 * sizes[0]
+
+
+@pytest.mark.parametrize("tasks, each, n", [(32, 2, 128), (1, 64, 128), (1900, 2, 8192), (200, 1, 512), (60, 64, 8192)])
+def test_lm_scores_deal_slices_evenly(tasks, each, n):
+    """Few slices meet, whatever the numbers; by hash, or by a remainder of a power of two, ever more would."""
+    assert max(Counter(lm_scores.dealt(t, k, n) for t in range(tasks) for k in range(each)).values()) <= 3
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     crf = secrets_crf.Crf(np.zeros((secrets_crf.SIZE, 3)), rng.normal(size=(3, 3)), rng.normal(size=3))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -14,8 +16,10 @@ from tidewire.llm.hashing import U, runs, split_words, window_hashes, word_hashe
 from tidewire.llm.shared import keep, tidy
 from tidewire.llm.token_files import slices
 
-#: Bits of the filter that spares most other texts the join with the target's ids, as a power of two.
-BITS = 23
+#: Bits of the filter that tells the target's ids from most others, as a power of two.
+BITS = 26
+#: Ids of documents that the filter takes for the target's by mistake: so many are listed; with more, the texts it lets pass are joined.
+FALSE = 1 << 20
 #: N-gram occurrences of one key group, on average.
 GROUP = 1 << 21
 #: Occurrences beyond which an n-gram is hot, whatever the input's size, and how many hot ones tasks are told of at most.
@@ -25,18 +29,22 @@ SMOOTH = 50.0
 #: Bytes of text whose n-grams are counted together before they leave a task.
 SLICE = 8 << 20
 WORD, CONTEXT, BIGRAM = range(3)
+#: Rows of a slice: its documents; keys with counts; the documents that hold each key.
+DOCS, KEYS, HOLDERS = range(3)
 
 
 def _zip(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(a) for a in arrays], "<i8")
-    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(a.tobytes() for a in arrays))
+    """Arrays of little-endian numbers, by byte planes: all first bytes, all second ones and so on."""
+    head = np.array([len(a) for a in arrays], "<u4")
+    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(a.view("u1").reshape(len(a), a.itemsize).T.tobytes() for a in arrays))
 
 
 def _unzip(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    data, at, out = zstandard.ZstdDecompressor().decompress(blob), 8 * len(kinds), []
-    for kind, n in zip(kinds, np.frombuffer(data, "<i8", len(kinds)).tolist(), strict=True):
-        out.append(np.frombuffer(data, kind, n, at))
-        at += n * np.dtype(kind).itemsize
+    data, at, out = zstandard.ZstdDecompressor().decompress(blob), 4 * len(kinds), []
+    for kind, n in zip(kinds, np.frombuffer(data, "<u4", len(kinds)).tolist(), strict=True):
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(data, "u1", n * size, at).reshape(size, n).T).view(kind).reshape(n))
+        at += n * size
     return out
 
 
@@ -86,32 +94,52 @@ def vocabulary(docs: DataFrame) -> tuple[int, int, np.ndarray]:
     return r.v, r.n, np.sort(np.array([x.w for x in hot], np.int64).view(U))
 
 
-def target_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id is among `ids` (doc_id, long), all of them, kept in the shared folder.
+def told_target(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, Callable[[pa.RecordBatch], np.ndarray]]:
+    """`docs` with what tells which rows have a doc_id among `ids` (doc_id, long), and a function of its batches that tells it.
 
-    So that other texts travel little, a bit map of the ids' hashes sorts them out first. It is of a fixed size, whatever it misses
-    the join drops, and where ids are so many that it is full, all texts are joined.
+    A bit map of the ids' hashes, of a fixed size, lets all of them pass and a few others; those others are listed, from the ids
+    alone, so no text travels. Where they are more than FALSE, the texts that pass are joined with `ids`, and kept.
     """
 
-    def bit(id_col: Column) -> Column:
-        return F.pmod(F.xxhash64(id_col), F.lit(1 << BITS))
+    def bit() -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITS))
+
+    own = ids.filter("doc_id IS NOT NULL").select("doc_id")
+    blocks = own.select(bit().alias("b")).groupBy(F.shiftright("b", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("b").bitwiseAND(32767)).alias("bits")).toArrow()
+    bits = np.zeros((max(1, 1 << BITS >> 15), 4096), np.uint8)
+    for block, x in zip(blocks.column("block").to_pylist(), blocks.column("bits").to_pylist(), strict=True):
+        bits[block] = np.frombuffer(x, np.uint8)
+    sc = docs.sparkSession.sparkContext
+    packed = sc.broadcast(bits.reshape(-1))
 
-    own = ids.filter("doc_id IS NOT NULL").select("doc_id").distinct()
-    bits = np.zeros(1 << BITS, bool)
-    bits[own.select(bit(F.col("doc_id")).alias("b")).distinct().toArrow().column("b").to_numpy()] = True
-    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    def passes(b: np.ndarray) -> np.ndarray:
+        return (packed.value[b >> 3] >> (b & 7).astype(np.uint8) & 1).astype(bool)
 
     @F.pandas_udf("boolean")
     def maybe(b: pd.Series) -> pd.Series:
-        at = b.to_numpy()
-        return pd.Series((packed.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+        return pd.Series(passes(b.to_numpy()))
+
+    some = docs.filter(F.col("doc_id").isNotNull()).filter(maybe(bit()))
+    wrong = some.select("doc_id").join(own, "doc_id", "left_anti").distinct().limit(FALSE + 1).toArrow().column("doc_id").to_numpy()
+    if len(wrong) > FALSE:
+        some = some.join(own.distinct().withColumn("own", F.lit(True)), "doc_id", "left").select("doc_id", "text", F.col("own").isNotNull().alias("own"))
+        rest = docs.filter(F.col("doc_id").isNull() | ~maybe(F.coalesce(bit(), F.lit(0)))).select("doc_id", "text", F.lit(False).alias("own"))
+        return rest.unionByName(keep(some, "target")), lambda part: part.column("own").to_numpy(zero_copy_only=False)
+    listed = sc.broadcast(np.sort(wrong))
 
-    some = docs.filter(F.col("doc_id").isNotNull()).filter(maybe(bit(F.col("doc_id"))))
-    return keep(some.join(own, "doc_id", "left_semi"), "target")
+    def told(part: pa.RecordBatch) -> np.ndarray:
+        known, at = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False), part.column("bit").to_numpy()
+        yes = known & passes(at)
+        if len(listed.value):
+            doc = part.column("doc_id").fill_null(0).to_numpy()
+            yes &= listed.value[np.minimum(np.searchsorted(listed.value, doc), len(listed.value) - 1)] != doc
+        return yes
 
+    return docs.withColumn("bit", bit()), told
 
-def hot_terms(docs: DataFrame, hot: np.ndarray, words: int, smooth: float) -> np.ndarray:
-    """The terms of the hot keys, from their counts in all documents and in the target's (`own`), which come once more."""
+
+def hot_terms(docs: DataFrame, told: Callable[[pa.RecordBatch], np.ndarray], hot: np.ndarray, words: int, smooth: float) -> np.ndarray:
+    """The terms of the hot keys, from their counts in all documents and in the target's."""
     if not len(hot):
         return np.zeros(0)
 
@@ -119,14 +147,14 @@ def hot_terms(docs: DataFrame, hot: np.ndarray, words: int, smooth: float) -> np
     def run(batches):
         for batch in batches:
             for part in slices(batch, size=SLICE // 4):
-                own = part.column("own")[0].as_py()  # a task reads either all documents or the target's
-                _, _, *keys = n_grams(part.column("text"))
+                is_target = told(part)
+                _, who, *keys = n_grams(part.column("text"))
                 for kind, key in zip((CONTEXT, BIGRAM), keys, strict=True):
                     place = np.searchsorted(hot, key)
                     mine = hot[np.minimum(place, len(hot) - 1)] == key
-                    seen = np.bincount(place[mine], minlength=len(hot))
-                    some = np.flatnonzero(seen)
-                    n, t = (np.zeros_like(seen), seen) if own else (seen, np.zeros_like(seen))
+                    place, own = place[mine], is_target[who[mine]]
+                    n, t = np.bincount(place, minlength=len(hot)), np.bincount(place[own], minlength=len(hot))
+                    some = np.flatnonzero(n)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int32)), pa.array(some), pa.array(n[some]), pa.array(t[some])], names=["kind", "place", "n", "t"])
 
     out = np.zeros(len(hot))
@@ -141,48 +169,46 @@ def _terms(bigram: np.ndarray, target: np.ndarray, total: np.ndarray, words: int
     return np.where(bigram, -1.0, 1.0) * (np.log(target + add) - np.log(total + add))
 
 
-def _grouped(key: np.ndarray, kind: np.ndarray, who: np.ndarray, n: int, own: bool, hot: np.ndarray, terms: np.ndarray, groups: int) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
-    """The sums of hot terms by document, and (g, blob) of all other n-grams; documents rise for each kind of key.
+def dealt(task: int, k: int, n: int) -> int:
+    """One of n places for a task's k-th item: two golden-ratio-like steps, so that few of all items share one, as they would by a hash."""
+    return ((task * 0x9E3779B9 + k * 0x6A09E667 & 0xFFFFFFFF) * n) >> 32
 
-    The target's blobs (`own`) have counts alone, as its documents are scored among all.
-    """
-    if not len(key):
-        return np.zeros(n), []
+
+def _grouped(key: np.ndarray, kind: np.ndarray, who: np.ndarray, is_target: np.ndarray, hot: np.ndarray, terms: np.ndarray, groups: int) -> tuple[np.ndarray, list[tuple[int, int, bytes]], tuple]:
+    """The sums of hot terms by document; of all other n-grams (g, place of its first key, keys with counts), and their holders:
+    the number of documents of each key, these documents, and how often each holds it. Documents rise for each kind of key."""
+    n = len(is_target)
     order = np.argsort(key, kind="stable")  # groups rise with their keys
     key, kind, who = key[order], kind[order], who[order]
     del order
-    head = np.concatenate([[True], key[1:] != key[:-1]])
-    at = np.flatnonzero(head | np.concatenate([[True], who[1:] != who[:-1]]))
+    head = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+    at = np.flatnonzero(head | np.concatenate([[True], who[1:] != who[:-1]])[: len(key)])
     times = np.diff(at, append=len(key)).astype(np.uint32)
     lead = np.flatnonzero(head[at])
     key, kind, who = key[at][lead], kind[at][lead], who[at]
     per_key = np.diff(lead, append=len(at))
-    count = np.add.reduceat(times, lead)
-    c_all, c_target = (np.zeros_like(count), count) if own else (count, np.zeros_like(count))
+    c_all, c_target = (np.add.reduceat(x, lead) if len(lead) else x for x in (times, times * is_target[who]))
     add = np.zeros(n)
-    if len(hot):
+    if len(hot) and len(key):
         place = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
         is_hot = hot[place] == key
         mine = np.repeat(is_hot, per_key)
         add = np.bincount(who[mine], np.repeat(terms[place[is_hot]], per_key[is_hot]) * times[mine], n)
         who, times = who[~mine], times[~mine]
         key, kind, c_all, c_target, per_key = (x[~is_hot] for x in (key, kind, c_all, c_target, per_key))
-    cuts = np.searchsorted(((key >> U(32)) * U(groups)) >> U(32), np.arange(groups + 1).astype(U))
-    if own:
-        per_key, who, times, n = np.zeros_like(per_key), who[:0], times[:0], 0
-    ends, out = np.concatenate([[0], np.cumsum(per_key)]), []
+    cuts, out = np.searchsorted(((key >> U(32)) * U(groups)) >> U(32), np.arange(groups + 1).astype(U)), []
     for g in np.flatnonzero(np.diff(cuts)).tolist():
-        a, b = cuts[g], cuts[g + 1]
-        i, j = ends[a], ends[b]
-        out.append((g, _zip(key[a:b].astype("<u8"), kind[a:b], c_all[a:b].astype("<u4"), c_target[a:b].astype("<u4"), per_key[a:b].astype("<u4"), who[i:j].astype("<u4"), times[i:j].astype("<u4"), np.array([n], "<i8"))))
-    return add, out
+        a, b = int(cuts[g]), int(cuts[g + 1])
+        out.append((g, a, _zip(np.diff(key[a:b], prepend=U(0)).astype("<u8"), kind[a:b], c_all[a:b].astype("<u4"), c_target[a:b].astype("<u4"))))
+    return add, out, (per_key.astype("<u4"), who.astype("<u4"), times.astype("<u4"))
 
 
-def counted(docs: DataFrame, groups: int, hot: np.ndarray, terms: np.ndarray) -> DataFrame:
-    """Rows (g, slice, docs, blob): a slice's n-grams of one key group, each once, with counts and the documents that hold it.
+def counted(docs: DataFrame, told: Callable[[pa.RecordBatch], np.ndarray], groups: int, hot: np.ndarray, terms: np.ndarray) -> DataFrame:
+    """Rows (g, slice, home, part, place, blob): a slice's n-grams of one key group, each once, with counts; `place` is the rank of
+    the first of them in the slice, `home` the partition that the slice's rows meet in.
 
-    One more row a slice (docs true, dealt over the groups) has its documents, their numbers of pairs and their sums of hot terms.
-    Slices of the target's documents (`own`) have counts only, and no such row.
+    More rows a slice, dealt over the groups, have its documents, their numbers of pairs and their sums of hot terms, and the
+    documents that hold each key, by the same ranks.
     """
 
     @tidy
@@ -191,58 +217,52 @@ def counted(docs: DataFrame, groups: int, hot: np.ndarray, terms: np.ndarray) ->
         for batch in batches:
             for part in slices(batch, size=SLICE):
                 ids = part.column("doc_id").to_pylist()
-                own, n = part.column("own")[0].as_py(), len(ids)
+                is_target, n = told(part), len(ids)
                 _, who, *keys = n_grams(part.column("text"))
                 n_pairs, add = np.bincount(who, minlength=n), np.zeros(n)
                 who = who.astype(np.uint32)
-                name = (task << 32) + k
-                k += 1
-                gs, blobs = [name % groups], [b""]
+                place, rows = 0, []
                 for q in range(4):  # a quarter of the keys, and so of the groups, at a time
                     some = [np.flatnonzero(key >> U(62) == U(q)) for key in keys]
                     key, at = np.concatenate([key[i] for key, i in zip(keys, some, strict=True)]), np.concatenate([who[i] for i in some])
-                    hot_sums, found = _grouped(key, np.repeat(np.array([0, 1], np.uint8), [len(i) for i in some]), at, n, own, hot, terms, groups)
+                    hot_sums, found, holders = _grouped(key, np.repeat(np.array([0, 1], np.uint8), [len(i) for i in some]), at, is_target, hot, terms, groups)
                     del some, key, at
                     add += hot_sums
-                    for g, blob in found:
-                        gs.append(g)
-                        blobs.append(blob)
-                blobs[0] = _zip(np.array([d if d is not None else -(2**63) for d in ids], "<i8"), n_pairs.astype("<i8"), add.astype("<f8"))
-                rows = pa.RecordBatch.from_arrays([pa.array(gs, pa.int64()), pa.array([name] * len(gs), pa.int64()), pa.array([True] + [False] * (len(gs) - 1)), pa.array(blobs, pa.binary())], names=["g", "slice", "docs", "blob"])
-                yield rows.slice(1) if own else rows
+                    rows += [(g, KEYS, place + first, blob) for g, first, blob in found]
+                    rows.append((dealt(task, 4 * k + q, groups), HOLDERS, place, _zip(*holders)))
+                    place += len(holders[0])
+                    del found, holders
+                rows.append((dealt(task, 4 * k, groups), DOCS, 0, _zip(np.array([d if d is not None else -(2**63) for d in ids], "<i8"), n_pairs.astype("<i8"), add.astype("<f8"))))
+                gs, parts, places, blobs = zip(*rows, strict=True)
+                name, home = pa.array([(task << 32) + k] * len(gs), pa.int64()), pa.array([dealt(task, k, groups)] * len(gs), pa.int32())
+                k += 1
+                yield pa.RecordBatch.from_arrays([pa.array(gs, pa.int32()), name, home, pa.array(parts, pa.int32()), pa.array(places, pa.int64()), pa.array(blobs, pa.binary())], names=["g", "slice", "home", "part", "place", "blob"])
 
-    return docs.mapInArrow(run, "g long, slice long, docs boolean, blob binary")
+    return docs.mapInArrow(run, "g int, slice long, home int, part int, place long, blob binary")
 
 
-def losses(blobs: DataFrame, groups: int, words: int, smooth: float) -> DataFrame:
-    """Rows (slice, docs, blob): per document of a slice, the sum of a key group's terms of target loss minus background loss."""
+def totals(blobs: DataFrame, groups: int) -> DataFrame:
+    """Rows (slice, home, part, place, blob): the keys of a slice give way to their kinds and counts in all documents and in the target's.
+
+    What a slice gets back hangs on the number of its keys, not on the number of groups.
+    """
 
     @tidy
     def run(batches):
-        kinds = ("<u8", "u1", "<u4", "<u4", "<u4", "<u4", "<u4", "<i8")
         for t in runs(batches, "g"):
-            names, docs, blobs = (t.column(c).to_pylist() for c in ("slice", "docs", "blob"))
-            parts = [None if d else _unzip(b, *kinds) for d, b in zip(docs, blobs, strict=True)]
-            own, place = np.unique(np.concatenate([np.zeros(0, "<u8"), *(p[0] for p in parts if p)]), return_inverse=True)
-            column = lambda k: np.concatenate([np.zeros(0), *(p[k] for p in parts if p)])  # noqa: B023, E731
-            bigram = np.zeros(len(own), bool)
-            bigram[place] = column(1).astype(bool)
-            term = _terms(bigram, np.bincount(place, column(3), len(own)), np.bincount(place, column(2), len(own)), words, smooth)
-            out, some, at = [], [], 0
-            for i, (b, p) in enumerate(zip(blobs, parts, strict=True)):
-                if p is None:
-                    some.append(i)
-                    out.append(b)
-                    continue
-                value = term[place[at : at + len(p[0])]]
-                at += len(p[0])
-                if not p[7][0]:  # counts of the target
-                    continue
-                some.append(i)
-                out.append(_zip(np.bincount(p[5], np.repeat(value, p[4]) * p[6], int(p[7][0])).astype("<f8")))
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in some], pa.int64()), pa.array([docs[i] for i in some], pa.bool_()), pa.array(out, pa.binary())], names=["slice", "docs", "blob"])
-
-    return blobs.repartitionById(groups, F.col("g").cast("int")).sortWithinPartitions("g", "slice").mapInArrow(run, "slice long, docs boolean, blob binary")
+            blobs = t.column("blob").to_pylist()
+            which = np.flatnonzero(t.column("part").to_numpy() == KEYS).tolist()
+            parts = [_unzip(blobs[i], "<u8", "u1", "<u4", "<u4") for i in which]
+            own, at = np.unique(np.concatenate([np.zeros(0, U), *(np.cumsum(p[0], dtype=U) for p in parts)]), return_inverse=True)
+            every, target = (np.bincount(at, np.concatenate([np.zeros(0), *(p[c] for p in parts)]), len(own)).astype("<i8") for c in (2, 3))
+            first = 0
+            for i, p in zip(which, parts, strict=True):
+                mine = at[first : first + len(p[0])]
+                first += len(p[0])
+                blobs[i] = _zip(p[1], every[mine], target[mine])
+            yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks() for c in ("slice", "home", "part", "place")] + [pa.array(blobs, pa.binary())], names=["slice", "home", "part", "place", "blob"])
+
+    return blobs.repartitionById(groups, "g").sortWithinPartitions("g").mapInArrow(run, "slice long, home int, part int, place long, blob binary")
 
 
 def lm_scores(docs: DataFrame, target_ids: list[int] | DataFrame, smooth: float = SMOOTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,33 +272,36 @@ def lm_scores(docs: DataFrame, target_ids: list[int] | DataFrame, smooth: float
     with the column doc_id; null counts for nothing), whole and all; both are bigram models with smoothing towards the one vocabulary of all documents. Texts of fewer than two words, and null ones, have score null. Repeated
     rows are scored, and counted, each. An empty table gives an empty result; other columns are not read.
 
-    N-grams go once per slice of documents to the group of their key, which holds all counts of a key and sends each slice the sums
-    for its documents. Hot n-grams, which most documents hold, go nowhere: their counts alone are summed beforehand, and a slice
+    N-grams go once per slice of documents to the group of their key, which holds all counts of a key and sends each slice the
+    counts of its keys. Hot n-grams, which most documents hold, go nowhere: their counts alone are summed beforehand, and a slice
     adds their terms itself.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     words, total, hot = vocabulary(rows)
     ids = target_ids if isinstance(target_ids, DataFrame) else docs.sparkSession.createDataFrame([(d,) for d in target_ids], "doc_id long")
-    own = target_texts(rows, ids.select(F.col("doc_id").cast("long").alias("doc_id")))
-    rows = rows.withColumn("own", F.lit(False)).unionByName(own.withColumn("own", F.lit(True)))
-    terms = hot_terms(rows, hot, words, smooth)
+    rows, told = told_target(rows, ids.select(F.col("doc_id").cast("long").alias("doc_id")))
+    terms = hot_terms(rows, told, hot, words, smooth)
     groups = max(1, -(-2 * total // GROUP))
-    sums = losses(counted(rows, groups, hot, terms), groups, words, smooth)
+    counts = totals(counted(rows, told, groups, hot, terms), groups)
 
     @tidy
     def run(batches):
         for t in runs(batches, "slice"):
-            total, ids, n = 0.0, None, None
-            for is_docs, blob in zip(t.column("docs").to_pylist(), t.column("blob").to_pylist(), strict=True):
-                if is_docs:
-                    ids, n, add = _unzip(blob, "<i8", "<i8", "<f8")
-                else:
-                    (add,) = _unzip(blob, "<f8")
-                total = total + add
-            score = np.where(n > 0, total / np.maximum(n, 1), np.nan)
+            parts, places, blobs = (t.column(c).to_pylist() for c in ("part", "place", "blob"))
+            ids, n, sums = _unzip(blobs[0], "<i8", "<i8", "<f8")
+            term = [np.zeros(0)]
+            for part, place, blob in zip(parts, places, blobs, strict=True):
+                if part == KEYS:  # in the order of their places
+                    kind, every, target = _unzip(blob, "u1", "<i8", "<i8")
+                    term.append(_terms(kind.astype(bool), target, every, words, smooth))
+                elif part == HOLDERS:
+                    term = [np.concatenate(term)]
+                    per_key, who, times = _unzip(blob, "<u4", "<u4", "<u4")
+                    sums = sums + np.bincount(who, np.repeat(term[0][place : place + len(per_key)], per_key) * times, len(n))
+            score = np.where(n > 0, sums / np.maximum(n, 1), np.nan)
             yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == -(2**63)), pa.array(n), pa.array(score, mask=n == 0)], names=["doc_id", "n_pairs", "score"])
 
-    return sums.repartition(F.col("slice")).sortWithinPartitions("slice", "docs").mapInArrow(run, "doc_id long, n_pairs long, score double")
+    return counts.repartitionById(groups, "home").sortWithinPartitions("slice", "part", "place").mapInArrow(run, "doc_id long, n_pairs long, score double")
 
 
 def good_documents(labels: DataFrame) -> DataFrame:
